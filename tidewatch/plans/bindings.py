@@ -5,7 +5,7 @@ Every frame is a plain lazy view over whole tables; nothing is subset or cut.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import rfc3339, uuid5_nil
@@ -13,13 +13,23 @@ from tidewatch.operators.enrichment import outcome
 from tidewatch.operators.matching import active_strategies, arrivals, interests
 from tidewatch.session import ship_package
 
-MINUTE = F.expr("interval 1 minute")
-EPOCH = F.lit("2024-01-01 00:00:00").cast("timestamp")
-NOW = F.lit("2024-06-01 00:00:00").cast("timestamp")
 DIM = 64
 
 
-def strings(*items) -> F.Column:
+def minute() -> Column:
+    return F.expr("interval 1 minute")
+
+
+def epoch() -> Column:
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
+def now() -> Column:
+    """A fixed time of the run, so that results do not depend on when it ran."""
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+
+def strings(*items) -> Column:
     return F.array(*items).cast("array<string>")
 
 
@@ -45,7 +55,7 @@ class Tables:
         events = doc.select(
             F.col("doc_id").cast("string").alias("id"), "source", tickers.alias("tickers"),
             F.substring("text", 1, 60).alias("title"), F.col("text").alias("raw_text"), "published_at",
-            (F.col("published_at") + MINUTE).alias("ingested_at"), F.col("doc_id").alias("seq"),
+            (F.col("published_at") + minute()).alias("ingested_at"), F.col("doc_id").alias("seq"),
         )
         if url:
             pages = self.raw("pages").select(F.col("page_id").alias("seq"), F.col("url").alias("content_url"))
@@ -105,8 +115,8 @@ class Tables:
                 F.concat(F.lit("strategy "), g).alias("name"), F.concat(F.lit("watch "), g).alias("description"),
                 "query", source.alias("source"), tickers.alias("tickers"),
                 ((g % 4) / F.lit(10.0)).alias("similarity_threshold"), (g % 5 != 4).alias("is_active"),
-                (EPOCH + F.make_dt_interval(mins=g)).alias("created_at"),
-                (EPOCH + F.make_dt_interval(mins=g)).alias("updated_at"),
+                (epoch() + F.make_dt_interval(mins=g)).alias("created_at"),
+                (epoch() + F.make_dt_interval(mins=g)).alias("updated_at"),
                 F.col("embedding").alias("query_vector"), g.alias("seq"),
             )
         )
@@ -136,7 +146,7 @@ class Tables:
         first = self.raw("customer").select(
             k.cast("string").alias("user_id"), provider.alias("provider"),
             F.concat(F.lit("key "), k).alias("encrypted_key"),
-            (EPOCH + F.make_dt_interval(mins=k)).alias("created_at"), k.alias("seq"))
+            (epoch() + F.make_dt_interval(mins=k)).alias("created_at"), k.alias("seq"))
         later = first.where("seq % 4 = 0").withColumns({
             "encrypted_key": F.concat(F.lit("new "), F.col("encrypted_key")),
             "created_at": F.col("created_at") + F.expr("interval 1 day")})
@@ -151,7 +161,7 @@ class Tables:
             .withColumn("provider", F.when(k % 2 == 0, "polygon").otherwise("openai"))
             .select(uuid5_nil(pair).alias("id"), k.cast("string").alias("user_id"), "provider",
                     F.concat(F.lit("old "), k).alias("encrypted_key"),
-                    (EPOCH - F.expr("interval 1 day")).alias("created_at"))
+                    (epoch() - F.expr("interval 1 day")).alias("created_at"))
         )
 
     def user_requests(self) -> DataFrame:
@@ -181,7 +191,7 @@ class Tables:
         """Company objects as JSON text, one or two per customer."""
         k = F.col("c_custkey")
 
-        def entry(letter: str) -> F.Column:
+        def entry(letter: str) -> Column:
             return F.struct(k.alias("cik_str"), F.concat(F.lit(letter), k).alias("ticker"), F.col("c_name").alias("title"))
 
         entries = F.filter(

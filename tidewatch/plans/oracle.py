@@ -225,12 +225,13 @@ for _name in ("vector_search", "vector_search_large_registry"):
     sql(_name, "b_hits", "select strategy_id, point_id, score, rank from b_hits")
 
 # -- matches and alerts
-for _name in ("match_alerts", "match_alerts_large_registry"):
+for _name in ("match_alerts", "match_alerts_large_registry", "stream_match_alerts"):
     sql(_name, "b_found", "select strategy_id, event_id, score, rank from b_found")
 sql("match_alerts_final", "b_hits", "select strategy_id, event_id, score, rank from b_hits where score >= threshold")
 _ALERT = f"""id, user_id, strategy_id, event_id, title, content, url, similarity_score, is_read,
   {_time('created_at')} created_at"""
-sql("alert_rows", "b_alerts", f"select {_ALERT} from b_alerts")
+for _name in ("alert_rows", "stream_event_job"):
+    sql(_name, "b_alerts", f"select {_ALERT} from b_alerts")
 sql("alert_log", "b_alerts", """
 select '{"level":"INFO","msg":"alert triggered","strategy_id":'||to_json(strategy_id)||',"recipient":'||to_json(recipient)
   ||',"event_title":'||to_json(title)||',"event_source":'||to_json(event_source)
@@ -308,3 +309,6 @@ sql("unique_violations", "b_user_requests", "select email, count(*) as rows from
 sql("decrypt_column", "b_key_requests", f"""
 select user_id, {_time('created_at')} created_at,
   case when seq%7<>0 and seq%11<>0 then encrypted_key end opened, seq%7=0 or seq%11=0 rejected from b_key_requests""")
+
+# -- streams
+sql("stream_dedupe_events", "b_events", "select id, source from b_events")

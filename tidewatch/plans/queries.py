@@ -15,9 +15,13 @@ from tidewatch.functions import scalars as X
 from tidewatch.functions import secrets
 from tidewatch.operators import alerts as A
 from tidewatch.operators import corpus as C
-from tidewatch.operators import counters, embedding, enrichment, matching, ranking, scoring, tables
+from tidewatch.operators import counters, embedding, enrichment, matching, ranking, scoring, sinks, tables
 from tidewatch.plans import bindings as B
+from tidewatch.schemas import ALERT, EVENT
+from tidewatch.session import read_parts, scratch_path
 from tidewatch.sources import companies, feeds, pages, registry
+from tidewatch.streaming import ingest, matcher
+from tidewatch.streaming.job import EventJob
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,12 +59,12 @@ def _news(t: B.Tables) -> DataFrame:
 
 def _filings(t: B.Tables, tolerant: bool = False) -> DataFrame:
     known = companies.company_tickers(t.company_documents())
-    return feeds.normalise_filings(t.filings(), known, F.col("published") + B.MINUTE, tolerant)
+    return feeds.normalise_filings(t.filings(), known, F.col("published") + B.minute(), tolerant)
 
 
 @query
 def ingest_news(t):
-    return _event_view(_news(t).withColumn("ingested_at", F.col("published_at") + B.MINUTE))
+    return _event_view(_news(t).withColumn("ingested_at", F.col("published_at") + B.minute()))
 
 
 @query
@@ -130,8 +134,7 @@ def next_cursors(t):
 
 @query
 def import_strategies(t):
-    accepted, rejected = registry.import_strategies(t.strategy_requests(), B.NOW)
-    empty = F.lit(None)
+    accepted, rejected = registry.import_strategies(t.strategy_requests(), B.now())
     view = accepted.select(
         "request_id", F.lit("ok").alias("status"), "id", "user_id", "name", "query", joined("source"),
         joined("tickers"), "similarity_threshold", "is_active", time("created_at"))
@@ -396,7 +399,7 @@ def toggle_strategies(t):
     rows = t.strategies()
     asked = rows.where("seq % 7 = 0").select("id", "user_id")
     twice = rows.where("seq % 21 = 0").select("id", "user_id")
-    return tables.toggle_strategies(rows, asked.unionByName(twice), B.NOW).select(
+    return tables.toggle_strategies(rows, asked.unionByName(twice), B.now()).select(
         "id", "is_active", time("updated_at"))
 
 
@@ -408,7 +411,7 @@ def update_strategies(t):
         "user_id": F.when(F.col("seq") % 3 == 0, "stranger").otherwise(F.col("user_id"))})
     second = first.where("seq % 8 = 0").withColumns({
         "name": F.concat(F.lit("renamed again "), "seq"), "is_active": ~F.col("is_active"), "version": F.lit(2)})
-    return tables.update_strategies(rows, first.unionByName(second), B.NOW, "version").select(
+    return tables.update_strategies(rows, first.unionByName(second), B.now(), "version").select(
         "id", "name", "similarity_threshold", "is_active", time("updated_at"))
 
 
@@ -501,3 +504,64 @@ def decrypt_column(t):
     stored = t.key_requests().withColumn("sealed", sealed).withColumn("sealed", damaged)
     opened = stored.withColumn("opened", secrets.decrypt("sealed", KEY))
     return opened.select("user_id", time("created_at"), "opened", F.col("opened").isNull().alias("rejected"))
+
+
+# -- streams ---------------------------------------------------------------------------
+
+
+def _land(rows: DataFrame, name: str, files: int = 3) -> str:
+    """Write rows as ``files`` successive files in order of arrival."""
+    path = scratch_path(rows.sparkSession, name)
+    last = rows.agg(F.max("seq")).first()[0]
+    part = F.floor(F.col("seq") * files / (last + 1))
+    for number in range(files):
+        rows.where(part == number).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over everything landed so far and read what it wrote."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    run = (
+        stream.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "progress"))
+        .trigger(availableNow=True).start(out)
+    )
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query
+def stream_match_alerts(t):
+    landed = matching.arrivals(t.enriched(), "ingested_at", "vector", "seq")
+    path = _land(landed, "arrivals")
+    arriving = ingest.read_events(t.spark, path, landed.schema, files_per_trigger=1)
+    found = _drain(matcher.stream_matches(arriving, t.interests()), "matches")
+    return found.select("strategy_id", "event_id", "score", long("rank"))
+
+
+@query
+def stream_dedupe_events(t):
+    landed = t.with_repeats().drop("vector")
+    path = _land(landed, "repeats")
+    arriving = ingest.read_events(t.spark, path, landed.schema, files_per_trigger=1)
+    return _drain(ingest.dedupe_stream(arriving), "deduped").select("id", "source")
+
+
+@query
+def stream_event_job(t):
+    """Alerts of the whole job: dedupe, enrich, store, match, notify, in three micro-batches."""
+    spark = t.spark
+    root = scratch_path(spark, "job")
+    landed = t.events().select(*EVENT.names, "seq")
+    vectors = t.raw("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+
+    def enrich(events: DataFrame) -> DataFrame:
+        state = enrichment.outcome(F.lit(True), "raw_text", "vector")
+        return events.join(vectors, "id", "left").withColumn("outcome", state)
+
+    job = EventJob(spark, root, t.active, enrich, [sinks.table_sink(f"{root}/alerts", F.col("ingested_at"))])
+    arriving = ingest.read_events(spark, _land(landed, "events"), landed.schema, files_per_trigger=1)
+    job.start(ingest.dedupe_stream(arriving), scratch_path(spark, "progress"), availableNow=True).awaitTermination()
+    rows = read_parts(spark, f"{root}/alerts", ALERT)
+    return rows.drop("batch").withColumn("created_at", X.rfc3339("created_at"))

@@ -7,7 +7,10 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -86,6 +89,33 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     at scale; small inputs (one row group per file) use every core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def read_parts(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """Rows written as ``path/batch=<id>``, of batches below ``before`` if given.
+
+    A folder that does not exist yet reads as an empty frame.
+    """
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        parts = spark.read.schema(full).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        parts = spark.createDataFrame([], full)
+    return parts if before is None else parts.where(F.col("batch") < before)
+
+
+def write_part(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write the part of one batch; writing it again replaces it, so replays are safe."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def last_part(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
+    """The newest part below ``before``, without the batch column."""
+    parts = read_parts(spark, path, schema, before)
+    newest = parts.agg(F.max("batch")).first()[0]
+    return parts.where(F.col("batch") == F.lit(newest).cast("long")).drop("batch")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidewatch import schemas
 from tidewatch.functions.scalars import first_parenthesised
 
-_NO_TICKERS = F.array().cast("array<string>")
+
+def _no_tickers() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _reader(spark: SparkSession, streaming: bool, files_per_trigger: int | None):
@@ -48,7 +50,7 @@ def normalise_news(items: DataFrame, ingested_at: Column) -> DataFrame:
     return items.select(
         "id",
         F.lit(schemas.NEWS_SOURCE).alias("source"),
-        F.coalesce("tickers", _NO_TICKERS).alias("tickers"),
+        F.coalesce("tickers", _no_tickers()).alias("tickers"),
         "title",
         F.col("article_url").alias("content_url"),
         F.lit(None).cast("string").alias("raw_text"),
@@ -76,7 +78,7 @@ def with_filing_tickers(filings: DataFrame, companies: DataFrame, tolerant: bool
     of an outer join do not meet in one shuffle partition.
     """
     key = F.coalesce(filing_cik("title", tolerant), F.concat(F.lit("no cik "), F.col("guid")))
-    tickers = F.when(F.col("_ticker").isNotNull(), F.array("_ticker")).otherwise(_NO_TICKERS)
+    tickers = F.when(F.col("_ticker").isNotNull(), F.array("_ticker")).otherwise(_no_tickers())
     dimension = companies.select(F.col("cik").alias("_cik"), F.col("ticker").alias("_ticker"))
     return (
         filings.withColumn("_key", key)
