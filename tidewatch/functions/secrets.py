@@ -16,7 +16,10 @@ def _key_literal(key: str | bytes) -> Column:
 
 
 def encrypt(text: Column | str, key: str | bytes) -> Column:
-    """A fresh random nonce per row, so equal texts give different results."""
+    """A fresh random nonce per row, so equal texts give different results.
+
+    Meant for stored columns: a literal is folded by the optimizer and sealed only once.
+    """
     return F.base64(F.aes_encrypt(F.encode(col(text), "UTF-8"), _key_literal(key), F.lit("GCM")))
 
 
