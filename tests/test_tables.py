@@ -136,11 +136,12 @@ def test_outcomes_and_embedding_of_linked_pages(spark):
         asked.add(len(batch))
         return [None if t.startswith("broken") else [1.0, float(len(t))] for t in batch]
 
-    got = enrichment.enrich(events, texts, embedding.model_embedder(model))
+    fetch = lambda urls: texts.join(urls, "url", "left_semi")
+    got = enrichment.enrich(events, fetch, embedding.model_embedder(model))
     assert values(got, "id", "outcome") == [
         ("1", "enriched"), ("2", "enriched"), ("3", "skipped_short"), ("4", "skipped_fetch"),
         ("5", "skipped_fetch"), ("6", "error")]
-    assert asked.value <= 2, "each linked page long enough is embedded once"
+    assert asked.value == 2, "each linked page long enough is embedded once"
     rows = counters.run_counters(got.withColumn("failed_calls", F.lit(1)), got.limit(3)).first()
     assert rows.asDict() == {"events_ingested": 6, "events_processed": 5, "events_enriched": 2,
                              "alerts_triggered": 3, "errors_total": 1, "retry_attempts": 6}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from tidewatch.functions.predicates import long_enough
 from tidewatch.functions.scalars import col, retry_delay_ms
 from tidewatch.operators.embedding import Embedder
 from tidewatch.schemas import RETRY
+from tidewatch.session import materialise
 
+# ``fetch(urls) -> (url, text)``: a url it has no page for is simply missing.
+Fetcher = Callable[[DataFrame], DataFrame]
 ENRICHED, SKIPPED_FETCH, SKIPPED_SHORT, ERROR = "enriched", "skipped_fetch", "skipped_short", "error"
 
 
@@ -39,18 +44,18 @@ def outcome(fetched: Column | str, text: Column | str, vector: Column | str) ->
     )
 
 
-def enrich(events: DataFrame, texts: DataFrame, embedder: Embedder) -> DataFrame:
+def enrich(events: DataFrame, fetch: Fetcher, embedder: Embedder) -> DataFrame:
     """Events with ``raw_text``, ``vector`` and ``outcome``.
 
-    Only pages that some event links to are embedded, each once, however many events
-    share it.
+    Each page some event links to is fetched and embedded once, however many events
+    share it; its text is written once, for the embedder and for the join.
     """
     linked = events.where("content_url is not null").select(F.col("content_url").alias("url"))
-    wanted = texts.join(linked, "url", "left_semi").where(long_enough("text"))
-    vectors = embedder(wanted, "url", "text")
-    pages = texts.join(linked, "url", "left_semi").join(vectors, "url", "left")
-    joined = content_join(events.drop("raw_text"), pages).withColumnRenamed("text", "raw_text")
-    return joined.withColumn("outcome", outcome("fetched", "raw_text", "vector")).drop("fetched")
+    texts = materialise(fetch(linked), "texts")
+    vectors = embedder(texts.where(long_enough("text")), "url", "text")
+    joined = content_join(events.drop("raw_text"), texts.join(vectors, "url", "left"))
+    named = joined.withColumnRenamed("text", "raw_text")
+    return named.withColumn("outcome", outcome("fetched", "raw_text", "vector")).drop("fetched")
 
 
 def retry_schedule(failures: DataFrame, policy: dict = RETRY) -> DataFrame:

@@ -6,13 +6,13 @@ Two exact ways, picked by the measured size of the registry:
   Arrow batch of vectors is scored as one matrix product.  No shuffle; every task hands
   on only the rows that may still be among the best ``k`` of their strategy.
 * pairs: the registry is larger, so pairs come from the salted equi-join and are scored
-  row by row in the JVM; the same pruning then runs inside each task.
+  batch by batch where they meet; the same pruning then runs inside each task.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scalars import dot
 from tidewatch.operators.matching import prefilter_join
 from tidewatch.schemas import SEARCH_LIMIT
-from tidewatch.session import spread
 
 BLOCK_BYTES = 128 << 20   # largest registry shipped to executors
 CELLS = 1 << 22           # largest score matrix held by a task
@@ -78,24 +76,26 @@ def _look_up(lists: list[list[str] | None]) -> tuple[np.ndarray, dict[str, np.nd
     return np.array([not v for v in lists], dtype=bool), {v: np.array(r) for v, r in rows.items()}
 
 
-def load_block(interests: DataFrame, max_bytes: int = BLOCK_BYTES) -> InterestBlock | None:
-    """The registry as a block, or None if its measured size passes ``max_bytes``."""
+def load_block(interests: DataFrame, max_bytes: int = BLOCK_BYTES) -> tuple[InterestBlock | None, int]:
+    """(block, vector length); the block is None if its measured size passes ``max_bytes``."""
     usable = interests.where(F.col("query_vector").isNotNull())
     listed = F.coalesce(F.size("wanted_sources"), F.lit(0)) + F.coalesce(F.size("wanted_tickers"), F.lit(0))
+    size = F.size("query_vector")
     measured = usable.agg(
-        F.coalesce(F.sum(F.size("query_vector") * 8 + listed * 64 + 128), F.lit(0)).alias("bytes"),
-        F.count_distinct(F.size("query_vector")).alias("dims"),
+        F.coalesce(F.sum(size * 8 + listed * 64 + 128), F.lit(0)).alias("bytes"),
+        F.coalesce(F.min(size), F.lit(0)).alias("shortest"),
+        F.coalesce(F.max(size), F.lit(0)).alias("longest"),
     ).first()
-    if measured.dims > 1:
+    if measured.shortest != measured.longest:
         raise ValueError("query vectors of different lengths in one registry")
     if measured.bytes > max_bytes:
-        return None
+        return None, measured.longest
     table = usable.select(
         "strategy_id", "wanted_sources", "wanted_tickers", "threshold", "query_vector"
     ).toArrow()
     any_source, by_source = _look_up(table["wanted_sources"].to_pylist())
     any_ticker, by_ticker = _look_up(table["wanted_tickers"].to_pylist())
-    return InterestBlock(
+    block = InterestBlock(
         ids=table["strategy_id"].combine_chunks(),
         thresholds=table["threshold"].to_numpy(),
         units=_unit_rows(_matrix(table["query_vector"])),
@@ -104,6 +104,7 @@ def load_block(interests: DataFrame, max_bytes: int = BLOCK_BYTES) -> InterestBl
         by_source=by_source,
         by_ticker=by_ticker,
     )
+    return block, measured.longest
 
 
 class _Best:
@@ -183,7 +184,7 @@ def _score_arrivals_by_block(events: DataFrame, block: InterestBlock, k: int) ->
 
     columns = ["event_id", "ingested_at", "source", "tickers", "vector"]
     usable = _usable(events, block.units.shape[1]).select(*columns)
-    return spread(usable, "event_id").mapInArrow(run, SCORED)
+    return usable.mapInArrow(run, SCORED)
 
 
 def prune_arrivals(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -211,17 +212,27 @@ def prune_arrivals(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
             yield from batch.take(pa.array(kept)).combine_chunks().to_batches()
 
 
-def _unit(vector: str):
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+def _score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the two vectors of each pair by its score; drop pairs below the threshold."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        left, right = _unit_rows(_matrix(batch.column("vector"))), _unit_rows(_matrix(batch.column("query_vector")))
+        scores = _round6(np.einsum("ij,ij->i", left, right))
+        rest = batch.drop_columns(["vector", "query_vector", "threshold"])
+        scored = pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores)], [*rest.schema.names, "score"])
+        yield scored.filter(pa.array(scores >= batch.column("threshold").to_numpy(zero_copy_only=False)))
 
 
-def score_pairs(events: DataFrame, interests: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Every pre-filtered pair with its score, scored in the JVM after the salted join."""
-    left = events.where("vector is not null").withColumn("vector", _unit("vector"))
-    right = interests.where("query_vector is not null").withColumn("query_vector", _unit("query_vector"))
-    pairs = prefilter_join(left, right, salts).where("size(vector) = size(query_vector)")
-    return pairs.withColumn("score", F.round(dot("vector", "query_vector"), 6)).drop("vector", "query_vector")
+def _score_by_pairs(rows: DataFrame, interests: DataFrame, dim: int, schema: str,
+                    after: Callable, *kept: str) -> DataFrame:
+    """Score the pairs of the salted equi-join, then hand each task's batches to ``after``."""
+    left = _usable(rows, dim).select("event_id", "source", "tickers", "vector", *kept)
+    right = interests.where("query_vector is not null").select(
+        "strategy_id", "wanted_sources", "wanted_tickers", "threshold", "query_vector")
+    pairs = prefilter_join(left, right, SALTS).select(
+        "strategy_id", "event_id", *kept, "threshold", "vector", "query_vector")
+    return pairs.mapInArrow(lambda batches: after(_score_rows(batches)), schema)
 
 
 def score_arrivals(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
@@ -229,14 +240,13 @@ def score_arrivals(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMI
     """Scores at or above the threshold that may still rank among the first k on arrival.
 
     A row below its threshold can outrank no row that passes, so it is dropped at once.
+    The registry is read more than once: hand in a written table if its query vectors
+    are expensive to compute.
     """
-    block = load_block(interests, max_block_bytes)
+    block, dim = load_block(interests, max_block_bytes)
     if block is not None:
         return _score_arrivals_by_block(events, block, k)
-    columns = ["event_id", "ingested_at", "source", "tickers", "vector"]
-    passed = score_pairs(events.select(*columns), interests).where("score >= threshold")
-    narrow = passed.select("strategy_id", "event_id", "ingested_at", "score")
-    return narrow.mapInArrow(lambda batches: prune_arrivals(batches, k), SCORED)
+    return _score_by_pairs(events, interests, dim, SCORED, lambda it: prune_arrivals(it, k), "ingested_at")
 
 
 def _search_by_block(points: DataFrame, block: InterestBlock, k: int) -> DataFrame:
@@ -263,14 +273,17 @@ def _search_by_block(points: DataFrame, block: InterestBlock, k: int) -> DataFra
                     )
 
     usable = _usable(points, block.units.shape[1]).select("point_id", "source", "tickers", "vector")
-    return spread(usable, "point_id").mapInArrow(run, "strategy_id string, point_id string, score double")
+    return usable.mapInArrow(run, "strategy_id string, point_id string, score double")
 
 
 def score_corpus(points: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
                  max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(strategy_id, point_id, score) holding at least the k best points per strategy."""
-    block = load_block(interests, max_block_bytes)
+    block, dim = load_block(interests, max_block_bytes)
     if block is not None:
         return _search_by_block(points, block, k)
-    events = points.select(F.col("point_id").alias("event_id"), "source", "tickers", "vector")
-    return score_pairs(events, interests).select("strategy_id", F.col("event_id").alias("point_id"), "score")
+    rows = points.select(F.col("point_id").alias("event_id"), "source", "tickers", "vector")
+    everything = interests.withColumn("threshold", F.lit(float("-inf")))
+    schema = "strategy_id string, event_id string, score double"
+    scored = _score_by_pairs(rows, everything, dim, schema, lambda it: it)
+    return scored.withColumnRenamed("event_id", "point_id")

@@ -375,8 +375,8 @@ def extract_text(t):
 
 @query
 def enrich_events(t):
-    texts = pages.extract_text(t.raw("pages"))
-    done = enrichment.enrich(t.events(vector=False), texts, embedding.hashing_embedder())
+    fetch = pages.page_fetcher(t.raw("pages"))
+    done = enrichment.enrich(t.events(vector=False), fetch, embedding.hashing_embedder())
     return done.select("id", "outcome", long(F.size("vector")).alias("dims"))
 
 

@@ -1,4 +1,4 @@
-"""Session settings, written intermediates and input spreading."""
+"""Session settings, written intermediates and per-batch parts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 
 _own_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def build_session(master: str | None = None, app: str = "tidewatch", **conf: str) -> SparkSession:
@@ -67,7 +70,23 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(scratch_dir(spark), f"tidewatch-{name}-{uuid.uuid4().hex}")
+    return os.path.join(_scope.get() or scratch_dir(spark), f"tidewatch-{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Intermediates written inside the block share one folder, removed at its end.
+
+    For long-running jobs.  Results that outlive the block must be written elsewhere.
+    """
+    folder = scratch_path(spark, "scope")
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -82,18 +101,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` if the input has fewer splits than there are cores.
-
-    A no-op on inputs that already arrive in enough splits, so nothing is shuffled
-    at scale; small inputs (one row group per file) use every core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def read_parts(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
     """Rows written as ``path/batch=<id>``, of batches below ``before`` if given.
 
@@ -114,8 +121,11 @@ def write_part(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def last_part(spark: SparkSession, path: str, schema: T.StructType, before: int) -> DataFrame:
-    """The newest part below ``before``, without the batch column."""
-    parts = read_parts(spark, path, schema, before)
-    newest = parts.agg(F.max("batch")).first()[0]
-    return parts.where(F.col("batch") == F.lit(newest).cast("long")).drop("batch")
+def part_before(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The part of the preceding batch, read by name: no listing of older parts."""
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/batch={batch_id - 1}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

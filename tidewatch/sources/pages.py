@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.session import spread
-
 # Elements never shown as text, elements that end a line, void elements.
 _HIDDEN = {"script", "style", "nav", "noscript", "template", "aside", "footer", "form", "iframe", "head"}
 _BLOCK = {"p", "br", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "blockquote", "pre"}
@@ -81,7 +79,12 @@ def extract_text(pages: DataFrame, key: str = "url", html: str = "html") -> Data
             texts = pa.array([readable_text(x) for x in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], [key, "text"])
 
-    return spread(pages.select(key, html), key).mapInArrow(run, f"{key} {key_type}, text string")
+    return pages.select(key, html).mapInArrow(run, f"{key} {key_type}, text string")
+
+
+def page_fetcher(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher over crawled pages: ``fetch(urls) -> (url, text)`` parses only those asked for."""
+    return lambda urls: extract_text(pages.join(urls, "url", "left_semi"))
 
 
 def latest_pages(pages: DataFrame, version: str) -> DataFrame:
