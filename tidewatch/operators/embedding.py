@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,17 +38,28 @@ def hashed_terms(texts: DataFrame, key: str, text: str, dim: int = HASH_DIM) ->
     return counts.select(key, "bucket", (F.col("_count") / norm).alias("weight"))
 
 
+def _dense(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """(key, list of bucket and weight) -> (key, vector), a whole batch at a time."""
+    for batch in batches:
+        entries = batch.column(1)
+        sizes = pc.list_value_length(entries).to_numpy(zero_copy_only=False)
+        flat = entries.flatten()
+        vectors = np.zeros((batch.num_rows, dim), dtype=np.float32)
+        vectors[np.repeat(np.arange(batch.num_rows), sizes), flat.field("bucket")] = flat.field("weight")
+        offsets = pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))],
+            [batch.schema.names[0], "vector"])
+
+
 def hashing_embedder(dim: int = HASH_DIM) -> Embedder:
     """The default embedder: hashed term counts as a dense unit vector."""
 
     def embed(texts: DataFrame, key: str, text: str) -> DataFrame:
         terms = hashed_terms(texts, key, text, dim).groupBy(key).agg(
-            F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_w")
-        )
-        weight = F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.col("_w")[b], F.lit(0.0)).cast("float")
-        )
-        return terms.select(key, weight.alias("vector"))
+            F.collect_list(F.struct("bucket", "weight")).alias("terms"))
+        kind = texts.schema[key].dataType.simpleString()
+        return terms.mapInArrow(lambda batches: _dense(batches, dim), f"{key} {kind}, vector array<float>")
 
     return embed
 

@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +26,7 @@ from tidewatch.schemas import SEARCH_LIMIT
 BLOCK_BYTES = 128 << 20   # largest registry shipped to executors
 CELLS = 1 << 22           # largest score matrix held by a task
 SALTS = 16
+PAIR = "strategy_id string, event_id string, score double"
 SCORED = "strategy_id string, event_id string, ingested_at timestamp, score double"
 
 
@@ -149,6 +149,33 @@ def _usable(frame: DataFrame, dim: int) -> DataFrame:
     return frame.where(F.coalesce(F.size("vector"), F.lit(0)) == dim)
 
 
+def _emit(block: InterestBlock, rows: pa.Table, picked: np.ndarray, scores: np.ndarray,
+          strategy: np.ndarray) -> pa.RecordBatch:
+    """One output row per picked (strategy, row): strategy id, the kept columns, score."""
+    kept = rows.take(pa.array(picked)).combine_chunks()
+    ids = block.ids.take(pa.array(strategy))
+    columns = [column.combine_chunks() for column in kept.columns]
+    return pa.RecordBatch.from_arrays(
+        [ids, *columns, pa.array(scores)], ["strategy_id", *kept.column_names, "score"])
+
+
+def _score_all_by_block(events: DataFrame, block: InterestBlock) -> DataFrame:
+    shared = events.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        for raw in batches:
+            if raw.num_rows == 0:
+                continue
+            batch = pa.Table.from_batches([raw])
+            for rows, scores in _block_scores(block, batch, None):
+                strategy, row = np.nonzero(scores > -np.inf)
+                yield _emit(block, batch.select(["event_id"]), row + rows.start, scores[strategy, row], strategy)
+
+    usable = _usable(events, block.units.shape[1]).select("event_id", "source", "tickers", "vector")
+    return usable.mapInArrow(run, PAIR)
+
+
 def _score_arrivals_by_block(events: DataFrame, block: InterestBlock, k: int) -> DataFrame:
     shared = events.sparkSession.sparkContext.broadcast(block)
 
@@ -170,17 +197,8 @@ def _score_arrivals_by_block(events: DataFrame, block: InterestBlock, k: int) ->
             for rows, scores in _block_scores(block, batch, block.thresholds):
                 strategy, row = np.nonzero((scores >= best.cut()) & (scores > -np.inf))
                 best.add(scores)
-                if len(row):
-                    taken = pa.array(row + rows.start)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            block.ids.take(pa.array(strategy)),
-                            pc.take(batch["event_id"], taken).combine_chunks(),
-                            pc.take(batch["ingested_at"], taken).combine_chunks(),
-                            pa.array(scores[strategy, row]),
-                        ],
-                        ["strategy_id", "event_id", "ingested_at", "score"],
-                    )
+                yield _emit(block, batch.select(["event_id", "ingested_at"]), row + rows.start,
+                            scores[strategy, row], strategy)
 
     columns = ["event_id", "ingested_at", "source", "tickers", "vector"]
     usable = _usable(events, block.units.shape[1]).select(*columns)
@@ -235,6 +253,15 @@ def _score_by_pairs(rows: DataFrame, interests: DataFrame, dim: int, schema: str
     return pairs.mapInArrow(lambda batches: after(_score_rows(batches)), schema)
 
 
+def score_pairs(events: DataFrame, interests: DataFrame, max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(strategy_id, event_id, score) of every pair that passes the pre-filter."""
+    block, dim = load_block(interests, max_block_bytes)
+    if block is not None:
+        return _score_all_by_block(events, block)
+    everything = interests.withColumn("threshold", F.lit(float("-inf")))
+    return _score_by_pairs(events, everything, dim, PAIR, lambda it: it)
+
+
 def score_arrivals(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
                    max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores at or above the threshold that may still rank among the first k on arrival.
@@ -262,15 +289,7 @@ def _search_by_block(points: DataFrame, block: InterestBlock, k: int) -> DataFra
             for rows, scores in _block_scores(block, batch, None):
                 best.add(scores)
                 strategy, row = np.nonzero((scores >= best.cut()) & (scores > -np.inf))
-                if len(row):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            block.ids.take(pa.array(strategy)),
-                            pc.take(batch["point_id"], pa.array(row + rows.start)).combine_chunks(),
-                            pa.array(scores[strategy, row]),
-                        ],
-                        ["strategy_id", "point_id", "score"],
-                    )
+                yield _emit(block, batch.select(["point_id"]), row + rows.start, scores[strategy, row], strategy)
 
     usable = _usable(points, block.units.shape[1]).select("point_id", "source", "tickers", "vector")
     return usable.mapInArrow(run, "strategy_id string, point_id string, score double")
@@ -284,6 +303,5 @@ def score_corpus(points: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
         return _search_by_block(points, block, k)
     rows = points.select(F.col("point_id").alias("event_id"), "source", "tickers", "vector")
     everything = interests.withColumn("threshold", F.lit(float("-inf")))
-    schema = "strategy_id string, event_id string, score double"
-    scored = _score_by_pairs(rows, everything, dim, schema, lambda it: it)
+    scored = _score_by_pairs(rows, everything, dim, PAIR, lambda it: it)
     return scored.withColumnRenamed("event_id", "point_id")

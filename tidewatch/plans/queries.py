@@ -243,8 +243,7 @@ def upsert_points(t):
 
 @query
 def cosine_scores(t):
-    pairs = matching.prefilter_join(t.arrivals(), t.interests())
-    return pairs.select("event_id", "strategy_id", F.round(X.cosine("vector", "query_vector"), 6).alias("score"))
+    return scoring.score_pairs(t.arrivals(), t.interests())
 
 
 @query
