@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.predicates import is_empty
+from tidewatch.session import measured_bytes
 
 ANY = "any"
+BROADCAST_BYTES = 64 << 20  # largest registry sent to every executor
+SALTS = 16
 
 
 def active_strategies(strategies: DataFrame, users: DataFrame) -> DataFrame:
@@ -55,39 +58,47 @@ def _one_ticker_key(key: Column) -> Column:
     return (key == ANY) | (key == F.concat(F.lit("="), smallest))
 
 
-def source_join(events: DataFrame, wanted: DataFrame) -> DataFrame:
+def _keyed_join(events: DataFrame, wanted: DataFrame, keys: list[str], salts: int | None) -> DataFrame:
+    """Equi-join on the exploded keys.
+
+    The registry is broadcast as a hash table if its measured size allows; only matching
+    pairs are then touched and events are not shuffled.  Otherwise (or with ``salts``
+    given) both sides are shuffled, and every key, above all the wildcard under which
+    every event is found, is split over ``salts`` partitions.
+    """
+    if salts is None and measured_bytes(wanted) <= BROADCAST_BYTES:
+        return events.join(F.broadcast(wanted), keys)
+    salts = salts or SALTS
+    left = events.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
+    right = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right.hint("merge"), [*keys, "_salt"]).drop("_salt")
+
+
+def _by_source(events: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (events.withColumn("_s", F.explode(_event_keys(F.array("source")))),
+            wanted.withColumn("_s", F.explode(_interest_keys(F.col("wanted_sources")))))
+
+
+def _by_ticker(events: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (events.withColumn("_t", F.explode(_event_keys(F.col("tickers")))),
+            wanted.withColumn("_t", F.explode(_interest_keys(F.col("wanted_tickers")))))
+
+
+def source_join(events: DataFrame, wanted: DataFrame, salts: int | None = None) -> DataFrame:
     """Pairs that pass the source filter alone."""
-    left = events.withColumn("_s", F.explode(_event_keys(F.array("source"))))
-    right = wanted.withColumn("_s", F.explode(_interest_keys(F.col("wanted_sources"))))
-    return left.join(right, "_s").drop("_s")
+    return _keyed_join(*_by_source(events, wanted), ["_s"], salts).drop("_s")
 
 
-def ticker_join(events: DataFrame, wanted: DataFrame) -> DataFrame:
+def ticker_join(events: DataFrame, wanted: DataFrame, salts: int | None = None) -> DataFrame:
     """Pairs that pass the ticker filter alone."""
-    left = events.withColumn("_t", F.explode(_event_keys(F.col("tickers"))))
-    right = wanted.withColumn("_t", F.explode(_interest_keys(F.col("wanted_tickers"))))
-    return left.join(right, "_t").where(_one_ticker_key(F.col("_t"))).drop("_t")
+    pairs = _keyed_join(*_by_ticker(events, wanted), ["_t"], salts)
+    return pairs.where(_one_ticker_key(F.col("_t"))).drop("_t")
 
 
-def prefilter_join(events: DataFrame, wanted: DataFrame, salts: int = 0) -> DataFrame:
-    """Pairs that pass both filters, as an equi-join on (source key, ticker key).
-
-    Without salts Spark picks the strategy: a registry below the broadcast threshold is
-    broadcast as a hash table, and only matching pairs are touched.  With salts both
-    sides are shuffled; the wildcard keys, under which every event is found, are split
-    over ``salts`` partitions per key and AQE may split further.
-    """
-    left = events.withColumn("_s", F.explode(_event_keys(F.array("source"))))
-    left = left.withColumn("_t", F.explode(_event_keys(F.col("tickers"))))
-    right = wanted.withColumn("_s", F.explode(_interest_keys(F.col("wanted_sources"))))
-    right = right.withColumn("_t", F.explode(_interest_keys(F.col("wanted_tickers"))))
-    keys = ["_s", "_t"]
-    if salts:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys = [*keys, "_salt"]
-        right = right.hint("merge")
-    return left.join(right, keys).where(_one_ticker_key(F.col("_t"))).drop(*keys)
+def prefilter_join(events: DataFrame, wanted: DataFrame, salts: int | None = None) -> DataFrame:
+    """Pairs that pass both filters."""
+    pairs = _keyed_join(*_by_ticker(*_by_source(events, wanted)), ["_s", "_t"], salts)
+    return pairs.where(_one_ticker_key(F.col("_t"))).drop("_s", "_t")
 
 
 def per_strategy_counts(pairs: DataFrame) -> DataFrame:

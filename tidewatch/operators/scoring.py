@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.matching import prefilter_join
+from tidewatch.operators.matching import SALTS, prefilter_join
 from tidewatch.schemas import SEARCH_LIMIT
 
 BLOCK_BYTES = 128 << 20   # largest registry shipped to executors
 CELLS = 1 << 22           # largest score matrix held by a task
-SALTS = 16
 PAIR = "strategy_id string, event_id string, score double"
 SCORED = "strategy_id string, event_id string, ingested_at timestamp, score double"
 

@@ -240,7 +240,7 @@ select '{"level":"INFO","msg":"alert triggered","strategy_id":'||to_json(strateg
 sql("user_alert_feed", "b_alerts", f"""
 select user_id, seq, '{{"id":'||to_json(id)||',"user_id":'||to_json(user_id)||',"strategy_id":'||to_json(strategy_id)
   ||',"event_id":'||to_json(event_id)||',"title":'||to_json(title)||',"content":'||to_json(content)||',"url":'||to_json(url)
-  ||',"similarity_score":'||cast(similarity_score as varchar)||',"is_read":false,"created_at":"'||{_time('created_at')}||'"}}' payload
+  ||',"similarity_score":'||cast(cast(similarity_score as decimal(18,6)) as varchar)||',"is_read":false,"created_at":"'||{_time('created_at')}||'"}}' payload
 from (select *, row_number() over (partition by user_id order by created_at, id) seq from b_alerts) where seq <= 64""")
 sql("user_alerts_page", "b_alerts", f"""
 select id, user_id, {_time('created_at')} created_at from (

@@ -176,7 +176,7 @@ def prefilter_match(t):
 
 @query
 def prefilter_match_equi(t):
-    pairs = matching.prefilter_join(_plain_arrivals(t), _plain_interests(t), salts=scoring.SALTS)
+    pairs = matching.prefilter_join(_plain_arrivals(t), _plain_interests(t), salts=matching.SALTS)
     return pairs.select("event_id", "strategy_id")
 
 

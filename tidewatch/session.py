@@ -101,6 +101,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a frame as text, by a job over it.  For sides meant to be small."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+
+
 def read_parts(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
     """Rows written as ``path/batch=<id>``, of batches below ``before`` if given.
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,6 +13,7 @@ from tidewatch.operators.scoring import SCORED, score_arrivals
 from tidewatch.schemas import SEARCH_LIMIT
 
 _STATE = T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType()))])
+_MATCH = Row("strategy_id", "event_id", "ingested_at", "score", "rank")
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,21 +24,15 @@ class _RankAtArrival(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.best = handle.getValueState("best", _STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values(["ingested_at", "event_id"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         best = list(self.best.get()[0]) if self.best.exists() else []
-        ranks = []
-        for score in arrived["score"]:
-            above = len(best) - bisect_right(best, score)
-            ranks.append(above + 1)
+        for row in sorted(rows, key=lambda r: (r.ingested_at, r.event_id)):
+            above = len(best) - bisect_right(best, row.score)
             if above < self.k:
-                insort(best, score)
+                insort(best, row.score)
                 best = best[-self.k:]
+                yield _MATCH(row.strategy_id, row.event_id, row.ingested_at, row.score, above + 1)
         self.best.update((best,))
-        arrived["rank"] = pd.Series(ranks, index=arrived.index, dtype="int32")
-        arrived["strategy_id"] = key[0]
-        kept = arrived[arrived["rank"] <= self.k]
-        yield kept[["strategy_id", "event_id", "ingested_at", "score", "rank"]]
 
     def close(self) -> None:
         pass
@@ -55,7 +49,7 @@ def stream_matches(arrivals: DataFrame, interests: DataFrame, k: int = SEARCH_LI
     """
     spark = arrivals.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    return score_arrivals(arrivals, interests, k).groupBy("strategy_id").transformWithStateInPandas(
+    return score_arrivals(arrivals, interests, k).groupBy("strategy_id").transformWithState(
         statefulProcessor=_RankAtArrival(k),
         outputStructType=f"{SCORED}, rank int",
         outputMode="Append",
