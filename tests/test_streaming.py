@@ -1,14 +1,15 @@
 """Streams give what the batch operators give, and replays change nothing."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import enrichment, ranking, sinks
+from tidewatch.operators import corpus, enrichment, ranking, sinks
 from tidewatch.schemas import ALERT, EVENT
-from tidewatch.session import read_parts
+from tidewatch.session import materialise, read_parts, scratch_scope
 from tidewatch.streaming import ingest, matcher
 from tidewatch.streaming.job import FAILURE, EventJob
 
@@ -126,6 +127,25 @@ def test_registry_changes_take_effect_on_the_next_batch(spark, tmp_path):
     assert got == expected
 
 
+def test_vectors_of_another_length_stay_out(spark, tmp_path):
+    events, vectors = make(10)
+    vectors[3] = ("e3", [1.0] * (DIM + 1))
+    root = str(tmp_path)
+    vec = spark.createDataFrame(vectors, "id string, vector array<float>")
+    job = EventJob(spark, root, lambda: spark.createDataFrame(registry(), REGISTRY),
+                   lambda f: f.join(vec, "id").withColumn("outcome", F.lit("enriched")), dim=DIM)
+    job.process(spark.createDataFrame(events, EVENT), 0)
+    assert corpus.read_points(spark, f"{root}/points").count() == 9
+    assert job.counters().first().errors_total == 1
+
+
+def test_intermediates_are_removed_with_their_batch(spark, tmp_path):
+    with scratch_scope(spark) as folder:
+        frame = materialise(spark.range(3), "x")
+        assert frame.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
 def test_failed_embeddings_wait_and_come_back(spark, tmp_path):
     events, vectors = make(40)
     root = str(tmp_path)
@@ -136,7 +156,7 @@ def test_failed_embeddings_wait_and_come_back(spark, tmp_path):
     assert all(r.next_attempt_at - r.failed_at == dt.timedelta(milliseconds=500) for r in first)
     assert failures.where("batch = 1").count() == 0
     row = job.counters().first()
-    assert (row.events_ingested, row.events_processed, row.errors_total, row.retry_attempts) == (42, 40, 2, 2)
+    assert (row.events_ingested, row.events_processed, row.errors_total, row.retry_attempts) == (40, 40, 2, 2)
 
 
 def test_dedupe_and_counters(spark, tmp_path):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.matching import SALTS, prefilter_join
 from tidewatch.schemas import SEARCH_LIMIT
+from tidewatch.session import share
 
 BLOCK_BYTES = 128 << 20   # largest registry shipped to executors
 CELLS = 1 << 22           # largest score matrix held by a task
@@ -159,7 +160,7 @@ def _emit(block: InterestBlock, rows: pa.Table, picked: np.ndarray, scores: np.n
 
 
 def _score_all_by_block(events: DataFrame, block: InterestBlock) -> DataFrame:
-    shared = events.sparkSession.sparkContext.broadcast(block)
+    shared = share(events.sparkSession, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -176,7 +177,7 @@ def _score_all_by_block(events: DataFrame, block: InterestBlock) -> DataFrame:
 
 
 def _score_arrivals_by_block(events: DataFrame, block: InterestBlock, k: int) -> DataFrame:
-    shared = events.sparkSession.sparkContext.broadcast(block)
+    shared = share(events.sparkSession, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
@@ -276,7 +277,7 @@ def score_arrivals(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMI
 
 
 def _search_by_block(points: DataFrame, block: InterestBlock, k: int) -> DataFrame:
-    shared = points.sparkSession.sparkContext.broadcast(block)
+    shared = share(points.sparkSession, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value

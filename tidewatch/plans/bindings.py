@@ -39,6 +39,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
         ship_package(spark)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # times of the tables are UTC
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

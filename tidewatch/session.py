@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 _own_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
 _scope: ContextVar[str | None] = ContextVar("scope", default=None)
+_shared: ContextVar[list | None] = ContextVar("shared", default=None)
 
 
 def build_session(master: str | None = None, app: str = "tidewatch", **conf: str) -> SparkSession:
@@ -75,15 +76,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def scratch_scope(spark: SparkSession):
-    """Intermediates written inside the block share one folder, removed at its end.
+    """Intermediates of the block share one folder; it and broadcasts go at the end.
 
     For long-running jobs.  Results that outlive the block must be written elsewhere.
     """
     folder = scratch_path(spark, "scope")
-    token = _scope.set(folder)
+    token, shared = _scope.set(folder), _shared.set([])
     try:
         yield folder
     finally:
+        for broadcast in _shared.get():
+            broadcast.destroy()
+        _shared.reset(shared)
         _scope.reset(token)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -101,6 +105,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value):
+    """Broadcast a Python value whose size the caller has checked."""
+    broadcast = spark.sparkContext.broadcast(value)
+    if _shared.get() is not None:
+        _shared.get().append(broadcast)
+    return broadcast
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of a frame as text, by a job over it.  For sides meant to be small."""
     return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas
 from tidewatch.functions.scalars import first_parenthesised
+from tidewatch.session import materialise
 
 
 def _no_tickers() -> Column:
@@ -131,12 +132,14 @@ def unseen(snapshot: DataFrame, cursors: DataFrame) -> DataFrame:
 
     ``snapshot`` holds (source, pos, id, ...) with pos 0 = newest; ``cursors`` holds
     (source, last_id).  A marker that is null or no longer in the feed releases the
-    whole feed again.
+    whole feed again.  The marks, one row per source, are written first: the planner
+    then knows their size and need not shuffle the feed by its few sources.
     """
-    marks = (
+    marks = materialise(
         snapshot.join(cursors.withColumnRenamed("last_id", "id"), ["source", "id"], "left_semi")
         .groupBy("source")
-        .agg(F.min("pos").alias("_mark"))
+        .agg(F.min("pos").alias("_mark")),
+        "marks",
     )
     return (
         snapshot.join(marks, "source", "left")
