@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import corpus, enrichment, ranking, sinks
 from tidewatch.schemas import ALERT, EVENT
 from tidewatch.session import materialise, read_parts, scratch_scope
+from tidewatch.sources import feeds
 from tidewatch.streaming import ingest, matcher
 from tidewatch.streaming.job import FAILURE, EventJob
 
@@ -180,6 +181,33 @@ def test_dedupe_and_counters(spark, tmp_path):
     assert listener.totals == {"events_ingested": 45, "events_undated": 0}
 
 
+def test_both_producers_as_one_stream(spark, tmp_path):
+    """JSON news and XML filings, fanned in, de-duplicated and re-delivered."""
+    news, filings = tmp_path / "news", tmp_path / "filings"
+    news.mkdir(), filings.mkdir()
+    item = '{"id":"n%d","tickers":["A"],"title":"t","article_url":"u","published_utc":"2024-01-01T00:00:00Z"}\n'
+    (news / "1.json").write_text(item % 1 + item % 2)
+    (news / "2.json").write_text(item % 2 + item % 3)
+    entry = ('<entry><title>8-K - X (%d) (Filer)</title><link href="https://f.example"/>'
+             '<updated>2024-01-01T10:00:00Z</updated><id>urn:%d</id></entry>')
+    for n in (1, 2):
+        body = entry % (7, 1) + entry % (8, n)
+        (filings / f"{n}.xml").write_text(f'<feed xmlns="http://www.w3.org/2005/Atom">{body}</feed>')
+    known = spark.createDataFrame([("7", "SEVEN")], "cik string, ticker string")
+    stamp = F.col("published_utc")
+    stream = feeds.fan_in(
+        feeds.normalise_news(feeds.read_news(spark, str(news), True, 1), stamp),
+        feeds.normalise_filings(feeds.read_filings(spark, str(filings), True, 1), known, F.col("published")))
+    run = ingest.dedupe_stream(stream).writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    run.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 5
+    assert {r.id: (r.source, r.tickers) for r in rows} == {
+        "n1": ("Polygon.io", ["A"]), "n2": ("Polygon.io", ["A"]), "n3": ("Polygon.io", ["A"]),
+        "urn:1": ("SEC EDGAR", ["SEVEN"]), "urn:2": ("SEC EDGAR", [])}
+
+
 def test_bounded_dedupe(spark, tmp_path):
     events, _ = make(10)
     landing = str(tmp_path / "in")

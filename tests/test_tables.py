@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts, corpus, counters, embedding, enrichment, sinks, tables
-from tidewatch.schemas import ALERT, API_KEY, REQUEST_DEFAULTS, STRATEGY
+from tidewatch.schemas import ALERT, API_KEY, REQUEST_DEFAULTS, STRATEGY, TABLE_DEFAULTS
 from tidewatch.session import read_parts
 from tidewatch.sources import companies, feeds, pages, registry
 
@@ -225,6 +225,22 @@ def alert_table(spark, n=4):
     return spark.createDataFrame(rows, ALERT)
 
 
+def test_stored_tables_are_read_under_their_schema(spark, tmp_path):
+    strategies(spark).write.parquet(str(tmp_path / "s"))
+    read = registry.read_table(spark, STRATEGY, path=str(tmp_path / "s"))
+    assert read.schema == STRATEGY and values(read, "id") == [("s0",), ("s1",), ("s2",), ("s3",)]
+
+
+@pytest.mark.parametrize("defaults, active", [(TABLE_DEFAULTS, True), (REQUEST_DEFAULTS, False)])
+def test_insert_defaults_differ_by_path(spark, defaults, active):
+    rows = spark.createDataFrame([("r", "u", None, None, None, None)],
+                                 "request_id string, user_id string, source array<string>, tickers array<string>, "
+                                 "similarity_threshold double, is_active boolean")
+    row = registry.with_defaults(rows, defaults, F.lit(NOW)).first()
+    assert (row.source, row.tickers, row.similarity_threshold, row.is_active) == ([], [], 0.0, active)
+    assert row.created_at == row.updated_at == NOW
+
+
 def test_toggle_update_and_reads(spark):
     rows = strategies(spark)
     asked = requests(spark, ("s0", "u0"), ("s1", "u0"), ("s2", "u0"), ("s3", "u1"), ("s3", "u1"))

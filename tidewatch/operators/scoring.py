@@ -96,7 +96,7 @@ def load_block(interests: DataFrame, max_bytes: int = BLOCK_BYTES) -> tuple[Inte
     any_source, by_source = _look_up(table["wanted_sources"].to_pylist())
     any_ticker, by_ticker = _look_up(table["wanted_tickers"].to_pylist())
     block = InterestBlock(
-        ids=table["strategy_id"].combine_chunks(),
+        ids=table["strategy_id"].cast(pa.string()).combine_chunks(),
         thresholds=table["threshold"].to_numpy(),
         units=_unit_rows(_matrix(table["query_vector"])),
         any_source=any_source,
@@ -133,12 +133,11 @@ def _block_scores(block: InterestBlock, batch: pa.Table, thresholds: np.ndarray
     """(row slice, strategy x row scores); what the filters reject is -inf."""
     keys = list(zip(batch["source"].to_pylist(), (tuple(t or ()) for t in batch["tickers"].to_pylist())))
     index = {key: i for i, key in enumerate(dict.fromkeys(keys))}
-    codes = np.array([index[key] for key in keys])
-    masks = [block.mask(*key) for key in index]
+    codes, kinds = np.array([index[key] for key in keys]), list(index)
     units = _unit_rows(_matrix(batch["vector"]))
     for rows in _row_blocks(len(keys), len(block.thresholds)):
         used, local = np.unique(codes[rows], return_inverse=True)
-        keep = np.stack([masks[i] for i in used])[local].T
+        keep = np.stack([block.mask(*kinds[i]) for i in used])[local].T
         scores = _round6(block.units @ units[rows].T)
         if thresholds is not None:
             keep = keep & (scores >= thresholds[:, None])
@@ -230,7 +229,7 @@ def prune_arrivals(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
             yield from batch.take(pa.array(kept)).combine_chunks().to_batches()
 
 
-def _score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the two vectors of each pair by its score; drop pairs below the threshold."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -250,7 +249,7 @@ def _score_by_pairs(rows: DataFrame, interests: DataFrame, dim: int, schema: str
         "strategy_id", "wanted_sources", "wanted_tickers", "threshold", "query_vector")
     pairs = prefilter_join(left, right, SALTS).select(
         "strategy_id", "event_id", *kept, "threshold", "vector", "query_vector")
-    return pairs.mapInArrow(lambda batches: after(_score_rows(batches)), schema)
+    return pairs.mapInArrow(lambda batches: after(score_rows(batches)), schema)
 
 
 def score_pairs(events: DataFrame, interests: DataFrame, max_block_bytes: int = BLOCK_BYTES) -> DataFrame:

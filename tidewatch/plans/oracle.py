@@ -83,6 +83,13 @@ _BINDINGS: dict[str, tuple[list[str], str]] = {
         select * from (select strategy_id, event_id, {_uuid5("event_id")} point_id, score, threshold,
             row_number() over (partition by strategy_id order by score desc, {_uuid5("event_id")}) rank
           from b_pairs) where rank <= 10"""),
+    "b_texts": ([], r"""
+        select url, array_to_string(list_filter(list_transform(string_split(t, chr(10)),
+            lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text
+        from (select url, replace(replace(replace(replace(regexp_replace(regexp_replace(
+            regexp_extract(html, '<article>(.*)</article>', 1, 's'),
+            '</?(p|br|div|li|h1|h2|h3|h4|h5|h6)( [^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'),
+            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as t from pages)"""),
     "b_filings": ([], """
         select cast(o_orderkey as varchar) guid, '8-K - '||c_name||case
             when o_orderkey%13=0 then ''
@@ -267,6 +274,12 @@ with f as (select id, cast(seq%4+1 as bigint) attempts from b_outcomes where out
 d as (select *, attempts > 3 exhausted, least(500.0*pow(2.0, attempts-1), 10000.0)::double delay from f)
 select id, attempts, exhausted, case when not exhausted then delay*0.5 end min_delay_ms,
   case when not exhausted then delay end max_delay_ms, case when not exhausted then cast(delay*1000 as bigint) end wait_micros from d""")
+sql("extract_text", "b_texts", "select url, text from b_texts")
+sql("enrich_events", "b_events b_texts", """
+select id, outcome, case when outcome='enriched' then cast(256 as bigint) end dims from (
+  select e.id, case when t.url is null then 'skipped_fetch' when octet_length(encode(t.text)) < 50 then 'skipped_short'
+    when not regexp_matches(lower(t.text), '[a-z0-9]') then 'error' else 'enriched' end outcome
+  from b_events e left join b_texts t on t.url=e.content_url)""")
 sql("parse_tickers", "", """
 select doc_id, array_to_string(list_filter(list_transform(string_split(lang||' ,'||'t'||(doc_id%10)||' ,'||' '||' ,'||source, ','),
   lambda x: upper(trim(x))), lambda x: x<>''), '|') tickers from documents""")
@@ -306,6 +319,9 @@ sql("register_users", "b_user_requests b_users", """
 select r.email, r.seq, case when r.email not in (select email from b_users where seq%5=0)
   and r.seq = min(r.seq) over (partition by r.email) then 'inserted' else 'rejected' end status from b_user_requests r""")
 sql("unique_violations", "b_user_requests", "select email, count(*) as rows from b_user_requests group by 1 having count(*)>1")
+sql("encrypt_column", "b_key_requests", """
+select user_id, provider, encrypted_key, cast(12 + octet_length(encode(encrypted_key)) + 16 as bigint) sealed_bytes
+from b_key_requests""")
 sql("decrypt_column", "b_key_requests", f"""
 select user_id, {_time('created_at')} created_at,
   case when seq%7<>0 and seq%11<>0 then encrypted_key end opened, seq%7=0 or seq%11=0 rejected from b_key_requests""")
