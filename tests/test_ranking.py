@@ -134,6 +134,20 @@ def test_scores_are_pruned_alike_whatever_the_batch_size(spark):
     assert results[0] == results[1] and results[0]
 
 
+@pytest.mark.parametrize("rows", [1, 5, 1000])
+def test_pruning_any_grouping_keeps_every_alert(rows):
+    import pyarrow as pa
+    rng = random.Random(rows)
+    data = [(f"s{rng.randint(0, 2)}", f"e{i:03d}", T0 + dt.timedelta(seconds=rng.randint(0, 40)),
+             round(rng.random(), 1)) for i in range(200)]
+    names = ["strategy_id", "event_id", "ingested_at", "score"]
+    batches = pa.Table.from_pylist([dict(zip(names, r)) for r in data]).to_batches(7)
+    left = [tuple(r[n] for n in names) for b in scoring.prune_arrivals(iter(batches), 3, rows) for r in b.to_pylist()]
+    assert len(left) <= len(data) and set(left) <= set(data)
+    assert brute_rank(left, 3) == brute_rank(data, 3)
+    assert rows < 1000 or len(left) < len(data) / 2
+
+
 def test_raising_thresholds_only_removes_alerts(spark):
     events, interests = make_events(300, seed=4)
     e = spark.createDataFrame(events, EVENTS)

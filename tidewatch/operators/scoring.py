@@ -26,6 +26,7 @@ from tidewatch.session import share
 
 BLOCK_BYTES = 128 << 20   # largest registry shipped to executors
 CELLS = 1 << 22           # largest score matrix held by a task
+PRUNED_TOGETHER = 1 << 19   # narrow rows pruned at a time after the pair join
 PAIR = "strategy_id string, event_id string, score double"
 SCORED = "strategy_id string, event_id string, ingested_at timestamp, score double"
 
@@ -204,29 +205,39 @@ def _score_arrivals_by_block(events: DataFrame, block: InterestBlock, k: int) ->
     return usable.mapInArrow(run, SCORED)
 
 
-def prune_arrivals(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Drop rows that k earlier rows of the same batch and strategy outrank.
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches joined to tables of about ``rows`` rows."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held)
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held)
+
+
+def prune_arrivals(batches: Iterator[pa.RecordBatch], k: int, rows: int = PRUNED_TOGETHER
+                   ) -> Iterator[pa.RecordBatch]:
+    """Drop rows that k earlier rows of the same strategy outrank, among ``rows`` at a time.
 
     Safe on any subset taken in arrival order: whatever outranks a dropped row also
     outranks every later row the dropped row would have outranked.
     """
-    for raw in batches:
-        batch = pa.Table.from_batches([raw]).sort_by(
-            [("ingested_at", "ascending"), ("event_id", "ascending")]
-        )
-        best: dict[str, list[float]] = {}
+    for gathered in _gathered(batches, rows):
+        table = gathered.sort_by([("ingested_at", "ascending"), ("event_id", "ascending")])
+        codes = table["strategy_id"].combine_chunks().dictionary_encode().indices.to_pylist()
+        best: dict[int, list[float]] = {}
         kept = []
-        for row, (strategy, score) in enumerate(
-            zip(batch["strategy_id"].to_pylist(), batch["score"].to_pylist())
-        ):
+        for row, (strategy, score) in enumerate(zip(codes, table["score"].to_pylist())):
             scores = best.setdefault(strategy, [])
             if len(scores) - bisect_right(scores, score) < k:
                 kept.append(row)
                 insort(scores, score)
                 if len(scores) > k:
                     scores.pop(0)
-        if kept:
-            yield from batch.take(pa.array(kept)).combine_chunks().to_batches()
+        yield from table.take(pa.array(kept)).combine_chunks().to_batches()
 
 
 def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,15 +117,14 @@ def key_status(users: DataFrame, keys: DataFrame) -> DataFrame:
 def register_users(users: DataFrame, requests: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(inserted rows, rejected rows): an address may exist once, the first request wins.
 
-    ``requests`` holds (email, ``order``, ...).
+    ``requests`` holds (email, ``order``, ...), ``order`` telling the requests of one
+    address apart.  The first per address is cut down inside each task, and rejects are
+    found by (email, order), so an address asked for over and over stays spread out.
     """
-    taken = users.select("email").withColumn("_taken", F.lit(True))
-    first = F.min(order).alias("_first")
-    firsts = requests.groupBy("email").agg(first)
-    judged = requests.join(firsts, "email").join(taken, "email", "left").withColumn(
-        "_ok", F.col("_taken").isNull() & (F.col(order) == F.col("_first")))
-    plain = requests.columns
-    return judged.where("_ok").select(*plain), judged.where("not _ok").select(*plain)
+    first = latest_per_key(requests, ["email"], F.col(order))
+    inserted = first.join(users.select("email"), "email", "left_anti")
+    rejected = requests.join(inserted.select("email", order), ["email", order], "left_anti")
+    return inserted.select(*requests.columns), rejected.select(*requests.columns)
 
 
 def unique_violations(rows: DataFrame, *keys: str) -> DataFrame:
