@@ -156,6 +156,19 @@ def test_hashing_embedder_is_a_unit_vector_of_whole_texts(spark):
     assert sorted(x for x in vectors[1] if x) == pytest.approx([5 ** -0.5, 2 * 5 ** -0.5])
 
 
+def test_long_texts_are_handled_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+    texts = ["a b", None, "", "c " * 3000, "d", "E e-é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["k", "t"])
+    for limit in (1, 100, 1 << 20):
+        monkeypatch.setattr(embedding, "SLICE_BYTES", limit)
+        pieces = list(embedding._slices(batch, 1))
+        assert [x for p in pieces for x in p.column(1).to_pylist()] == texts
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = embedding.hashed_terms(frame, "k", "t").groupBy("k").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    assert {r.k: round(r.n, 9) for r in got} == {0: 1.0, 3: 1.0, 4: 1.0, 5: 1.0}
+
+
 def test_each_query_is_embedded_once(spark):
     rows = spark.createDataFrame([(i, f"query {i % 2}") for i in range(6)], "id int, query string")
     calls = spark.sparkContext.accumulator(0)
@@ -259,7 +272,8 @@ def test_toggle_update_and_reads(spark):
 
 def test_deletes_and_cascade(spark):
     rows, sent = strategies(spark), alert_table(spark)
-    kept, left = tables.delete_strategies(rows, sent, requests(spark, ("s0", "u0"), ("s1", "u0")))
+    asked = requests(spark, ("s0", "u0"), ("s1", "u0"))
+    kept, left = tables.delete_strategies(rows, asked), tables.unlink_alerts(sent, rows, asked)
     assert values(kept, "id") == [("s1",), ("s2",), ("s3",)]
     assert values(left, "id", "strategy_id") == [("a0", None), ("a1", "s1"), ("a2", "s2"), ("a3", "s3")]
     users = spark.createDataFrame([("u0", "x"), ("u1", "y")], "id string, email string")

@@ -2,64 +2,103 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 HASH_DIM = 256
+SLICE_BYTES = 8 << 20
+TOKENS_REMEMBERED = 1 << 20
 
 
-def bucket(token: Column, dim: int = HASH_DIM) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("int"), F.lit(dim))
+class _TermHasher:
+    """Token counts per hash bucket for whole Arrow batches of texts."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+        self.known: dict[str, int] = {"": -1}
+
+    def bucket(self, token: str) -> int:
+        found = self.known.get(token)
+        if found is None:
+            if len(self.known) >= TOKENS_REMEMBERED:
+                self.known = {"": -1}
+            found = int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % self.dim
+            self.known[token] = found
+        return found
+
+    def weights(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, bucket, weight), the weights of a row having length 1."""
+        tokens = pc.split_pattern_regex(pc.utf8_lower(texts), "[^a-z0-9]+")
+        flat = tokens.flatten().dictionary_encode()
+        buckets = np.array([self.bucket(t) for t in flat.dictionary.to_pylist()], dtype=np.int64)
+        buckets = buckets[flat.indices.to_numpy()]
+        rows = pc.list_parent_indices(tokens).to_numpy().astype(np.int64)
+        used = buckets >= 0
+        cells, counts = np.unique(rows[used] * self.dim + buckets[used], return_counts=True)
+        row = cells // self.dim
+        norms = np.sqrt(np.bincount(row, counts.astype(np.float64) ** 2, minlength=len(texts)))
+        return row, cells % self.dim, counts / norms[row]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about SLICE_BYTES of text; a single text is never cut."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    piece = (np.cumsum(sizes, dtype=np.int64) - sizes) // SLICE_BYTES
+    starts = np.flatnonzero(np.diff(piece, prepend=-1))
+    for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(start, end - start)
+
+
+def _over_texts(texts: DataFrame, key: str, text: str, dim: int, emit: Callable, columns: str) -> DataFrame:
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _TermHasher(dim)
+        for batch in batches:
+            for piece in _slices(batch, 1):
+                yield emit(piece.column(0), *hasher.weights(piece.column(1)))
+
+    return texts.select(key, text).mapInArrow(run, f"{key} {kind}, {columns}")
 
 
 def hashed_terms(texts: DataFrame, key: str, text: str, dim: int = HASH_DIM) -> DataFrame:
-    """(key, bucket, weight): token counts per hash bucket, L2-normalised per key.
+    """(key, bucket, weight): token counts per hash bucket, L2-normalised per text.
 
-    One shuffle: whole texts move once to their key, and the counts and the norm are
-    then local to that partition.  Tokens never cross the network.
+    No shuffle: a text is whole in its row, so it is counted where it was read.
     """
-    tokens = (
-        texts.select(key, text).repartition(key)
-        .select(key, F.explode(F.split(F.lower(text), "[^a-z0-9]+")).alias("_token"))
-        .where("_token <> ''")
-    )
-    counts = tokens.groupBy(key, bucket(F.col("_token"), dim).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("_count")
-    )
-    norm = F.sqrt(F.sum(F.col("_count") * F.col("_count")).over(W.partitionBy(key)).cast("double"))
-    return counts.select(key, "bucket", (F.col("_count") / norm).alias("weight"))
-
-
-def _dense(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """(key, list of bucket and weight) -> (key, vector), a whole batch at a time."""
-    for batch in batches:
-        entries = batch.column(1)
-        sizes = pc.list_value_length(entries).to_numpy(zero_copy_only=False)
-        flat = entries.flatten()
-        vectors = np.zeros((batch.num_rows, dim), dtype=np.float32)
-        vectors[np.repeat(np.arange(batch.num_rows), sizes), flat.field("bucket")] = flat.field("weight")
-        offsets = pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))],
-            [batch.schema.names[0], "vector"])
+
+    def emit(keys, row, bucket, weight):
+        return pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(row)), pa.array(bucket), pa.array(weight)], [key, "bucket", "weight"])
+
+    return _over_texts(texts, key, text, dim, emit, "bucket long, weight double")
 
 
 def hashing_embedder(dim: int = HASH_DIM) -> Embedder:
-    """The default embedder: hashed term counts as a dense unit vector."""
+    """The default embedder: hashed term counts as a dense unit vector.
+
+    A text without any token has no vector.
+    """
 
     def embed(texts: DataFrame, key: str, text: str) -> DataFrame:
-        terms = hashed_terms(texts, key, text, dim).groupBy(key).agg(
-            F.collect_list(F.struct("bucket", "weight")).alias("terms"))
-        kind = texts.schema[key].dataType.simpleString()
-        return terms.mapInArrow(lambda batches: _dense(batches, dim), f"{key} {kind}, vector array<float>")
+        def emit(keys, row, bucket, weight):
+            present, index = np.unique(row, return_inverse=True)
+            vectors = np.zeros((len(present), dim), dtype=np.float32)
+            vectors[index, bucket] = weight
+            offsets = pa.array(np.arange(len(present) + 1) * dim, pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(present)), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))],
+                [key, "vector"])
+
+        return _over_texts(texts, key, text, dim, emit, "vector array<float>")
 
     return embed
 

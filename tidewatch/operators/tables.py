@@ -59,18 +59,19 @@ def update_strategies(strategies: DataFrame, updates: DataFrame, now: Column, ve
     )
 
 
-def delete_strategies(strategies: DataFrame, alerts: DataFrame, requests: DataFrame
-                      ) -> tuple[DataFrame, DataFrame]:
-    """(strategies left, alerts): alerts of a deleted strategy stay, without the link."""
-    gone = owner_scoped_read(strategies, requests).select(F.col("id").alias("strategy_id")).withColumn(
-        "_gone", F.lit(True))
-    kept = strategies.join(requests.select(*OWNED), OWNED, "left_anti")
-    unlinked = (
+def delete_strategies(strategies: DataFrame, requests: DataFrame) -> DataFrame:
+    return strategies.join(requests.select(*OWNED), OWNED, "left_anti")
+
+
+def unlink_alerts(alerts: DataFrame, strategies: DataFrame, requests: DataFrame) -> DataFrame:
+    """Alerts of the strategies these requests delete stay, without the link."""
+    deleted = owner_scoped_read(strategies, requests).select(F.col("id").alias("strategy_id"))
+    gone = deleted.withColumn("_gone", F.lit(True))
+    return (
         alerts.join(gone, "strategy_id", "left")
         .withColumn("strategy_id", F.when(F.col("_gone").isNull(), F.col("strategy_id")))
         .select(*alerts.columns)
     )
-    return kept, unlinked
 
 
 def cascade_delete_users(users: DataFrame, deleted: DataFrame, *owned: DataFrame) -> list[DataFrame]:

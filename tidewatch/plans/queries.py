@@ -436,14 +436,13 @@ def mark_alerts_not_found(t):
 @query
 def delete_strategies(t):
     rows = t.strategies()
-    kept, _ = tables.delete_strategies(rows, _alerts(t), rows.where("seq % 9 = 0"))
-    return kept.select("id", "user_id")
+    return tables.delete_strategies(rows, rows.where("seq % 9 = 0")).select("id", "user_id")
 
 
 @query
 def delete_strategies_alerts(t):
     rows = t.strategies()
-    _, left = tables.delete_strategies(rows, _alerts(t), rows.where("seq % 9 = 0"))
+    left = tables.unlink_alerts(_alerts(t), rows, rows.where("seq % 9 = 0"))
     return left.select("id", "strategy_id")
 
 
