@@ -18,6 +18,22 @@ SLICE_BYTES = 8 << 20
 TOKENS_REMEMBERED = 1 << 20
 
 
+# Byte -> itself for a-z and 0-9, space for the rest (every byte of a non-ASCII letter).
+_WORD_BYTES = np.full(256, ord(" "), dtype=np.uint8)
+for _byte in b"abcdefghijklmnopqrstuvwxyz0123456789":
+    _WORD_BYTES[_byte] = _byte
+
+
+def _words_only(texts: pa.Array) -> pa.Array:
+    """Lower-case texts with a space for every byte that belongs to no token."""
+    low = pc.utf8_lower(texts.cast(pa.string()))
+    valid, offsets, data = low.buffers()
+    if data is None:
+        return low
+    mapped = _WORD_BYTES[np.frombuffer(data, dtype=np.uint8)]
+    return pa.StringArray.from_buffers(len(low), offsets, pa.py_buffer(mapped), valid, offset=low.offset)
+
+
 class _TermHasher:
     """Token counts per hash bucket for whole Arrow batches of texts."""
 
@@ -36,7 +52,7 @@ class _TermHasher:
 
     def weights(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, bucket, weight), the weights of a row having length 1."""
-        tokens = pc.split_pattern_regex(pc.utf8_lower(texts), "[^a-z0-9]+")
+        tokens = pc.split_pattern(_words_only(texts), " ")
         flat = tokens.flatten().dictionary_encode()
         buckets = np.array([self.bucket(t) for t in flat.dictionary.to_pylist()], dtype=np.int64)
         buckets = buckets[flat.indices.to_numpy()]
