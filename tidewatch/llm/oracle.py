@@ -1,0 +1,28 @@
+"""DuckDB SQL of the registered queries that SQL can express."""
+
+from __future__ import annotations
+
+#: The words of a text, as the operators cut them: only A-Z is lower-cased.
+_WORDS = """regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+ORACLE: dict[str, str] = {
+    "op6_benchmark_decontamination": f"""
+with docs as (select row_number() over () as r, doc_id, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
+items as (select cast(item_id as varchar) as item_id, {_WORDS.format(text="coalesce(text, '')")} as w from benchmark),
+windows as (
+  select item_id, w[s:s + least(len(w), 13) - 1] as p from (
+    select item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) as s from items where len(w) > 0)),
+sizes as (select distinct len(p) as size from windows),
+spots as (
+  select r, s, size, w[s:s + size - 1] as p from (
+    select r, w, size, unnest(generate_series(1, len(w) - size + 1)) as s from docs, sizes where len(w) >= size)),
+met as (select r, s, size, item_id from spots join windows using (p)),
+hit as (select r, count(distinct i) as n from (select r, unnest(generate_series(s, s + size - 1)) as i from met) group by r),
+named as (select r, count(*) as n, string_agg(item_id, ',' order by item_id collate "C") as ids
+          from (select distinct r, item_id from met) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as bigint) as n_hit,
+  cast(coalesce(named.n, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
+from docs left join hit using (r) left join named using (r)""",
+}
