@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination
+from tidewatch.llm import decontamination, ngram_join
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def query(build: Callable) -> Callable:
     return build
 
 
+@query
+def op5_ngram_jaccard_join(read):
+    return ngram_join.ngram_join(read("documents"))
+
+
 @query
 def op6_benchmark_decontamination(read):
     hits = decontamination.phrase_hits(read("documents"), read("benchmark"))
