@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, ngram_join
+from tidewatch.llm import decontamination, ngram_join, toxicity
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,13 @@ def op6_benchmark_decontamination(read):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontamination.contaminated().alias("contaminated"))
+
+
+@query
+def op9_toxicity(read):
+    documents, held_out = read("documents"), toxicity.bucket() == 2
+    model = toxicity.fit(documents, read("labels").where(~held_out))
+    scored = documents.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        toxicity.toxicity(model, documents).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
