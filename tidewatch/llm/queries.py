@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, ngram_join, toxicity
+from tidewatch.llm import decontamination, ngram_join, quality, toxicity
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,15 @@ def query(build: Callable) -> Callable:
     return build
 
 
+@query
+def op2_quality_classifier(read):
+    documents, held_out = read("documents"), toxicity.bucket(parts=5) == 0
+    model = quality.fit(documents, read("labels").where(~held_out))
+    scored = documents.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), quality.quality(model, documents).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 @query
 def op5_ngram_jaccard_join(read):
     return ngram_join.ngram_join(read("documents"))
