@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, ngram_join, quality, toxicity
+from tidewatch.llm import decontamination, ngram_join, quality, secret_scan, toxicity
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,16 @@ def op2_quality_classifier(read):
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+@query
+def op4_secret_scan(read):
+    found = secret_scan.secret_scan(read("documents").select("doc_id", "text")).drop("text")
+    base = F.filter("secrets", lambda s: s["kind_no"] < 3)
+    counts = [F.size(secret_scan.of_kind(F.col("secrets"), kind)).cast("long").alias(f"n_{kind}")
+              for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.named(base), 256).alias("base_sha256"),
+                        secret_scan.named(F.col("secrets")).alias("spans"))
+
+
 @query
 def op5_ngram_jaccard_join(read):
     return ngram_join.ngram_join(read("documents"))
