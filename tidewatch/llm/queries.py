@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, ngram_join, quality, secret_scan, toxicity
+from tidewatch.llm import decontamination, license_scan, ngram_join, quality, secret_scan, toxicity
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,11 @@ def op2_quality_classifier(read):
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+@query
+def op3_license_scan(read):
+    return license_scan.license_scan(read("documents"))
+
+
 @query
 def op4_secret_scan(read):
     found = secret_scan.secret_scan(read("documents").select("doc_id", "text")).drop("text")
