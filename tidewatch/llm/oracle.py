@@ -7,6 +7,17 @@ _WORDS = """regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '
     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
 
 ORACLE: dict[str, str] = {
+    "op1_exact_topk_search": """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from whole a join whole b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+where rank <= 5""",
     "op6_benchmark_decontamination": f"""
 with docs as (select row_number() over () as r, doc_id, {_WORDS.format(text="coalesce(text, '')")} as w from documents),
 items as (select cast(item_id as varchar) as item_id, {_WORDS.format(text="coalesce(text, '')")} as w from benchmark),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, license_scan, ngram_join, quality, secret_scan, toxicity
+from tidewatch.llm import decontamination, license_scan, ngram_join, quality, secret_scan, topk_search, toxicity
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def query(build: Callable) -> Callable:
     return build
 
 
+@query
+def op1_exact_topk_search(read):
+    return topk_search.top_k(read("embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op2_quality_classifier(read):
     documents, held_out = read("documents"), toxicity.bucket(parts=5) == 0
