@@ -36,4 +36,20 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(hit.n, 0) as big
   cast(coalesce(named.n, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
   coalesce(hit.n, 0) > 0 and 20 * coalesce(hit.n, 0) >= len(w) as contaminated
 from docs left join hit using (r) left join named using (r)""",
+    "op8_chat_format": r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized as (
+  select *, length(role) + length(text) + length('### : </turn>') + 1
+    + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', ''))
+    + length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', '')) as chars
+  from turns)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars
+from sized group by conv_id""",
 }
