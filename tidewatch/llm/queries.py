@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontamination, license_scan, ngram_join, quality, secret_scan, topk_search, toxicity
+from tidewatch.llm import chat_format, decontamination, html_extract, license_scan, ngram_join, quality, secret_scan, topk_search, toxicity
 from tidewatch.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op9_toxicity(read):
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"),
         toxicity.toxicity(model, documents).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query
+def op10_html_extract(read):
+    return html_extract.extract(read("pages")).withColumn("n_chars", F.length("text").cast("long"))
