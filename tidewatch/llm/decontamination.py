@@ -88,7 +88,6 @@ def token_postings(documents: DataFrame, terms: bytes, id_column: str = "doc_id"
 
     def post(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         admitted = Admitted(bits.value)
         names, types = ["term", "doc_id", "text_key", "at"], [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
@@ -101,9 +100,9 @@ def token_postings(documents: DataFrame, terms: bytes, id_column: str = "doc_id"
                 column.clear()
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)), strict=True):
+            for doc, text, key in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)),
+                                      batch.column(2).to_pylist(), strict=True):
                 words = words_of(text)
-                key = xxhash.xxh3_64_intdigest(text or b"") - (1 << 63)
                 hits = [(word, at) for at, word in enumerate(words) if admitted[word]]
                 rows[0] += [word for word, _ in hits] + [None]
                 rows[1] += [doc] * (len(hits) + 1)
@@ -113,8 +112,16 @@ def token_postings(documents: DataFrame, terms: bytes, id_column: str = "doc_id"
                     yield from made()
         yield from made()
 
-    return documents.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(
-        post, "term string, doc_id long, text_key long, at int")
+    return _keyed(documents, id_column, text_column).mapInArrow(post, "term string, doc_id long, text_key long, at int")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _keyed(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"),
+                            text_key(F.col(text_column)).alias("text_key"))
 
 
 def _doc_key() -> Column:
@@ -168,16 +175,12 @@ class Index:
 
         def admit(batches: Iterator) -> Iterator:
             import pyarrow as pa
-            import xxhash
 
             admitted = Admitted(bits.value)
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), binary_values(batch.column(1))
-                keys = [xxhash.xxh3_64_intdigest(text or b"") - (1 << 63) for text in texts]
-                kept = pa.array([admitted[b"%s:%d" % (b"" if doc is None else b"%d" % doc, key)]
-                                 for doc, key in zip(ids, keys, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["doc_id", "text", "text_key"]).filter(kept)
+                yield batch.filter(pa.array([
+                    admitted[b"%s:%d" % (b"" if doc is None else b"%d" % doc, key)]
+                    for doc, key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.bool_()))
 
         def verify(batches: Iterator) -> Iterator:
             import pyarrow as pa
@@ -198,9 +201,8 @@ class Index:
                     [batch.column("doc_id"), batch.column("text_key"), pa.array(hits, pa.int64()),
                      pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_hit", "phrase_ids"])
 
-        texts = self.documents.select(F.col(self.id_column).cast("long").alias("doc_id"),
-                                      F.col(self.text_column).cast("string").alias("text"))
-        texts = texts.mapInArrow(admit, "doc_id long, text string, text_key long").dropDuplicates(["doc_id", "text_key"])
+        texts = _keyed(self.documents, self.id_column, self.text_column).mapInArrow(
+            admit, "doc_id long, text string, text_key long").dropDuplicates(["doc_id", "text_key"])
         listed = candidates.groupBy("doc_id", "text_key").agg(
             F.collect_list(F.struct("start", "phrase_id", "phrase")).alias("listed"))
         return _same_document(texts, listed, "inner").mapInArrow(

@@ -70,12 +70,13 @@ def _signatures(documents: DataFrame, size: int, bands: int, rows: int, id_colum
         for batch in batches:
             sets = [shingle_hashes(words_of(text), size) for text in binary_values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(_set_key, sets), pa.string()), pa.array([len(g) for g in sets], pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(map(_set_key, sets), pa.string()), pa.array([len(g) for g in sets], pa.int64()),
                  pa.array([band_hashes(g, bands, rows) if len(g) else None for g in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "set_key", "n_grams", "bands"])
+                names=["doc_id", "text_key", "set_key", "n_grams", "bands"])
 
-    return documents.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).mapInArrow(
-        sign, "doc_id long, set_key string, n_grams long, bands array<long>")
+    text = F.col(text_column).cast("string")
+    return documents.select(F.col(id_column).cast("long"), text, F.xxhash64(text)).mapInArrow(
+        sign, "doc_id long, text_key long, set_key string, n_grams long, bands array<long>")
 
 
 def _texts(documents: DataFrame, keys: DataFrame, size: int, text_column: str) -> DataFrame:
@@ -187,7 +188,11 @@ def _compare(documents: DataFrame, members: DataFrame, size: int, threshold: Fra
 def ngram_join(documents: DataFrame, size: int = NGRAM, threshold: Fraction | float = THRESHOLD, recall: float = RECALL,
                rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: class_id (least id with the same n-grams), n_copies (rows of its class),
-    n_links (other classes at the threshold or above) and group_id (least id reachable by links)."""
+    n_links (other classes at the threshold or above) and group_id (least id reachable by links).
+
+    ``text_key`` (xxhash64 of the text) tells rows of one id apart, ``group_key`` names the group
+    whatever its ids; it is null for texts without words.
+    """
     threshold = Fraction(threshold).limit_denominator(10_000)
     bands = bands_for(float(threshold), recall, rows)
     signed = materialise(_signatures(documents, size, bands, rows, id_column, text_column), "signatures")
@@ -207,9 +212,32 @@ def ngram_join(documents: DataFrame, size: int = NGRAM, threshold: Fraction | fl
     grouped = components(found.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     named = grouped.join(classes.select(F.col("set_key").alias("node"), "class_id"), "node")
     names = named.groupBy("component").agg(F.min("class_id").alias("group_id"))
-    of_class = (named.join(names, "component").select(F.col("node").alias("set_key"), "group_id"))
+    of_class = named.join(names, "component").select(F.col("node").alias("set_key"), "component", "group_id")
     known = (classes.select("set_key", "class_id", "n_copies").join(links, "set_key", "left").join(of_class, "set_key", "left"))
-    return signed.select("doc_id", "set_key").join(known, "set_key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+    return signed.select("doc_id", "text_key", "set_key").join(known, "set_key", "left").select(
+        "doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("group_id", "class_id", "doc_id").alias("group_id"))
+        F.coalesce("group_id", "class_id", "doc_id").alias("group_id"),
+        F.coalesce("component", "set_key").alias("group_key"))
+
+
+def one_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
+    """The documents, all columns, with one row of each group: the least id, of repeated rows one.
+
+    Rows whose texts have no words are in no group and stay.
+    """
+    found = materialise(ngram_join(documents, id_column=id_column, text_column=text_column, **settings)
+                        .select("doc_id", "text_key", "group_key"), "groups")
+    grouped = found.where("group_key is not null")
+    best = grouped.groupBy("group_key").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("best"))
+    rows = grouped.groupBy("group_key", "doc_id", "text_key").agg(F.count("*").alias("n")).join(best, "group_key").select(
+        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), (F.col("n") > 1).alias("_repeated"),
+        (~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))).alias("_dropped"))
+    decided = rows.where("_dropped or _repeated")
+    text_key = F.xxhash64(F.col(text_column).cast("string"))
+    joined = documents.join(decided, F.col(id_column).cast("long").eqNullSafe(F.col("_doc")) & (text_key == F.col("_key")), "left")
+    kept = materialise(joined.where("_dropped is null or not _dropped"), "one-of-each")
+    single = kept.where("_repeated is null or not _repeated")
+    repeated = kept.where("_repeated").dropDuplicates(["_doc", "_key"])
+    return single.union(repeated).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -324,3 +324,15 @@ class Codec:
             return pa.array(out, pa.string())
 
         return decode(ids)
+
+
+def encoded(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_ids, ids, round_trip): whole texts as ids, and whether decoding gives the text back.
+
+    A piece mark in a text is decoded as a space, as the model has one piece for both.
+    """
+    codec = Codec(documents, model, text_column)
+    text = F.col(text_column).cast("string")
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
+    return (documents.select(id_column, plain.alias("_plain"), codec.encode(text).alias("ids"))
+            .select(id_column, F.size("ids").cast("long").alias("n_ids"), "ids", (codec.decode(F.col("ids")) == F.col("_plain")).alias("round_trip")))

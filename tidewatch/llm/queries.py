@@ -56,7 +56,7 @@ def op4_secret_scan(read):
 
 @query
 def op5_ngram_jaccard_join(read):
-    return ngram_join.ngram_join(read("documents"))
+    return ngram_join.ngram_join(read("documents")).drop("text_key", "group_key")
 
 
 @query
@@ -79,12 +79,7 @@ def piece_model(name: str = "piece_bpe_32k.model") -> pieces.Model:
 
 @query
 def op7_sentencepiece(read):
-    documents = read("documents").select("doc_id", "text")
-    codec = pieces.Codec(documents, piece_model())
-    encoded = documents.withColumn("ids", codec.encode(F.col("text")))
-    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
-                          (codec.decode(F.col("ids")) == plain).alias("round_trip"))
+    return pieces.encoded(read("documents"), piece_model())
 
 
 #: A conversation whose texts hold the template's own control strings.

@@ -215,6 +215,11 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     return F.when(F.size(spans) > 0, rebuilt).otherwise(text)
 
 
+def with_spans(text: Column, spans: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(text, spans)`` with the spans computed once."""
+    return _once(spans, lambda found: use(text, found))
+
+
 def secret_scan(documents: DataFrame, text_column: str = "text", spans_column: str = "secrets") -> DataFrame:
     """The documents with their spans added as ``spans_column``."""
     return documents.withColumn(spans_column, secrets(F.col(text_column), cuts(documents, text_column)))
