@@ -14,7 +14,8 @@
    page itself says that it is the article, and a title shared by several articles is still theirs.
 
 Statistics are combined before each shuffle by (host, path, content hash), so a host with a third
-of all pages costs no task more than others; only its removals, a few paths, come back by a join.
+of all pages costs no task more than others; only its removals, a few paths, come back by a join,
+and no block's text is shuffled for the tree.
 
 A page that has an article (or main) element keeps what is in it; other pages keep what is left of
 the body.  Blocks are block-level elements and line breaks are white space inside
@@ -198,8 +199,10 @@ def removals(cut: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IM
 
 def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The kept columns, url and the main text of each page."""
-    cut = materialise(blocks(pages, url_column, html_column, keep), "page-blocks")
-    found = cut.join(removals(cut), "host", "left")
+    cut = blocks(pages, url_column, html_column, keep)
+    # Pages are parsed once for the tree and once for their text: texts are neither stored nor, as
+    # long as the written removals are small enough for Spark to ship them, shuffled.
+    found = cut.join(materialise(removals(cut), "removals"), "host", "left")
     scoped = F.exists("blocks", lambda b: b["scope"] & ~b["outside"])
     no_paths = F.array().cast("array<string>")
 
