@@ -79,6 +79,92 @@ def job_alerts(spark, root):
     return {(r.strategy_id, r.event_id, r.similarity_score) for r in rows}
 
 
+def one_interest(*axis):
+    return [("s", "user", "watch", [], [], 0.0, "o@x", list(axis))]
+
+
+def test_an_event_delivered_again_replaces_its_point(spark, tmp_path):
+    """k = 2: e1 twice is one point, so e2 ranks second; a lowered score lets an older point back in."""
+    def event(i, seconds):
+        t = T0 + dt.timedelta(seconds=seconds)
+        return (f"e{i}", "x", [], f"t{i}", "u", "text " * 20, t, t)
+
+    state = {}
+    job = EventJob(spark, str(tmp_path), lambda: spark.createDataFrame(one_interest(1.0, 0.0), REGISTRY),
+                   lambda f: f.join(spark.createDataFrame(state["v"], "id string, vector array<float>"), "id").withColumn(
+                       "outcome", F.lit("enriched")), [sinks.table_sink(f"{tmp_path}/alerts", F.col("ingested_at"))], k=2)
+    steps = [[("e1", [1.0, 0.0])], [("e1", [1.0, 1.0])], [("e2", [1.0, 2.0])],   # e2: 0.447, rank 2
+             [("e3", [1.0, 0.5])],                                               # e3: 0.894, now e3, e1
+             [("e3", [1.0, 9.0])],                                               # lowered: e1 and e2 are best again
+             [("e4", [1.0, 3.0])]]                                               # 0.316: outranked by both
+    ranks = {}
+    for number, vectors in enumerate(steps):
+        state["v"] = vectors
+        job.process(spark.createDataFrame([event(int(vectors[0][0][1]), number)], EVENT), number)
+        ranks[number] = spark.read.parquet(f"{tmp_path}/alerts/batch={number}").count()
+    assert ranks == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0, 5: 0}
+    alerts = sinks.read_alerts(spark, f"{tmp_path}/alerts").collect()
+    assert sorted(r.event_id for r in alerts) == ["e1", "e2", "e3"]
+    assert {r.event_id: r.similarity_score for r in alerts}["e1"] == 0.707107
+
+
+def test_empty_batches_keep_what_waits_and_lost_parts_are_errors(spark, tmp_path):
+    events, vectors = make(20)
+    root = str(tmp_path)
+    job = run_job(spark, root, events, vectors, [registry()], broken={"e3", "e4"})
+    nothing = spark.createDataFrame([], EVENT)
+    job.process(nothing, 1)
+    assert spark.read.schema(FAILURE).parquet(f"{root}/failures/batch=1").count() == 2
+    job.clock = lambda: T0 + dt.timedelta(days=1)
+    job.process(nothing, 2)  # the clock moves on without events: they are tried again, and fail again
+    tried = spark.read.schema(FAILURE).parquet(f"{root}/failures/batch=2").collect()
+    assert sorted((r.id, r.attempts) for r in tried) == [("e3", 2), ("e4", 2)]
+    assert job.counters().first().retry_attempts == 4
+    with pytest.raises(FileNotFoundError):
+        job.process(nothing, 9)
+
+
+def test_exhausted_failures_go_to_the_dead_part_once(spark, tmp_path):
+    events, _ = make(2)
+    root, clock = str(tmp_path), {"t": T0}
+    job = EventJob(spark, root, lambda: spark.createDataFrame(registry(), REGISTRY),
+                   lambda f: f.withColumn("vector", F.lit(None).cast("array<float>")).withColumn("outcome", F.lit("error")),
+                   clock=lambda: clock["t"])
+    job.process(spark.createDataFrame(events, EVENT), 0)
+    for number in range(1, 6):
+        clock["t"] += dt.timedelta(hours=1)
+        job.process(spark.createDataFrame([], EVENT), number)
+    dead = read_parts(spark, f"{root}/dead", FAILURE).collect()
+    assert sorted(r.id for r in dead) == ["e0", "e1"] and {r.attempts for r in dead} == {4}
+    assert spark.read.schema(FAILURE).parquet(f"{root}/failures/batch=5").count() == 0
+    row = job.counters().first()
+    assert (row.events_ingested, row.errors_total, row.retry_attempts) == (2, 8, 8)
+
+
+def test_a_failing_sink_is_recorded_and_the_stream_goes_on(spark, tmp_path):
+    events, vectors = make(30)
+    root, calls = str(tmp_path), []
+    vec = spark.createDataFrame(vectors, "id string, vector array<float>")
+
+    def flaky(messages, batch_id):
+        calls.append(batch_id)
+        if batch_id == 0:
+            raise OSError("mail is down")
+
+    job = EventJob(spark, root, lambda: spark.createDataFrame(registry(), REGISTRY),
+                   lambda f: f.join(vec, "id").withColumn("outcome", F.lit("enriched")),
+                   [flaky, sinks.table_sink(f"{root}/alerts", F.col("ingested_at"))])
+    for number in range(2):
+        job.process(spark.createDataFrame(events[15 * number:15 * number + 15], EVENT), number)
+    assert calls == [0, 1] and job_alerts(spark, root) == batch_alerts(spark, events, vectors, registry())
+    counts = [spark.read.parquet(f"{root}/alerts/batch={n}").count() for n in (0, 1)]
+    row = job.counters().first()
+    assert (row.alerts_triggered, row.errors_total) == (counts[1], counts[0])
+    job.raise_sink_errors = True
+    with pytest.raises(OSError):
+        job.process(spark.createDataFrame(events[:1], EVENT), 0)
+
+
 @pytest.mark.parametrize("files", [1, 4])
 def test_stateful_stream_equals_batch(spark, tmp_path, files):
     events, vectors = make(60)
@@ -109,6 +195,7 @@ def test_job_equals_batch_and_replays_are_idempotent(spark, tmp_path, batches, r
     assert job_alerts(spark, str(tmp_path)) == batch_alerts(spark, events, vectors, registry())
     row = job.counters().first()
     assert (row.events_ingested, row.events_processed, row.events_enriched, row.errors_total) == (60, 60, 60, 0)
+    assert row.alerts_triggered == len(job_alerts(spark, str(tmp_path)))
 
 
 def test_registry_changes_take_effect_on_the_next_batch(spark, tmp_path):

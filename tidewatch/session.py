@@ -139,10 +139,15 @@ def write_part(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def part_before(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """The part of the preceding batch, read by name: no listing of older parts."""
+    """The part of the preceding batch, read by name: no listing of older parts.
+
+    Only the first batch has none.  A part lost later is an error, not an empty past.
+    """
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
     try:
         return spark.read.schema(schema).parquet(f"{path}/batch={batch_id - 1}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        raise FileNotFoundError(f"{path}/batch={batch_id - 1} is missing: batches before {batch_id} were lost") from error

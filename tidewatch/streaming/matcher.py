@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from bisect import insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidewatch.operators.scoring import SCORED, score_arrivals
 from tidewatch.schemas import SEARCH_LIMIT
 
-_STATE = T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType()))])
+_STATE = T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("events", T.ArrayType(T.StringType()))])
 _MATCH = Row("strategy_id", "event_id", "ingested_at", "score", "rank")
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,14 +25,15 @@ class _RankAtArrival(StatefulProcessor):
         self.best = handle.getValueState("best", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        best = list(self.best.get()[0]) if self.best.exists() else []
+        best = list(zip(*self.best.get())) if self.best.exists() else []
         for row in sorted(rows, key=lambda r: (r.ingested_at, r.event_id)):
-            above = len(best) - bisect_right(best, row.score)
+            best = [kept for kept in best if kept[1] != row.event_id]  # delivered again: it replaces itself
+            above = sum(score > row.score for score, _ in best)
             if above < self.k:
-                insort(best, row.score)
+                insort(best, (row.score, row.event_id))
                 best = best[-self.k:]
                 yield _MATCH(row.strategy_id, row.event_id, row.ingested_at, row.score, above + 1)
-        self.best.update((best,))
+        self.best.update(([score for score, _ in best], [event for _, event in best]))
 
     def close(self) -> None:
         pass
@@ -45,7 +46,9 @@ def stream_matches(arrivals: DataFrame, interests: DataFrame, k: int = SEARCH_LI
     rows of the micro-batch that may still rank.  State is k numbers per strategy,
     whatever the size of the corpus.  Micro-batches are the order of arrival; inside one
     it is (ingested_at, event_id).  The registry is read when the stream starts; use
-    ``EventJob`` to follow registry changes per batch.
+    ``EventJob`` to follow registry changes per batch.  An event delivered again takes the
+    place of its earlier score; what had been outranked by that score is not searched for,
+    since the stream keeps no corpus (``EventJob`` does).
     """
     spark = arrivals.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
