@@ -106,7 +106,7 @@ def f32(x):
     return float(np.float32(x))
 
 
-@pytest.mark.parametrize("max_block_bytes", [scoring.BLOCK_BYTES, 0])
+@pytest.mark.parametrize("max_block_bytes", [scoring.BLOCK_BYTES, 600])
 def test_match_and_search_equal_brute_force(spark, max_block_bytes):
     events, interests = make_events(400)
     e, i = spark.createDataFrame(events, EVENTS), spark.createDataFrame(interests, INTERESTS)
@@ -134,18 +134,27 @@ def test_scores_are_pruned_alike_whatever_the_batch_size(spark):
     assert results[0] == results[1] and results[0]
 
 
-@pytest.mark.parametrize("rows", [1, 5, 1000])
-def test_pruning_any_grouping_keeps_every_alert(rows):
-    import pyarrow as pa
-    rng = random.Random(rows)
-    data = [(f"s{rng.randint(0, 2)}", f"e{i:03d}", T0 + dt.timedelta(seconds=rng.randint(0, 40)),
-             round(rng.random(), 1)) for i in range(200)]
-    names = ["strategy_id", "event_id", "ingested_at", "score"]
-    batches = pa.Table.from_pylist([dict(zip(names, r)) for r in data]).to_batches(7)
-    left = [tuple(r[n] for n in names) for b in scoring.prune_arrivals(iter(batches), 3, rows) for r in b.to_pylist()]
-    assert len(left) <= len(data) and set(left) <= set(data)
-    assert brute_rank(left, 3) == brute_rank(data, 3)
-    assert rows < 1000 or len(left) < len(data) / 2
+@pytest.mark.parametrize("max_block_bytes", [scoring.BLOCK_BYTES, 400])
+def test_nulls_and_odd_lengths_mean_the_same_everywhere(spark, max_block_bytes):
+    """Block form, pair form and Column form agree on null sources, null elements and null lists."""
+    from tidewatch.functions import predicates
+    from tidewatch.operators import matching
+    sources, tickers = [None, "x", "y"], [None, [], [None], ["A"], [None, "A"], ["A", "B"]]
+    events = [(f"e{i}{j}", s, t, T0, [1.0, float(i)]) for i, s in enumerate(sources) for j, t in enumerate(tickers)]
+    wanted = [None, [], [None], ["x"], [None, "x"]]
+    filters = [None, [], [None], ["A"], [None, "B"]]
+    interests = [(f"s{i}{j}", w, f, -1.0, [1.0, 0.5]) for i, w in enumerate(wanted) for j, f in enumerate(filters)]
+    e = spark.createDataFrame([*events, ("odd", "x", ["A"], T0, [1.0, 2.0, 3.0])], EVENTS)
+    i = spark.createDataFrame([*interests, ("odd", None, None, -1.0, [1.0])], INTERESTS)
+    pairs = {(r.event_id, r.strategy_id) for r in scoring.score_pairs(e, i, max_block_bytes).collect()}
+    plain = spark.createDataFrame(events, EVENTS), spark.createDataFrame(interests, INTERESTS)
+    joined = {(r.event_id, r.strategy_id) for r in matching.prefilter_join(*plain).collect()}
+    salted = {(r.event_id, r.strategy_id) for r in matching.prefilter_join(*plain, salts=3).collect()}
+    condition = predicates.prefilter("source", "tickers", "wanted_sources", "wanted_tickers")
+    column = {(r.event_id, r.strategy_id) for r in plain[0].join(plain[1], condition).collect()}
+    assert pairs == joined == salted == column and len(pairs) > 50
+    assert [r.event_id for r in scoring.misfits(e, "vector", 2).collect()] == ["odd"]
+    assert [r.strategy_id for r in scoring.misfits(i, "query_vector", 2).collect()] == ["odd"]
 
 
 def test_raising_thresholds_only_removes_alerts(spark):

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.predicates import is_empty
-from tidewatch.session import measured_bytes
 
 ANY = "any"
 BROADCAST_BYTES = 64 << 20  # largest registry sent to every executor
@@ -64,16 +63,24 @@ def _keyed_join(events: DataFrame, wanted: DataFrame, keys: list[str], salts: in
     The registry is broadcast as a hash table if its measured size allows; only matching
     pairs are then touched and events are not shuffled.  Otherwise (or with ``salts``
     given) both sides are shuffled, and every key, above all the wildcard under which
-    every event is found, is split over ``salts`` partitions.
+    every event is found, is split over ``salts`` partitions: as many as the session shuffles
+    into, so the wildcard's share of a partition shrinks as the cluster grows.  Only ids travel.
     """
-    if salts is None and measured_bytes(wanted) <= BROADCAST_BYTES:
+    if salts is None and _bytes(wanted) <= BROADCAST_BYTES:
         return events.join(F.broadcast(wanted), keys)
-    salts = salts or SALTS
+    salts = salts or max(SALTS, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = events.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
     right = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
+def _bytes(wanted: DataFrame) -> int:
+    """Size of the exploded registry, about: ids and keys, without rendering its rows."""
+    width = F.octet_length("strategy_id") + 8 * (F.coalesce(F.size("wanted_sources"), F.lit(0))
+                                                 + F.coalesce(F.size("wanted_tickers"), F.lit(0))) + 128
+    return wanted.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+
+
 def _by_source(events: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (events.withColumn("_s", F.explode(_event_keys(F.array("source")))),
             wanted.withColumn("_s", F.explode(_interest_keys(F.col("wanted_sources")))))
@@ -101,11 +108,28 @@ def prefilter_join(events: DataFrame, wanted: DataFrame, salts: int | None = Non
     return pairs.where(_one_ticker_key(F.col("_t"))).drop("_s", "_t")
 
 
-def per_strategy_counts(pairs: DataFrame) -> DataFrame:
-    """How many events each strategy keeps; combined inside each task before the shuffle."""
-    return pairs.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("events"))
+def count_by_source(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """How many events pass each strategy's source filter: events are counted per source, then joined."""
+    kinds = events.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return _weighed(source_join(kinds.withColumn("event_id", F.coalesce("source", F.lit(""))), wanted))
+
+
+def count_by_tickers(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """How many events pass each strategy's ticker filter: events are counted per ticker set, then joined."""
+    kinds = events.groupBy(F.array_sort(F.array_distinct("tickers")).alias("tickers")).agg(F.count(F.lit(1)).alias("n"))
+    return _weighed(ticker_join(kinds.withColumn("event_id", F.coalesce(F.array_join("tickers", "|"), F.lit(""))), wanted))
+
+
+def _weighed(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("strategy_id").agg(F.sum("n").alias("events"))
+
+
+def strategies_checked(events: DataFrame, active: DataFrame) -> DataFrame:
+    """How many strategies each event is checked against: all active ones, before any filter."""
+    total = active.agg(F.count(F.lit(1)).alias("strategies"))
+    return events.select("event_id").join(F.broadcast(total), F.lit(True))  # one row
 
 
-def strategies_checked(pairs: DataFrame) -> DataFrame:
-    """How many strategies each event was evaluated against after the pre-filter."""
+def strategies_passed(pairs: DataFrame) -> DataFrame:
+    """How many strategies each event was evaluated against after the pre-filter; events with none are absent."""
     return pairs.groupBy("event_id").agg(F.count(F.lit(1)).alias("strategies"))

@@ -1,17 +1,17 @@
 """Cosine scores of arrivals or corpus points against interests.
 
-Two exact ways, picked by the measured size of the registry:
-
-* block: the registry fits the bound, so it is shipped once to every executor and each
-  Arrow batch of vectors is scored as one matrix product.  No shuffle; every task hands
-  on only the rows that may still be among the best ``k`` of their strategy.
-* pairs: the registry is larger, so pairs come from the salted equi-join and are scored
-  batch by batch where they meet; the same pruning then runs inside each task.
+The registry is cut into blocks of a bounded size (one block, mostly).  A block is shipped to
+every executor and each Arrow batch of vectors is scored as one matrix product.  Vectors are
+never shuffled; every task hands on only the rows that may still be among the best ``k`` of
+their strategy.  Several blocks take turns: each reads the vectors once, its narrow result is
+written, and its copy on the executors goes before the next one comes.
+
+Null list elements match nothing, as in SQL.  Vectors of another length than most query
+vectors take no part; ``misfits`` names them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.matching import SALTS, prefilter_join
 from tidewatch.schemas import SEARCH_LIMIT
-from tidewatch.session import share
+from tidewatch.session import materialise, scratch_path, share, shared_here
 
-BLOCK_BYTES = 128 << 20   # largest registry shipped to executors
+BLOCK_BYTES = 128 << 20   # largest part of the registry shipped to executors at a time
 CELLS = 1 << 22           # largest score matrix held by a task
-PRUNED_TOGETHER = 1 << 19   # narrow rows pruned at a time after the pair join
+FOUND = "strategy_id string, point_id string, score double"
 PAIR = "strategy_id string, event_id string, score double"
 SCORED = "strategy_id string, event_id string, ingested_at timestamp, score double"
 
@@ -72,31 +71,26 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 def _look_up(lists: list[list[str] | None]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     rows: dict[str, list[int]] = {}
     for row, values in enumerate(lists):
-        for value in set(values or ()):
+        for value in set(values or ()) - {None}:
             rows.setdefault(value, []).append(row)
     return np.array([not v for v in lists], dtype=bool), {v: np.array(r) for v, r in rows.items()}
 
 
-def load_block(interests: DataFrame, max_bytes: int = BLOCK_BYTES) -> tuple[InterestBlock | None, int]:
-    """(block, vector length); the block is None if its measured size passes ``max_bytes``."""
-    usable = interests.where(F.col("query_vector").isNotNull())
-    listed = F.coalesce(F.size("wanted_sources"), F.lit(0)) + F.coalesce(F.size("wanted_tickers"), F.lit(0))
-    size = F.size("query_vector")
-    measured = usable.agg(
-        F.coalesce(F.sum(size * 8 + listed * 64 + 128), F.lit(0)).alias("bytes"),
-        F.coalesce(F.min(size), F.lit(0)).alias("shortest"),
-        F.coalesce(F.max(size), F.lit(0)).alias("longest"),
-    ).first()
-    if measured.shortest != measured.longest:
-        raise ValueError("query vectors of different lengths in one registry")
-    if measured.bytes > max_bytes:
-        return None, measured.longest
-    table = usable.select(
-        "strategy_id", "wanted_sources", "wanted_tickers", "threshold", "query_vector"
-    ).toArrow()
+def _dimension(interests: DataFrame, vector: str = "query_vector") -> int:
+    """The length of most query vectors."""
+    return interests.where(F.col(vector).isNotNull()).agg(F.coalesce(F.mode(F.size(vector), True), F.lit(0))).first()[0]
+
+
+def misfits(frame: DataFrame, vector: str, dim: int) -> DataFrame:
+    """Rows whose vector is not null and has another length: they take no part in scoring."""
+    return frame.where(F.size(vector) != dim)
+
+
+def _load_block(interests: DataFrame) -> InterestBlock:
+    table = interests.select("strategy_id", "wanted_sources", "wanted_tickers", "threshold", "query_vector").toArrow()
     any_source, by_source = _look_up(table["wanted_sources"].to_pylist())
     any_ticker, by_ticker = _look_up(table["wanted_tickers"].to_pylist())
-    block = InterestBlock(
+    return InterestBlock(
         ids=table["strategy_id"].cast(pa.string()).combine_chunks(),
         thresholds=table["threshold"].to_numpy(),
         units=_unit_rows(_matrix(table["query_vector"])),
@@ -105,7 +99,32 @@ def load_block(interests: DataFrame, max_bytes: int = BLOCK_BYTES) -> tuple[Inte
         by_source=by_source,
         by_ticker=by_ticker,
     )
-    return block, measured.longest
+
+
+def _blocks(interests: DataFrame, max_bytes: int) -> tuple[int, Iterator[InterestBlock]]:
+    """How many blocks of at most about ``max_bytes`` the registry makes, and the blocks one by one."""
+    usable = interests.where(F.size("query_vector") == _dimension(interests))
+    listed = F.coalesce(F.size("wanted_sources"), F.lit(0)) + F.coalesce(F.size("wanted_tickers"), F.lit(0))
+    size = F.size("query_vector") * 8 + listed * 64 + 128
+    measured = usable.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    count = max(1, -(-measured[0] // max(max_bytes, measured[1], 1)))
+    if count == 1:
+        return 1, iter([_load_block(usable)])
+    stored = materialise(usable.withColumn("_block", F.pmod(F.xxhash64("strategy_id"), F.lit(count)).cast("int")), "registry-blocks")
+    return count, (_load_block(stored.where(F.col("_block") == number)) for number in range(count))
+
+
+def _over_blocks(interests: DataFrame, max_bytes: int, schema: str, score: Callable[[InterestBlock], DataFrame]) -> DataFrame:
+    """``score`` for every block; the results of several blocks are written one after the other."""
+    count, blocks = _blocks(interests, max_bytes)
+    if count == 1:
+        return score(next(blocks))
+    spark, path = interests.sparkSession, scratch_path(interests.sparkSession, "scored-blocks")
+    for number, block in enumerate(blocks):
+        if len(block.thresholds):
+            with shared_here():
+                score(block).write.parquet(f"{path}/block={number}")
+    return spark.read.schema(f"{schema}, block int").parquet(path).drop("block")
 
 
 class _Best:
@@ -124,10 +143,11 @@ class _Best:
 
 def _row_blocks(rows: int, strategies: int) -> Iterator[slice]:
     """Slices that double in size, so that the cut gets sharp early, up to the matrix bound."""
-    start, size, limit = 0, 64, max(64, CELLS // max(1, strategies))
+    start, size, limit = 0, 64, max(1, CELLS // max(1, strategies))
     while start < rows:
+        size = min(size, limit)
         yield slice(start, min(rows, start + size))
-        start, size = start + size, min(limit, size * 2)
+        start, size = start + size, size * 2
 
 
 def _block_scores(block: InterestBlock, batch: pa.Table, thresholds: np.ndarray | None):
@@ -205,41 +225,6 @@ def _score_arrivals_by_block(events: DataFrame, block: InterestBlock, k: int) ->
     return usable.mapInArrow(run, SCORED)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Batches joined to tables of about ``rows`` rows."""
-    held, count = [], 0
-    for batch in batches:
-        held.append(batch)
-        count += batch.num_rows
-        if count >= rows:
-            yield pa.Table.from_batches(held)
-            held, count = [], 0
-    if count:
-        yield pa.Table.from_batches(held)
-
-
-def prune_arrivals(batches: Iterator[pa.RecordBatch], k: int, rows: int = PRUNED_TOGETHER
-                   ) -> Iterator[pa.RecordBatch]:
-    """Drop rows that k earlier rows of the same strategy outrank, among ``rows`` at a time.
-
-    Safe on any subset taken in arrival order: whatever outranks a dropped row also
-    outranks every later row the dropped row would have outranked.
-    """
-    for gathered in _gathered(batches, rows):
-        table = gathered.sort_by([("ingested_at", "ascending"), ("event_id", "ascending")])
-        codes = table["strategy_id"].combine_chunks().dictionary_encode().indices.to_pylist()
-        best: dict[int, list[float]] = {}
-        kept = []
-        for row, (strategy, score) in enumerate(zip(codes, table["score"].to_pylist())):
-            scores = best.setdefault(strategy, [])
-            if len(scores) - bisect_right(scores, score) < k:
-                kept.append(row)
-                insort(scores, score)
-                if len(scores) > k:
-                    scores.pop(0)
-        yield from table.take(pa.array(kept)).combine_chunks().to_batches()
-
-
 def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the two vectors of each pair by its score; drop pairs below the threshold."""
     for batch in batches:
@@ -252,24 +237,9 @@ def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield scored.filter(pa.array(scores >= batch.column("threshold").to_numpy(zero_copy_only=False)))
 
 
-def _score_by_pairs(rows: DataFrame, interests: DataFrame, dim: int, schema: str,
-                    after: Callable, *kept: str) -> DataFrame:
-    """Score the pairs of the salted equi-join, then hand each task's batches to ``after``."""
-    left = _usable(rows, dim).select("event_id", "source", "tickers", "vector", *kept)
-    right = interests.where("query_vector is not null").select(
-        "strategy_id", "wanted_sources", "wanted_tickers", "threshold", "query_vector")
-    pairs = prefilter_join(left, right, SALTS).select(
-        "strategy_id", "event_id", *kept, "threshold", "vector", "query_vector")
-    return pairs.mapInArrow(lambda batches: after(score_rows(batches)), schema)
-
-
 def score_pairs(events: DataFrame, interests: DataFrame, max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(strategy_id, event_id, score) of every pair that passes the pre-filter."""
-    block, dim = load_block(interests, max_block_bytes)
-    if block is not None:
-        return _score_all_by_block(events, block)
-    everything = interests.withColumn("threshold", F.lit(float("-inf")))
-    return _score_by_pairs(events, everything, dim, PAIR, lambda it: it)
+    return _over_blocks(interests, max_block_bytes, PAIR, lambda block: _score_all_by_block(events, block))
 
 
 def score_arrivals(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
@@ -278,12 +248,9 @@ def score_arrivals(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMI
 
     A row below its threshold can outrank no row that passes, so it is dropped at once.
     The registry is read more than once: hand in a written table if its query vectors
-    are expensive to compute.
+    are expensive to compute, and likewise the events for a registry of several blocks.
     """
-    block, dim = load_block(interests, max_block_bytes)
-    if block is not None:
-        return _score_arrivals_by_block(events, block, k)
-    return _score_by_pairs(events, interests, dim, SCORED, lambda it: prune_arrivals(it, k), "ingested_at")
+    return _over_blocks(interests, max_block_bytes, SCORED, lambda block: _score_arrivals_by_block(events, block, k))
 
 
 def _search_by_block(points: DataFrame, block: InterestBlock, k: int) -> DataFrame:
@@ -302,16 +269,10 @@ def _search_by_block(points: DataFrame, block: InterestBlock, k: int) -> DataFra
                 yield _emit(block, batch.select(["point_id"]), row + rows.start, scores[strategy, row], strategy)
 
     usable = _usable(points, block.units.shape[1]).select("point_id", "source", "tickers", "vector")
-    return usable.mapInArrow(run, "strategy_id string, point_id string, score double")
+    return usable.mapInArrow(run, FOUND)
 
 
 def score_corpus(points: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
                  max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(strategy_id, point_id, score) holding at least the k best points per strategy."""
-    block, dim = load_block(interests, max_block_bytes)
-    if block is not None:
-        return _search_by_block(points, block, k)
-    rows = points.select(F.col("point_id").alias("event_id"), "source", "tickers", "vector")
-    everything = interests.withColumn("threshold", F.lit(float("-inf")))
-    scored = _score_by_pairs(rows, everything, dim, PAIR, lambda it: it)
-    return scored.withColumnRenamed("event_id", "point_id")
+    return _over_blocks(interests, max_block_bytes, FOUND, lambda block: _search_by_block(points, block, k))

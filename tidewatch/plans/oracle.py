@@ -193,7 +193,9 @@ select s.id strategy_id, count(*) as events from b_events e join b_active s on {
 for _name in ("prefilter_match", "prefilter_match_equi"):
     sql(_name, "b_events b_active", f"""
 select e.id event_id, s.id strategy_id from b_events e join b_active s on {_EVENT_FILTER_S} and {_EVENT_FILTER_T}""")
-sql("strategies_checked", "b_events b_active", f"""
+sql("strategies_checked", "b_events b_active", """
+select e.id event_id, (select count(*) from b_active) as strategies from b_events e""")
+sql("strategies_passed", "b_events b_active", f"""
 select e.id event_id, count(*) strategies from b_events e join b_active s
 on {_EVENT_FILTER_S} and {_EVENT_FILTER_T} group by 1""")
 sql("min_text_filter", "", """
@@ -214,8 +216,12 @@ sql("vector_schema_guard", "b_events", """
 select id, case when vector is null then 'missing' when len(vector)<>64 then 'wrong_dim' else 'ok' end vector_status from b_events""")
 sql("upsert_points", "b_repeats", f"""
 select {_uuid5('id')} point_id, id event_id, title, case when len(tickers)>0 then {_csv('tickers')} end tickers,
-  {_time('ingested_at')} as version from b_repeats
-qualify row_number() over (partition by id order by ingested_at desc) = 1""")
+  {_time('ingested_at')} as version from (
+    select *, 1 as written from b_repeats where cast(id as bigint) % 10 <> 4
+    union all by name
+    select * replace ('stored before' as title, ingested_at + case when seq % 8 = 0 then interval 9 days else interval 0 days end as ingested_at),
+      0 as written from b_repeats where seq % 2 = 0 and title not like 'again: %')
+qualify row_number() over (partition by id order by written desc, ingested_at desc) = 1""")
 sql("cosine_scores", "b_pairs", "select event_id, strategy_id, score from b_pairs")
 _TERMS = """
 t as (select key, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) token from texts),

@@ -17,8 +17,8 @@ from tidewatch.operators import alerts as A
 from tidewatch.operators import corpus as C
 from tidewatch.operators import counters, embedding, enrichment, matching, ranking, scoring, sinks, tables
 from tidewatch.plans import bindings as B
-from tidewatch.schemas import ALERT, EVENT
-from tidewatch.session import read_parts, scratch_path
+from tidewatch.schemas import EVENT
+from tidewatch.session import materialise, scratch_path
 from tidewatch.sources import companies, feeds, pages, registry
 from tidewatch.streaming import ingest, matcher
 from tidewatch.streaming.job import EventJob
@@ -26,6 +26,7 @@ from tidewatch.streaming.job import EventJob
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 KEY = "0123456789abcdef0123456789abcdef"
+SMALL_BLOCK = 200_000  # bytes, so that the given registry makes several blocks
 
 
 def query(build: Callable[[B.Tables], DataFrame]) -> Callable[[B.Tables], DataFrame]:
@@ -54,7 +55,8 @@ def _event_view(events: DataFrame) -> DataFrame:
 
 
 def _news(t: B.Tables) -> DataFrame:
-    return feeds.normalise_news(feeds.parse_news(t.news_lines()), F.col("ingested_at"))
+    readable, _ = feeds.split_broken(feeds.parse_news(t.news_lines()))
+    return feeds.normalise_news(readable, F.col("ingested_at"))
 
 
 def _filings(t: B.Tables, tolerant: bool = False) -> DataFrame:
@@ -160,12 +162,12 @@ def active_strategies(t):
 
 @query
 def filter_source(t):
-    return matching.per_strategy_counts(matching.source_join(_plain_arrivals(t), _plain_interests(t)))
+    return matching.count_by_source(_plain_arrivals(t), _plain_interests(t))
 
 
 @query
 def filter_tickers(t):
-    return matching.per_strategy_counts(matching.ticker_join(_plain_arrivals(t), _plain_interests(t)))
+    return matching.count_by_tickers(_plain_arrivals(t), _plain_interests(t))
 
 
 @query
@@ -182,8 +184,13 @@ def prefilter_match_equi(t):
 
 @query
 def strategies_checked(t):
+    return matching.strategies_checked(_plain_arrivals(t), t.active())
+
+
+@query
+def strategies_passed(t):
     pairs = matching.prefilter_join(_plain_arrivals(t), _plain_interests(t))
-    return matching.strategies_checked(pairs)
+    return matching.strategies_passed(pairs)
 
 
 @query
@@ -234,9 +241,12 @@ def vector_schema_guard(t):
 
 @query
 def upsert_points(t):
+    """Into a corpus that holds every second point already, a fourth of them with a later time."""
     points = C.to_points(t.with_repeats().withColumn("content_url", F.lit(None).cast("string")))
-    nothing = points.where(F.lit(False))
-    merged = C.upsert_points(nothing, points)
+    old = t.events(url=False).where("seq % 2 = 0").withColumns({
+        "content_url": F.lit(None).cast("string"), "title": F.lit("stored before"),
+        "ingested_at": F.col("ingested_at") + F.when(F.col("seq") % 8 == 0, F.expr("interval 9 days")).otherwise(F.expr("interval 0 days"))})
+    merged = C.upsert_points(C.to_points(old), points.where(F.col("event_id").cast("long") % 10 != 4))
     return merged.select("point_id", "event_id", F.col("payload.title").alias("title"),
                          F.array_join("payload.tickers", "|").alias("tickers"), time("version"))
 
@@ -268,7 +278,7 @@ def vector_search(t):
 
 @query
 def vector_search_large_registry(t):
-    hits = ranking.vector_search(t.corpus(), t.interests(), max_block_bytes=0)
+    hits = ranking.vector_search(t.corpus(), t.interests(), max_block_bytes=SMALL_BLOCK)
     return hits.select("strategy_id", "point_id", "score", long("rank"))
 
 
@@ -289,7 +299,7 @@ def match_alerts(t):
 
 @query
 def match_alerts_large_registry(t):
-    found = ranking.match_at_arrival(t.arrivals(), t.interests(), max_block_bytes=0)
+    found = ranking.match_at_arrival(t.arrivals(), t.interests(), max_block_bytes=SMALL_BLOCK)
     return found.select("strategy_id", "event_id", "score", long("rank"))
 
 
@@ -509,13 +519,16 @@ def decrypt_column(t):
 # -- streams ---------------------------------------------------------------------------
 
 
-def _land(rows: DataFrame, name: str, files: int = 3) -> str:
-    """Write rows as ``files`` successive files in order of arrival."""
+FILES = 4  # of a landed step, so that a micro-batch has several tasks
+
+
+def _land(rows: DataFrame, name: str, steps: int = 3) -> str:
+    """Write rows as successive steps in order of arrival, each of ``FILES`` files."""
     path = scratch_path(rows.sparkSession, name)
     last = rows.agg(F.max("seq")).first()[0]
-    part = F.floor(F.col("seq") * files / (last + 1))
-    for number in range(files):
-        rows.where(part == number).coalesce(1).write.mode("append").parquet(path)
+    rows = materialise(rows.withColumn("_step", F.floor(F.col("seq") * steps / (last + 1)).cast("int")), name)
+    for number in range(steps):
+        rows.where(F.col("_step") == number).drop("_step").repartition(FILES).write.mode("append").parquet(path)
     return path
 
 
@@ -535,7 +548,7 @@ def _drain(stream: DataFrame, name: str) -> DataFrame:
 def stream_match_alerts(t):
     landed = matching.arrivals(t.enriched(), "ingested_at", "vector", "seq")
     path = _land(landed, "arrivals")
-    arriving = ingest.read_events(t.spark, path, landed.schema, files_per_trigger=1)
+    arriving = ingest.read_events(t.spark, path, landed.schema, files_per_trigger=FILES)
     found = _drain(matcher.stream_matches(arriving, t.interests()), "matches")
     return found.select("strategy_id", "event_id", "score", long("rank"))
 
@@ -544,7 +557,7 @@ def stream_match_alerts(t):
 def stream_dedupe_events(t):
     landed = t.with_repeats().drop("vector")
     path = _land(landed, "repeats")
-    arriving = ingest.read_events(t.spark, path, landed.schema, files_per_trigger=1)
+    arriving = ingest.read_events(t.spark, path, landed.schema, files_per_trigger=FILES)
     return _drain(ingest.dedupe_stream(arriving), "deduped").select("id", "source")
 
 
@@ -561,7 +574,6 @@ def stream_event_job(t):
         return events.join(vectors, "id", "left").withColumn("outcome", state)
 
     job = EventJob(spark, root, t.active, enrich, [sinks.table_sink(f"{root}/alerts", F.col("ingested_at"))])
-    arriving = ingest.read_events(spark, _land(landed, "events"), landed.schema, files_per_trigger=1)
+    arriving = ingest.read_events(spark, _land(landed, "events"), landed.schema, files_per_trigger=FILES)
     job.start(ingest.dedupe_stream(arriving), scratch_path(spark, "progress"), availableNow=True).awaitTermination()
-    rows = read_parts(spark, f"{root}/alerts", ALERT)
-    return rows.drop("batch").withColumn("created_at", X.rfc3339("created_at"))
+    return sinks.read_alerts(spark, f"{root}/alerts").withColumn("created_at", X.rfc3339("created_at"))

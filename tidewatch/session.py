@@ -113,9 +113,16 @@ def share(spark: SparkSession, value):
     return broadcast
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Size of a frame as text, by a job over it.  For sides meant to be small."""
-    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+@contextmanager
+def shared_here():
+    """What the block shares with the executors goes at its end."""
+    token = _shared.set([])
+    try:
+        yield
+    finally:
+        for broadcast in _shared.get():
+            broadcast.destroy()
+        _shared.reset(token)
 
 
 def read_parts(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:

@@ -103,6 +103,11 @@ def normalise_filings(filings: DataFrame, companies: DataFrame, ingested_at: Col
     )
 
 
+def split_broken(items: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(readable items, the rest): a line that could not be parsed, or has no id, is set aside."""
+    return items.where(F.col(key).isNotNull()), items.where(F.col(key).isNull())
+
+
 def split_undated(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(dated events, quarantine): an item without a readable time is set aside."""
     undated = F.col("published_at").isNull()

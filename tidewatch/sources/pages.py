@@ -82,12 +82,16 @@ def extract_text(pages: DataFrame, key: str = "url", html: str = "html") -> Data
     return pages.select(key, html).mapInArrow(run, f"{key} {key_type}, text string")
 
 
-def page_fetcher(pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A fetcher over crawled pages: ``fetch(urls) -> (url, text)`` parses only those asked for."""
-    return lambda urls: extract_text(pages.join(urls, "url", "left_semi"))
+def page_fetcher(pages: DataFrame, version: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A fetcher over crawled pages: ``fetch(urls) -> (url, text)`` parses only those asked for.
+
+    A url crawled more than once gives its newest page by ``version``, or without one the
+    greatest html: one row per url in any case, so no event is multiplied.
+    """
+    return lambda urls: extract_text(latest_pages(pages.join(urls, "url", "left_semi"), version or "html"))
 
 
 def latest_pages(pages: DataFrame, version: str) -> DataFrame:
-    """One crawl per url: the newest."""
-    order = W.partitionBy("url").orderBy(F.col(version).desc())
+    """One crawl per url: the newest.  The limit also runs before the shuffle."""
+    order = W.partitionBy("url").orderBy(F.col(version).desc(), F.col("html").desc())
     return pages.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
