@@ -338,11 +338,11 @@ def test_round_trip_whatever_the_table(spark, kind, table):
     codec = pieces.Codec(frame, model, table=table)
     got = frame.select("doc_id", codec.encode(F.col("text")).alias("ids")).select(
         "doc_id", "ids", codec.decode(F.col("ids")).alias("back")).collect()
-    encoder = pieces.Encoder(model)
+    encoder, units = pieces.Encoder(model), pieces.Units(model)
     for row in got:
         text = TEXTS[row.doc_id % len(TEXTS)] or ""
         assert row.back == text
-        assert np.array(row["ids"], np.int32).tobytes() == b"".join(encoder.encode(u) for u in pieces.units_of(text))
+        assert np.array(row["ids"], np.int32).tobytes() == b"".join(encoder.encode(u) for u in units(text))
 
 
 def test_equals_the_library_on_a_public_model(spark):

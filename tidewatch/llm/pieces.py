@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
-Texts are cut into units (spaces become the piece mark and begin a unit; a line end is a unit),
-which no piece of a model crosses; this is checked when a model is read.  The lattice is made of
+Texts are cut into units that no piece of the model crosses (``Units``; that pieces keep to the
+marks is checked when a model is read).  The lattice is made of
 DataFrames: the substrings of a unit, of bounded length, are exploded and joined to the piece
 table; the edges are grouped by unit and folded with Spark's higher-order ``aggregate``.
 
@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,8 +42,9 @@ from tidewatch.session import materialise, share
 
 MARK = "▁"
 TABLE, LONGEST_UNIT = 1 << 18, 40
-_UNITS = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _SEEN, _KNOWN = 500_000, 200_000
+_NEVER = float("-inf")
+_NO_PIECE = (0, _NEVER)
 
 
 @dataclass
@@ -85,15 +88,31 @@ def read_model(path: str, kind: str = "bpe", dummy_prefix: bool = True) -> Model
     return Model(kind, pieces, texts, first_byte, processor.unk_id(), dummy_prefix)
 
 
-def units_of(text: str, dummy_prefix: bool = True) -> list[str]:
-    return _UNITS.findall((" " * dummy_prefix + text).replace(" ", MARK)) if text else []
+class Units:
+    """Cuts texts where no piece of a model can join: before marks, at line ends, and between a
+    letter or digit and ASCII punctuation, unless some piece holds such a pair."""
+
+    def __init__(self, model: Model):
+        joined = {a + b for piece in model.pieces for a, b in zip(piece, piece[1:])}
+        pairs = [p for p in joined if p[1] in string.punctuation and (p[0].isalnum() or p[0] == "_")]
+        odd = re.escape("".join(sorted({p[0] for p in pairs if p[0] != "_" and not p[0].isascii()})))
+        apart = set(string.punctuation) - {p[1] for p in pairs if p[0].isascii() and p[0] != "_"}
+        letters = rf"[^\W_{odd}]"  # without the few that a piece does join to punctuation
+        other, joining = rf"[_{odd}]|[^\w{MARK}\n]", rf"[^\w{MARK}\n{re.escape(''.join(sorted(apart)))}]"
+        joining += (f"|[{odd}]" if odd else "") + ("" if "_" in apart else "|_")
+        self.find = re.compile(
+            rf"\n|(?=[^\n]){MARK}*(?:{other})*{letters}*(?:(?:{joining})(?:{other})*{letters}*)*").findall
+        self.prefix = " " * model.dummy_prefix
+
+    def __call__(self, text: str | None) -> list[str]:
+        return self.find((self.prefix + text).replace(" ", MARK)) if text else []
 
 
 class Encoder:
     """Unit to ids (as 32-bit bytes), for the units outside the table."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.known = model, model.pieces.get
 
     def ids(self, segments: list[str]) -> bytes:
         out = []
@@ -105,10 +124,29 @@ class Encoder:
                 out.append(self.model.unknown)
             else:
                 out += [self.model.bytes_from + b for b in segment.encode()]
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, unit: str) -> bytes:
-        return self.ids(self._merged(unit) if self.model.kind == "bpe" else self._best(unit))
+        if self.model.kind != "bpe":
+            return self.ids(self._best(unit))
+        return self.ids(self._merged(unit) if len(unit) > LONGEST_UNIT else self._merged_short(unit))
+
+    def _merged_short(self, unit: str) -> list[str]:
+        """As ``_merged``, by scans: quicker for units of a few characters."""
+        symbols, known = list(unit), self.known
+        scores = [known(a + b, _NO_PIECE)[1] for a, b in zip(symbols, symbols[1:])]
+        while scores:
+            best = max(scores)
+            if best == _NEVER:
+                break
+            at = scores.index(best)
+            symbols[at] += symbols.pop(at + 1)
+            del scores[at]
+            if at:
+                scores[at - 1] = known(symbols[at - 1] + symbols[at], _NO_PIECE)[1]
+            if at < len(scores):
+                scores[at] = known(symbols[at] + symbols[at + 1], _NO_PIECE)[1]
+        return symbols
 
     def _merged(self, unit: str) -> list[str]:
         symbols: list[str | None] = list(unit)
@@ -170,12 +208,10 @@ class Table(dict):
 
 def unit_counts(documents: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
     """(unit, n) over all documents, of units short enough for the lattice."""
-    dummy = model.dummy_prefix
-
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        seen: Counter = Counter()
+        seen, units = Counter(), Units(model)
 
         def flush():
             kept = [(unit, n) for unit, n in seen.items() if len(unit) <= LONGEST_UNIT]
@@ -184,7 +220,7 @@ def unit_counts(documents: DataFrame, model: Model, text_column: str = "text") -
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(units_of(text or "", dummy))
+                seen.update(units(text))
                 if len(seen) > _SEEN:
                     yield from flush()
         yield from flush()
@@ -300,9 +336,9 @@ class Codec:
             import pyarrow as pa
 
             if not held:
-                held.append(Table(*shared.value))
-            table, dummy = held[0], shared.value[1].dummy_prefix
-            made = [b"".join(map(table.__getitem__, units_of(text or "", dummy))) for text in texts.to_pylist()]
+                held.extend((Table(*shared.value), Units(shared.value[1])))
+            table, units = held
+            made = [b"".join(map(table.__getitem__, units(text))) for text in texts.to_pylist()]
             offsets = np.zeros(len(made) + 1, np.int64)
             np.cumsum([len(ids) // 4 for ids in made], out=offsets[1:])
             return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(made), np.int32)))
@@ -316,10 +352,12 @@ class Codec:
         def decode(lists):
             import pyarrow as pa
 
-            texts, dummy = shared.value[1].texts, shared.value[1].dummy_prefix
-            out = []
-            for ids in lists:
-                made = b"".join([texts[i] for i in ids.values.to_pylist()]) if ids.is_valid else b""
+            piece, dummy = shared.value[1].texts.__getitem__, shared.value[1].dummy_prefix
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy()
+            out, end = [], 0
+            for size in sizes.tolist():
+                start, end = end, end + size
+                made = b"".join(map(piece, flat[start:end].tolist()))
                 out.append((made[1:] if dummy and made[:1] == b" " else made).decode("utf-8", "replace"))
             return pa.array(out, pa.string())
 
