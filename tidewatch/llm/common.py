@@ -87,6 +87,13 @@ class Admitted(dict):
         return found
 
 
+def sliced(batches: Iterable, rows: int = 1_000):
+    """The batches in slices of few rows, so that what is made from one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def record_batches(names: Iterable[str], types: Iterable, columns: list[list], rows: int = 20_000):
     """Arrow batches of bounded length from column lists."""
     import pyarrow as pa

@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import Admitted, binary_values, filter_bits, record_batches, words_of
+from tidewatch.llm.common import Admitted, binary_values, filter_bits, record_batches, sliced, words_of
 from tidewatch.session import materialise, share
 
 #: Words of a window, and posting lists intersected per phrase.
 WINDOW, ANCHORS = 13, 3
-_FLUSH = 500_000
+_FLUSH, _ROWS = 500_000, 100_000
 _DOC_BITS = 1 << 23
 _TERM_BITS = 1 << 22
 
@@ -68,7 +68,7 @@ def term_counts(documents: DataFrame, terms: bytes, text_column: str = "text") -
             for made in record_batches(["term", "n"], [pa.binary(), pa.int64()], columns):
                 yield made.set_column(0, "term", made.column(0).cast(pa.string()))
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in binary_values(batch.column(0)):
                 seen.update(words_of(text))
                 if len(seen) > _FLUSH:
@@ -99,7 +99,7 @@ def token_postings(documents: DataFrame, terms: bytes, id_column: str = "doc_id"
             for column in rows:
                 column.clear()
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text, key in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)),
                                       batch.column(2).to_pylist(), strict=True):
                 words = words_of(text)
@@ -108,7 +108,7 @@ def token_postings(documents: DataFrame, terms: bytes, id_column: str = "doc_id"
                 rows[1] += [doc] * (len(hits) + 1)
                 rows[2] += [key] * (len(hits) + 1)
                 rows[3] += [at for _, at in hits] + [len(words)]
-                if len(rows[0]) > _FLUSH:
+                if len(rows[0]) > _ROWS:
                     yield from made()
         yield from made()
 
@@ -185,7 +185,7 @@ class Index:
         def verify(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            for batch in batches:
+            for batch in sliced(batches):
                 hits, found = [], []
                 for text, listed in zip(binary_values(batch.column("text")), batch.column("listed").to_pylist(), strict=True):
                     words, true = words_of(text), set()

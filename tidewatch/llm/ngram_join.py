@@ -26,13 +26,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Admitted, binary_values, filter_bits, shingle_hashes, words_of
+from tidewatch.llm.common import Admitted, binary_values, filter_bits, shingle_hashes, sliced, words_of
 from tidewatch.llm.components import components
 from tidewatch.session import materialise, share
 
 NGRAM, THRESHOLD, RECALL, ROWS = 5, Fraction(4, 5), 0.995, 6
 #: Bounds of a block, in expectation: its classes and their n-grams.
-BLOCK_CLASSES, BLOCK_GRAMS = 1024, 2_000_000
+BLOCK_CLASSES, BLOCK_GRAMS = 1024, 1_000_000
 _FILTER_BITS = 1 << 23
 
 
@@ -67,7 +67,7 @@ def _signatures(documents: DataFrame, size: int, bands: int, rows: int, id_colum
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_hashes(words_of(text), size) for text in binary_values(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(map(_set_key, sets), pa.string()), pa.array([len(g) for g in sets], pa.int64()),
@@ -87,13 +87,16 @@ def _texts(documents: DataFrame, keys: DataFrame, size: int, text_column: str) -
         import pyarrow as pa
 
         admitted = Admitted(bits.value)
-        for batch in batches:
-            words = [words_of(text) for text in binary_values(batch.column(0))]
-            named = [(_set_key(shingle_hashes(w, size)), w) for w in words if w]
-            named = [(key, b" ".join(w)) for key, w in named if admitted[key.encode()]]
+        for batch in sliced(batches):
+            keys, texts = [], []
+            for text in binary_values(batch.column(0)):
+                words = words_of(text)  # of one text at a time
+                key = _set_key(shingle_hashes(words, size))
+                if key and admitted[key.encode()]:
+                    keys.append(key)
+                    texts.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key for key, _ in named], pa.string()), pa.array([w for _, w in named], pa.binary()).cast(pa.string())],
-                names=["set_key", "words"])
+                [pa.array(keys, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], names=["set_key", "words"])
 
     # Copies combine before the shuffle; any text of the class gives the same set.
     return documents.select(F.col(text_column).cast("string")).mapInArrow(pick, "set_key string, words string").groupBy(

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import record_batches
+from tidewatch.llm.common import record_batches, sliced
 from tidewatch.session import materialise, share
 
 MARK = "▁"
@@ -218,7 +218,7 @@ def unit_counts(documents: DataFrame, model: Model, text_column: str = "text") -
             seen.clear()
             yield from record_batches(["unit", "n"], [pa.string(), pa.int64()], [[u for u, _ in kept], [n for _, n in kept]])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(units(text))
                 if len(seen) > _SEEN:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import binary_values, record_batches, shingle_hashes, words_of
+from tidewatch.llm.common import binary_values, record_batches, shingle_hashes, sliced, words_of
 from tidewatch.session import materialise, share
 
 #: Common English insults.
@@ -224,7 +224,7 @@ def _terms(labelled: DataFrame) -> DataFrame:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             seen: dict[str, list[int]] = {}
             for text, toxic in zip(binary_values(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words = [w.decode("utf-8", "replace") for w in set(words_of(text))]
