@@ -230,6 +230,28 @@ n as (select key, sqrt(sum(n*n)::double) norm from c group by 1)"""
 sql("embed_text", "", f"""
 with texts as (select doc_id key, text from documents), {_TERMS}
 select key doc_id, bucket, round(n / norm, 9) weight from c join n using (key)""")
+sql("pipeline_alerts", "b_events b_active", f"""
+with texts as (select 'd'||doc_id as key, text from documents union all select 'q'||item_id, text from benchmark), {_TERMS},
+w as (select key, bucket, cast(cast(n / norm as float) as double) as weight from c join n using (key)),
+lengths as (select key, sqrt(sum(weight * weight)) as length from w group by 1),
+readable as (
+  select cast(doc_id as varchar) as id, array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+    lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from documents),
+dots as (
+  select d.key as doc, q.key as item, sum(d.weight * q.weight) as product from w d join w q on d.bucket = q.bucket
+  where d.key like 'd%' and q.key like 'q%' group by 1, 2),
+pairs as (
+  select s.id as strategy_id, e.id as event_id, s.similarity_threshold as threshold,
+    round(coalesce(product / (x.length * y.length), 0), 6) as score
+  from b_events e join b_active s on {_EVENT_FILTER_S} and {_EVENT_FILTER_T}
+  join readable r on r.id = e.id and octet_length(encode(r.text)) >= 50
+  join lengths x on x.key = 'd'||e.id
+  join benchmark b on b.text = s.query and b.item_id = s.seq % (select count(*) from benchmark)
+  join lengths y on y.key = 'q'||b.item_id
+  left join dots on doc = x.key and item = y.key)
+select strategy_id, event_id, score, rank from (
+  select *, row_number() over (partition by strategy_id order by score desc, {_uuid5('event_id')}) rank from pairs)
+where rank <= 10 and score >= threshold""")
 sql("embed_queries", "b_strategies", f"""
 with texts as (select distinct query key, query text from b_strategies), {_TERMS}
 select s.id, bucket, round(cast(cast(n / norm as float) as double), 5) weight

@@ -389,6 +389,26 @@ def enrich_events(t):
     return done.select("id", "outcome", long(F.size("vector")).alias("dims"))
 
 
+@query
+def pipeline_alerts(t):
+    """Pages to alerts over every document: text, embedding, upsert into a corpus that holds every
+    second point with an outdated vector, query embedding, search, threshold."""
+    address = F.concat(F.lit("https://docs.example/"), F.col("doc_id"))
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<html><body><nav>menu</nav><article><p>"), escaped, F.lit("</p></article></body></html>"))
+    crawled = t.raw("documents").select(address.alias("url"), html.alias("html"))
+    events = t.events(url=False, vector=False).withColumn("content_url", F.concat(F.lit("https://docs.example/"), "id"))
+    done = enrichment.enrich(events, pages.page_fetcher(crawled), embedding.hashing_embedder())
+    points = materialise(C.to_points(done.where(F.col("outcome") == enrichment.ENRICHED)), "points")
+    outdated = points.where(F.col("event_id").cast("long") % 2 == 0).withColumn("vector", F.reverse("vector"))
+    corpus = materialise(C.upsert_points(outdated, points), "corpus")
+    embedded = embedding.embed_queries(t.active().drop("query_vector"), embedding.hashing_embedder())
+    wanted = materialise(matching.interests(embedded, "query_vector"), "interests")
+    hits = ranking.vector_search(C.searchable(corpus), wanted)
+    found = ranking.match_in_corpus(hits, corpus.select("point_id", "event_id"), wanted)
+    return found.select("strategy_id", "event_id", "score", long("rank"))
+
+
 @query
 def parse_tickers(t):
     typed = F.concat_ws(" ,", "lang", F.concat(F.lit("t"), F.col("doc_id") % 10), F.lit(" "), "source")
