@@ -356,3 +356,11 @@ select user_id, {_time('created_at')} created_at,
 
 # -- streams
 sql("stream_dedupe_events", "b_events", "select id, source from b_events")
+sql("stream_retry_outcomes", "b_events", """
+with steps as (
+  select id, floor(seq * 3 / ((select max(seq) from b_events) + 1)) as step,
+    case when octet_length(encode(raw_text)) < 50 then 'skipped_short' when seq % 5 = 0 then 'error' else 'enriched' end as outcome
+  from b_events)
+select id, outcome, cast(0 as bigint) as attempts from steps
+union all select id, 'enriched', 1 from steps where outcome = 'error' and step < 2
+union all select id, 'waiting', 1 from steps where outcome = 'error' and step = 2""")

@@ -18,10 +18,10 @@ from tidewatch.operators import corpus as C
 from tidewatch.operators import counters, embedding, enrichment, matching, ranking, scoring, sinks, tables
 from tidewatch.plans import bindings as B
 from tidewatch.schemas import EVENT
-from tidewatch.session import materialise, scratch_path
+from tidewatch.session import materialise, read_parts, scratch_path
 from tidewatch.sources import companies, feeds, pages, registry
 from tidewatch.streaming import ingest, matcher
-from tidewatch.streaming.job import EventJob
+from tidewatch.streaming.job import FAILURE, OUTCOME, EventJob
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -597,3 +597,32 @@ def stream_event_job(t):
     arriving = ingest.read_events(spark, _land(landed, "events"), landed.schema, files_per_trigger=FILES)
     job.start(ingest.dedupe_stream(arriving), scratch_path(spark, "progress"), availableNow=True).awaitTermination()
     return sinks.read_alerts(spark, f"{root}/alerts").withColumn("created_at", X.rfc3339("created_at"))
+
+
+@query
+def stream_retry_outcomes(t):
+    """What becomes of failures: every fifth event fails once, a sink always fails, and the first
+    step is delivered again at the end, so that the last micro-batch has no rows.  The failures of
+    the third step then still wait."""
+    spark = t.spark
+    root = scratch_path(spark, "retries")
+    landed = t.events(url=False, vector=False).withColumn("content_url", F.lit(None).cast("string")).select(*EVENT.names, "seq")
+    unit = F.array(F.lit(1.0).cast("float"))
+
+    def enrich(events: DataFrame) -> DataFrame:
+        fails = (F.col("id").cast("long") % 5 == 0) & (F.col("attempts") == 0)
+        tried = events.withColumn("vector", F.when(~fails, unit))
+        return tried.withColumn("outcome", enrichment.outcome(F.lit(True), "raw_text", "vector"))
+
+    def broken(messages: DataFrame, batch_id: int) -> None:
+        raise OSError("a sink that is down")
+
+    path = _land(landed, "events")
+    step = F.floor(F.col("seq") * 3 / (landed.agg(F.max("seq")).first()[0] + 1))
+    landed.where(step == 0).repartition(FILES).write.mode("append").parquet(path)
+    job = EventJob(spark, root, lambda: t.active().withColumn("query_vector", unit), enrich, [broken])
+    arriving = ingest.read_events(spark, path, landed.schema, files_per_trigger=FILES)
+    job.start(ingest.dedupe_stream(arriving), scratch_path(spark, "progress"), availableNow=True).awaitTermination()
+    handled = read_parts(spark, job.path("outcomes"), OUTCOME).select("id", "outcome", long("attempts"))
+    last = read_parts(spark, job.path("failures"), FAILURE).where("batch = 3")
+    return handled.unionByName(last.select("id", F.lit("waiting").alias("outcome"), long("attempts")))
