@@ -6,9 +6,11 @@ import zlib
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import ship_package
+
 _WORD_BYTES = bytes(
     code + 32 if 65 <= code <= 90 else code if 48 <= code <= 57 or 97 <= code <= 122 or code >= 128 else 32
     for code in range(256))
@@ -16,6 +18,16 @@ _WORD_BYTES = bytes(
 FILTER_BITS = 1 << 20
 
 
+#: Whole texts of an Arrow batch: what tasks hold at a time, on both sides, follows this.
+BATCH_ROWS = 1_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the workers and keep Arrow batches of texts small."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased words (ASCII letters, digits and all non-ASCII characters) of UTF-8 text."""
     return text.translate(_WORD_BYTES).split() if text else []
@@ -87,8 +99,8 @@ class Admitted(dict):
         return found
 
 
-def sliced(batches: Iterable, rows: int = 1_000):
-    """The batches in slices of few rows, so that what is made from one stays small."""
+def sliced(batches: Iterable, rows: int = BATCH_ROWS):
+    """The batches in slices of few rows, so that what is made from one stays small in any session."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

@@ -42,7 +42,7 @@ from tidewatch.session import materialise, share
 
 MARK = "▁"
 TABLE, LONGEST_UNIT = 1 << 18, 40
-_SEEN, _KNOWN = 500_000, 200_000
+_SEEN, _KNOWN = 400_000, 100_000
 _NEVER = float("-inf")
 _NO_PIECE = (0, _NEVER)
 
@@ -333,15 +333,7 @@ class Codec:
 
         @F.arrow_udf(T.ArrayType(T.IntegerType()))
         def encode(texts):
-            import pyarrow as pa
-
-            if not held:
-                held.extend((Table(*shared.value), Units(shared.value[1])))
-            table, units = held
-            made = [b"".join(map(table.__getitem__, units(text))) for text in texts.to_pylist()]
-            offsets = np.zeros(len(made) + 1, np.int64)
-            np.cumsum([len(ids) // 4 for ids in made], out=offsets[1:])
-            return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(made), np.int32)))
+            return _lists(*_encoded(_tools(shared, held), texts.to_pylist()))
 
         return encode(text.cast("string"))
 
@@ -352,25 +344,62 @@ class Codec:
         def decode(lists):
             import pyarrow as pa
 
-            piece, dummy = shared.value[1].texts.__getitem__, shared.value[1].dummy_prefix
-            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy()
-            out, end = [], 0
-            for size in sizes.tolist():
-                start, end = end, end + size
-                made = b"".join(map(piece, flat[start:end].tolist()))
-                out.append((made[1:] if dummy and made[:1] == b" " else made).decode("utf-8", "replace"))
-            return pa.array(out, pa.string())
+            sizes = lists.value_lengths().fill_null(0).to_numpy()
+            return pa.array(_decoded(shared.value[1], lists.flatten().to_numpy(zero_copy_only=False), sizes), pa.string())
 
         return decode(ids)
 
+    def checked(self, text: Column) -> Column:
+        """struct(ids, round_trip): the ids, and whether decoding them gives the text back."""
+        shared, held = self.shared, []
+
+        @F.arrow_udf(T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType()))
+        def check(texts):
+            import pyarrow as pa
+
+            plain = texts.to_pylist()
+            sizes, flat = _encoded(_tools(shared, held), plain)
+            back = _decoded(shared.value[1], flat, sizes)
+            same = [made == (text or "").replace(MARK, " ") for made, text in zip(back, plain, strict=True)]
+            return pa.StructArray.from_arrays([_lists(sizes, flat), pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+        return check(text.cast("string"))
+
+
+def _tools(shared, held: list) -> tuple[Table, Units]:
+    """The task's table and cutter, made once."""
+    if not held:
+        held.extend((Table(*shared.value), Units(shared.value[1])))
+    return tuple(held)
+
+
+def _encoded(tools: tuple[Table, Units], texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids of the texts, and all ids in a row."""
+    table, units = tools
+    made = [b"".join(map(table.__getitem__, units(text))) for text in texts]
+    return np.array([len(ids) // 4 for ids in made], np.int64), np.frombuffer(b"".join(made), np.int32)
+
+
+def _decoded(model: Model, flat: np.ndarray, sizes: np.ndarray) -> list[str]:
+    piece, out, end = model.texts.__getitem__, [], 0
+    for size in sizes.tolist():
+        start, end = end, end + size
+        made = b"".join(map(piece, flat[start:end].tolist()))
+        out.append((made[1:] if model.dummy_prefix and made[:1] == b" " else made).decode("utf-8", "replace"))
+    return out
+
+
+def _lists(sizes: np.ndarray, flat: np.ndarray):
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
 
 def encoded(documents: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_ids, ids, round_trip): whole texts as ids, and whether decoding gives the text back.
 
     A piece mark in a text is decoded as a space, as the model has one piece for both.
     """
-    codec = Codec(documents, model, text_column)
-    text = F.col(text_column).cast("string")
-    plain = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
-    return (documents.select(id_column, plain.alias("_plain"), codec.encode(text).alias("ids"))
-            .select(id_column, F.size("ids").cast("long").alias("n_ids"), "ids", (codec.decode(F.col("ids")) == F.col("_plain")).alias("round_trip")))
+    made = documents.select(id_column, Codec(documents, model, text_column).checked(F.col(text_column)).alias("made"))
+    return made.select(id_column, F.size("made.ids").cast("long").alias("n_ids"), "made.ids", "made.round_trip")

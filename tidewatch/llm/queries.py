@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import chat_format, decontamination, html_extract, license_scan, ngram_join, pieces, quality, secret_scan, topk_search, toxicity
-from tidewatch.session import ship_package
+from tidewatch.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,7 +18,7 @@ QUERIES: dict[str, Query] = {}
 def query(build: Callable) -> Callable:
     """Registers a function of a table reader."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return build(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
     QUERIES[build.__name__] = run
