@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontamination, ngram_join, pieces, secret_scan, toxicity
+from tidewatch.llm.common import prepare
 from tidewatch.llm.queries import piece_model
-from tidewatch.session import materialise, ship_package
+from tidewatch.session import materialise
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold; the model learns from the labelled ones among them."""
-    ship_package(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(toxicity.bucket() != 2)
     model = toxicity.fit(docs, labels)
     return docs.where(toxicity.toxicity(model, docs) < toxicity.THRESHOLD)
@@ -28,13 +29,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least id."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.one_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in twenty stands in a benchmark window."""
-    ship_package(spark)
+    prepare(spark)
     hits = decontamination.phrase_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = hits.where(decontamination.contaminated()).select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
@@ -52,7 +53,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_ids, ids, round_trip): the texts as piece ids, and whether decoding gives them back."""
-    ship_package(spark)
+    prepare(spark)
     return pieces.encoded(docs, piece_model())
 
 
