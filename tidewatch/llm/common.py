@@ -106,6 +106,22 @@ def sliced(batches: Iterable, rows: int = BATCH_ROWS):
             yield batch.slice(start, rows)
 
 
+def keyed_rows(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(row, doc_id, text_key): whole rows beside the key of their document, whatever their columns are called.
+
+    ``text_key`` tells apart rows of one id whose texts differ; ``row.*`` gives the rows back.
+    """
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+                            F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(text_column).cast("string")).alias("text_key"))
+
+
+def same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join of two frames with (doc_id, text_key) on that key, null ids included; the left key stays."""
+    other = right.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
+    joined = left.join(other, left.doc_id.eqNullSafe(other["_doc"]) & (left.text_key == other["_key"]), how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop("_doc", "_key")
+
+
 def record_batches(names: Iterable[str], types: Iterable, columns: list[list], rows: int = 20_000):
     """Arrow batches of bounded length from column lists."""
     import pyarrow as pa

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import Admitted, binary_values, filter_bits, record_batches, sliced, words_of
+from tidewatch.llm.common import Admitted, binary_values, filter_bits, record_batches, same_document, sliced, words_of
 from tidewatch.session import materialise, share
 
 #: Words of a window, and posting lists intersected per phrase.
@@ -128,12 +128,6 @@ def _doc_key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_key").cast("string"))
 
 
-def _same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on (doc_id, text_key), null ids included; the columns of ``right`` are renamed away."""
-    other = right.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    return left.join(other, left.doc_id.eqNullSafe(other["_doc"]) & (left.text_key == other["_key"]), how).drop("_doc", "_key")
-
-
 class Index:
     """Postings of all documents for the rarest terms of the given phrases."""
 
@@ -205,7 +199,7 @@ class Index:
             admit, "doc_id long, text string, text_key long").dropDuplicates(["doc_id", "text_key"])
         listed = candidates.groupBy("doc_id", "text_key").agg(
             F.collect_list(F.struct("start", "phrase_id", "phrase")).alias("listed"))
-        return _same_document(texts, listed, "inner").mapInArrow(
+        return same_document(texts, listed, "inner").mapInArrow(
             verify, "doc_id long, text_key long, n_hit long, phrase_ids array<long>").where(F.size("phrase_ids") > 0)
 
 
@@ -249,8 +243,8 @@ def _report(index: Index, found: DataFrame) -> DataFrame:
     items = (found.select("doc_id", "text_key", F.explode("phrase_ids").alias("phrase_id"))
              .join(index.phrases, "phrase_id").join(index.of_items, "phrase")
              .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
-    hit = _same_document(found.select("doc_id", "text_key", "n_hit"), items, "left")
-    return (_same_document(index.word_counts(), hit, "left")
+    hit = same_document(found.select("doc_id", "text_key", "n_hit"), items, "left")
+    return (same_document(index.word_counts(), hit, "left")
             .select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("items", F.array().cast(T.ArrayType(T.StringType()))).alias("items")))
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Admitted, binary_values, filter_bits, shingle_hashes, sliced, words_of
+from tidewatch.llm.common import Admitted, binary_values, filter_bits, keyed_rows, same_document, shingle_hashes, sliced, words_of
 from tidewatch.llm.components import components
 from tidewatch.session import materialise, share
 
@@ -235,12 +235,11 @@ def one_of_each_group(documents: DataFrame, id_column: str = "doc_id", text_colu
     best = grouped.groupBy("group_key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("best"))
     rows = grouped.groupBy("group_key", "doc_id", "text_key").agg(F.count("*").alias("n")).join(best, "group_key").select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), (F.col("n") > 1).alias("_repeated"),
-        (~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key")))).alias("_dropped"))
-    decided = rows.where("_dropped or _repeated")
-    text_key = F.xxhash64(F.col(text_column).cast("string"))
-    joined = documents.join(decided, F.col(id_column).cast("long").eqNullSafe(F.col("_doc")) & (text_key == F.col("_key")), "left")
-    kept = materialise(joined.where("_dropped is null or not _dropped"), "one-of-each")
-    single = kept.where("_repeated is null or not _repeated")
-    repeated = kept.where("_repeated").dropDuplicates(["_doc", "_key"])
-    return single.union(repeated).select(*[F.col(f"`{c}`") for c in documents.columns])
+        "doc_id", "text_key", (F.col("n") > 1).alias("repeated"),
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))).alias("best"))
+    # Only what is dropped or repeated is joined; rows travel whole, so their columns may have any names.
+    joined = same_document(keyed_rows(documents, id_column, text_column), rows.where("repeated or not best"), "left")
+    kept = materialise(joined.where("best is null or best"), "one-of-each")
+    single = kept.where("best is null")
+    repeated = kept.where("best").dropDuplicates(["doc_id", "text_key"])
+    return single.union(repeated).select("row.*")
