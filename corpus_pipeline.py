@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontamination, ngram_join, pieces, secret_scan, toxicity
-from tidewatch.llm.common import prepare
+from tidewatch.llm.common import keyed_rows, prepare, same_document
 from tidewatch.llm.queries import piece_model
 from tidewatch.session import materialise
 
@@ -37,10 +37,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of which less than one word in twenty stands in a benchmark window."""
     prepare(spark)
     hits = decontamination.phrase_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = hits.where(decontamination.contaminated()).select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    key = decontamination.text_key(F.col("text"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left_anti")
+    bad = hits.where(decontamination.contaminated()).select("doc_id", "text_key").distinct()
+    return same_document(keyed_rows(docs), bad, "left_anti").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
