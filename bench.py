@@ -21,7 +21,7 @@ HEADLINE = [
     "extract_text", "content_join", "enrich_events", "embed_text", "embed_queries", "upsert_points",
     "prefilter_match", "prefilter_match_equi", "cosine_scores", "vector_search",
     "match_alerts", "match_alerts_large_registry", "match_alerts_final",
-    "alert_rows", "user_alert_feed", "mark_alerts_read", "stream_match_alerts",
+    "alert_rows", "user_alert_feed", "mark_alerts_read", "pipeline_alerts", "stream_match_alerts",
 ]
 
 
