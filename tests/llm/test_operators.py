@@ -489,3 +489,25 @@ def test_style_tree_removes_templates_of_a_host(spark):
     same = html_extract.extract(spark.createDataFrame(copies, "page_id long, url string, html string")).select("text").distinct().collect()
     assert len(same) == 1 and " ".join(prose(507, 30)) in same[0].text
 
+
+def test_unclosed_elements_and_deep_pages_lose_no_text():
+    def text(html):
+        return html_extract._Page(html).main_text()
+
+    for cut in ('<svg viewBox="0"/>', "<math/>", '<svg><path d="M0"/><title/></svg>', "<button>Share", "<select><option>a", '<object data="x"/>', "<object>old",
+                "<svg><g><circle r='1'>", "<object>a<object>b</object>c</object>", "<svg><svg></svg><text>drawn</text></svg>",
+                "<button><div>Share</div></button>", "<noscript><p>no</p></noscript>", "<template><p>no</p></template>"):
+        assert text(f"<div><p>one</p><div>{cut}</div><p>two</p></div>") == "one\ntwo", cut
+        assert text(f"<p>one</p>{cut}<p>two</p><button>b</button><p>three") == "one\ntwo\nthree", cut
+    assert text("<p>a <button>Share</button> b</p><p>c</p><script>x('</p>')") == "a b\nc"
+    names = " ".join(f"col-{c}-wide-grid" * 8 for c in "abcdefgh")
+    page = html_extract._Page(f"<div class='{names}'><div class='x'>{'<div>' * 300}one</div><p>two</p></div><div class='y'><p>two</p></div></div>")
+    assert len({path for path, *_ in page.blocks}) == len(page.blocks) == 3
+
+
+def test_long_class_lists_keep_the_tree_apart(spark):
+    long = " ".join("grid-column-wide-" + "abcdefgh"[i % 8] * (i + 1) for i in range(30))
+    rows = [(i, f"http://one.example/{i}", f"<html><body><div class='{long}'><div class='top'>Welcome to our pages</div><div class='body'>"
+             f"{' '.join(prose(i, 30))}</div></div></body></html>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(prose(i, 30)) for i in range(20)}

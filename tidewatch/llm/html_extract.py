@@ -30,9 +30,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.session import materialise
@@ -44,8 +46,14 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav noframes ol p pre section summary table tbody td
 tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select button xmp noembed".split())
-OUTSIDE = frozenset("nav header footer aside form menu dialog head script style noscript template iframe button select textarea label".split())
+#: HTML's raw text: what follows is text up to the closing tag, or to the end of the page.
+RAW = frozenset("script style textarea title iframe xmp noembed".split())
+FOREIGN, HTML_INSIDE = frozenset(["svg", "math"]), frozenset(["foreignobject", "desc", "title", "annotation-xml"])
+#: Elements whose text is never read, with all they hold.
+MUTE = frozenset("noscript template object select button".split()) | FOREIGN
+OUTSIDE = frozenset("nav header footer aside form menu dialog head label".split()) | MUTE
+#: HTML elements that end svg and math they stand in.
+_BREAKS_OUT = BLOCKS | frozenset("b big br code em embed head i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 SCOPES = frozenset(["article", "main"])
 #: An element that ends an open one of the same group.
 _ENDS = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
@@ -61,15 +69,26 @@ _KEPT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|text)[
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _DIGITS = re.compile(r"\d+")
+#: Comments and raw text, to their ends.
+_SKIPPED = rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>]).*?(?:</\2(?=[\s/>])|\Z)"
+
+
+@lru_cache(1 << 16)
+def _path(parent: int, style: str) -> int:
+    """The hash chain that names a node: its parent's hash and its own style, at any depth."""
+    return int.from_bytes(blake2b(style.encode("utf-8", "replace"), digest_size=8, key=parent.to_bytes(8, "big", signed=True)).digest(), "big", signed=True)
 
 
 class _Page:
-    """The blocks of one page in order: (style path, text, in the article's scope, outside by HTML's own word)."""
+    """The blocks of one page in order: (style path, text, in the article's scope, outside by HTML's own word, removed)."""
 
-    def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, in scope, outside
+    def __init__(self, html: str, removed: frozenset[int] = frozenset()):
+        self.blocks: list[tuple[int, str, bool, bool, bool]] = []
+        # tag, path, in scope, outside, text is not read, without a closing tag, removed by the tree
+        self.open: list[tuple[str, int, bool, bool, bool, bool, bool]] = [("", 0, False, False, False, False, False)]
         self.text: list[str] = []
+        self.unclosed: dict[str, set[int]] = {}
+        self.html, self.removed = html, removed
         self._read(html)
         self._flush()
 
@@ -78,15 +97,40 @@ class _Page:
             text = " ".join("".join(self.text).split())
             self.text.clear()
             if text:
-                path, scope, outside = next((b[1:] for b in reversed(self.open) if b[0] in BLOCKS or not b[0]))
-                self.blocks.append((path, text, scope, outside))
+                _, path, scope, outside, _, _, removed = next(b for b in reversed(self.open) if b[0] in BLOCKS or not b[0])
+                self.blocks.append((path, text, scope, outside, removed))
 
     def _close(self, depth: int) -> None:
-        if any(tag in BLOCKS for tag, *_ in self.open[depth:]):
+        if any(element[0] in BLOCKS for element in self.open[depth:]):
             self._flush()
         del self.open[depth:]
 
-    def _start(self, tag: str, attributes: str) -> None:
+    def _foreign(self) -> bool:
+        return self.open[-1][4] and any(element[0] in FOREIGN for element in self.open)
+
+    def _break_out(self, tag: str) -> None:
+        """Ends muted elements that cannot hold this one: svg and math, and those that never close."""
+        for depth, (above, _, _, _, _, unclosed, _) in enumerate(self.open):
+            if unclosed and tag in BLOCKS or above in FOREIGN and tag in _BREAKS_OUT and not any(
+                    inner[0] in HTML_INSIDE for inner in self.open[depth + 1:]):
+                self._close(depth)
+                return
+
+    def _never_closes(self, tag: str, at: int) -> bool:
+        """Whether no closing tag belongs to the element whose start tag begins at this place."""
+        if tag not in self.unclosed:
+            waiting: list[int] = []
+            for found in re.finditer(rf"<(/?){tag}(?=[\s/>])|{_SKIPPED}", self.html, re.I | re.S):
+                if found[1] == "":
+                    waiting.append(found.start())
+                elif found[1] and waiting:
+                    waiting.pop()
+            self.unclosed[tag] = set(waiting)
+        return at in self.unclosed[tag]
+
+    def _start(self, tag: str, attributes: str, at: int) -> None:
+        if self.open[-1][4]:
+            self._break_out(tag)
         for depth in range(len(self.open) - 1, 0, -1):  # what this element ends
             above = self.open[depth][0]
             if above in _ENDS and tag in _ENDS[above]:
@@ -100,7 +144,11 @@ class _Page:
             if tag == "br":
                 self.text.append(" ")
             return
-        _, path, scope, outside = self.open[-1]
+        muted = tag in MUTE
+        unclosed = muted and tag not in FOREIGN and self._never_closes(tag, at)
+        if attributes.endswith("/") and (unclosed or tag in FOREIGN or self._foreign()):
+            return
+        _, path, scope, outside, mute, _, removed = self.open[-1]
         named, hidden = "", False
         for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
             key, value = key.lower(), value.strip("\"'")
@@ -111,9 +159,10 @@ class _Page:
         ruled = tag in OUTSIDE and not (tag == "header" and scope)
         if named and tag not in ("html", "body"):
             ruled |= bool(_NAMES.search(named)) and not _KEPT.search(named) and tag not in SCOPES
-        style = tag + (_DIGITS.sub("0", ".".join(named.lower().split())) and "." + _DIGITS.sub("0", ".".join(named.lower().split())))
-        inside = tag in SCOPES
-        self.open.append((tag, f"{path}/{style}"[:400], scope or inside, ruled or hidden or outside))
+        style = _DIGITS.sub("0", ".".join([tag, *named.lower().split()]))
+        path = _path(path, style)
+        self.open.append((tag, path, scope or tag in SCOPES, ruled or hidden or outside, muted or mute, unclosed,
+                          removed or path in self.removed))
 
     def _end(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
@@ -132,7 +181,8 @@ class _Page:
             at = token.end()
             text = token[7]
             if text is not None:
-                self.text.append(unescape(text) if "&" in text else text)
+                if not self.open[-1][4]:
+                    self.text.append(unescape(text) if "&" in text else text)
                 continue
             tag = token[2] or token[5]
             if tag is None:
@@ -142,11 +192,28 @@ class _Page:
                 if tag == "br":
                     self.text.append(" ")
                 self._end(tag)
-            elif tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(html, at)
+            elif tag in RAW and not self._foreign():
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else size
             else:
-                self._start(tag, token[3] or token[6] or "")
+                self._start(tag, token[3] or token[6] or "", token.start())
+
+
+    def main_text(self) -> str:
+        """What stays of the page."""
+        shown = [b for b in self.blocks if not b[3]]
+        if any(scope for _, _, scope, _, _ in shown):
+            return "\n".join(text for _, text, scope, _, _ in shown if scope)
+        return "\n".join(text for _, text, _, _, removed in shown if not removed)
+
+
+def _pages(pages: DataFrame, url_column: str, html_column: str, keep: tuple[str, ...]) -> DataFrame:
+    host = F.lower(F.coalesce(F.regexp_extract(F.col(url_column), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    return pages.select(*keep, F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).alias("html"))
+
+
+def _fields(rows: DataFrame, *without: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in without)
 
 
 def blocks(pages: DataFrame, url_column: str = "url", html_column: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -154,17 +221,15 @@ def blocks(pages: DataFrame, url_column: str = "url", html_column: str = "html",
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("scope", pa.bool_()), ("outside", pa.bool_())]))
+        kind = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string()), ("scope", pa.bool_()), ("outside", pa.bool_())]))
         for batch in batches:
             found = []
             for html in batch.column("html").to_pylist():
-                found.append([dict(zip(("path", "text", "scope", "outside"), b, strict=True)) for b in _Page(html).blocks] if html else [])
+                found.append([dict(zip(("path", "text", "scope", "outside"), b[:4], strict=True)) for b in _Page(html).blocks] if html else [])
             yield batch.drop_columns(["html"]).append_column("blocks", pa.array(found, kind))
 
-    host = F.lower(F.coalesce(F.regexp_extract(F.col(url_column), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select(*keep, F.col(url_column).alias("url"), host.alias("host"), F.col(html_column).alias("html"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "html")
-    return rows.mapInArrow(cut, schema + ", blocks array<struct<path:string,text:string,scope:boolean,outside:boolean>>")
+    rows = _pages(pages, url_column, html_column, keep)
+    return rows.mapInArrow(cut, _fields(rows, "html") + ", blocks array<struct<path:bigint,text:string,scope:boolean,outside:boolean>>")
 
 
 def style_tree(cut: DataFrame) -> DataFrame:
@@ -199,16 +264,17 @@ def removals(cut: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IM
 
 def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The kept columns, url and the main text of each page."""
-    cut = blocks(pages, url_column, html_column, keep)
     # Pages are parsed once for the tree and once for their text: texts are neither stored nor, as
     # long as the written removals are small enough for Spark to ship them, shuffled.
-    found = cut.join(materialise(removals(cut), "removals"), "host", "left")
-    scoped = F.exists("blocks", lambda b: b["scope"] & ~b["outside"])
-    no_paths = F.array().cast("array<string>")
+    found = removals(blocks(pages, url_column, html_column, ()))
+    rows = _pages(pages, url_column, html_column, keep).join(materialise(found, "removals"), "host", "left").drop("host")
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def stays(b: Column) -> Column:
-        removed = F.exists(F.coalesce("paths", no_paths), lambda p: (b["path"] == p) | b["path"].startswith(F.concat(p, F.lit("/"))))
-        return ~b["outside"] & F.when(scoped, b["scope"]).otherwise(~removed)
+        for batch in batches:
+            texts = [_Page(html, frozenset(removed or ())).main_text() if html else ""
+                     for html, removed in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
+            yield batch.drop_columns(["html", "paths"]).append_column("text", pa.array(texts, pa.string()))
 
-    text = F.array_join(F.transform(F.filter("blocks", stays), lambda b: b["text"]), "\n")
-    return found.select(*keep, "url", text.alias("text"))
+    return rows.mapInArrow(read, _fields(rows, "html", "paths") + ", text string")
