@@ -511,3 +511,20 @@ def test_long_class_lists_keep_the_tree_apart(spark):
              f"{' '.join(prose(i, 30))}</div></div></body></html>") for i in range(20)]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: " ".join(prose(i, 30)) for i in range(20)}
+
+
+def test_style_tree_decides_inside_articles_and_beside_them(spark):
+    def article(i):
+        return (f"<body><article><h1>Weekly report</h1><p>{' '.join(prose(i, 30))}</p><div class='box'>Get our letter</div>"
+                f"<div class='by'><b>Jo</b> writes here</div></article></body>")
+
+    def cards(i):
+        return (f"<body><div class='t'>Welcome to our pages</div><div class='b'><p>{' '.join(prose(i, 60))}</p></div>"
+                "<article><h3>Read this</h3></article><article><p>Then that</p></article></body>")
+
+    rows = [(i, f"http://one.example/{i}", article(i)) for i in range(20)] + [(100 + i, f"http://two.example/{i}", cards(i)) for i in range(20)]
+    rows += [(200 + i, f"http://few.example/{i}", article(i)) for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "Weekly report\n" + " ".join(prose(i, 30)) for i in range(20)} | {
+        100 + i: " ".join(prose(i, 60)) for i in range(20)} | {
+        200 + i: "Weekly report\n" + " ".join(prose(i, 30)) + "\nGet our letter\nJo writes here" for i in range(9)}

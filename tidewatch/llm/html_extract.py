@@ -10,15 +10,17 @@
    to the logarithm of the number of those pages.  Template text has low entropy: it repeats.
 3. Nodes of at least ``MIN_PAGES`` pages whose importance is below ``LEAST_IMPORTANCE`` are removed,
    with their branches, from every page of the host.  Pages of one content count once, so copies
-   are no evidence of a template.  What stands in an ``article`` or ``main`` element is exempt: the
-   page itself says that it is the article, and a title shared by several articles is still theirs.
+   are no evidence of a template.  In an ``article`` or ``main`` element the page itself says that
+   it is the article: there ``MIN_PAGES_IN_SCOPE`` pages and ``LEAST_IN_SCOPE`` are asked for, a node
+   is removed without its branches, and ``TITLES`` stay, for a shared title is still the articles'.
 
 Statistics are combined before each shuffle by (host, path, content hash), so a host with a third
 of all pages costs no task more than others; only its removals, a few paths, come back by a join,
 and no block's text is shuffled for the tree.
 
-A page that has an article (or main) element keeps what is in it; other pages keep what is left of
-the body.  Blocks are block-level elements and line breaks are white space inside
+A page that has an article (or main) element keeps what the tree leaves in it, unless ``OUTWEIGHS``
+times as much text is left outside of it: then the elements are cards beside the body, and like a
+page without them it keeps what is left of the whole body.  Blocks are block-level elements and line breaks are white space inside
 them; character references are decoded after parsing; white space becomes one space.
 
 Defined results: null and empty html give empty text; broken markup is read as far as it goes:
@@ -40,6 +42,8 @@ from pyspark.sql import functions as F
 from tidewatch.session import materialise
 
 MIN_PAGES, LEAST_IMPORTANCE = 8, 0.3
+MIN_PAGES_IN_SCOPE, LEAST_IN_SCOPE = 16, 0.1
+OUTWEIGHS = 2
 
 #: HTML's elements by how they are treated.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
@@ -55,6 +59,7 @@ OUTSIDE = frozenset("nav header footer aside form menu dialog head label".split(
 #: HTML elements that end svg and math they stand in.
 _BREAKS_OUT = BLOCKS | frozenset("b big br code em embed head i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 SCOPES = frozenset(["article", "main"])
+TITLES = frozenset(["h1", "h2"])
 #: An element that ends an open one of the same group.
 _ENDS = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
          "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -160,9 +165,9 @@ class _Page:
         if named and tag not in ("html", "body"):
             ruled |= bool(_NAMES.search(named)) and not _KEPT.search(named) and tag not in SCOPES
         style = _DIGITS.sub("0", ".".join([tag, *named.lower().split()]))
-        path = _path(path, style)
-        self.open.append((tag, path, scope or tag in SCOPES, ruled or hidden or outside, muted or mute, unclosed,
-                          removed or path in self.removed))
+        path, scope = _path(path, style), scope or tag in SCOPES
+        removed = tag not in TITLES and path in self.removed if scope else removed or path in self.removed
+        self.open.append((tag, path, scope, ruled or hidden or outside, muted or mute, unclosed, removed))
 
     def _end(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
@@ -201,10 +206,11 @@ class _Page:
 
     def main_text(self) -> str:
         """What stays of the page."""
-        shown = [b for b in self.blocks if not b[3]]
-        if any(scope for _, _, scope, _, _ in shown):
-            return "\n".join(text for _, text, scope, _, _ in shown if scope)
-        return "\n".join(text for _, text, _, _, removed in shown if not removed)
+        left = [(text, scope) for _, text, scope, outside, removed in self.blocks if not (outside or removed)]
+        inside = sum(len(text) for text, scope in left if scope)
+        if inside and sum(len(text) for text, scope in left if not scope) <= OUTWEIGHS * inside:
+            left = [(text, scope) for text, scope in left if scope]
+        return "\n".join(text for text, _ in left)
 
 
 def _pages(pages: DataFrame, url_column: str, html_column: str, keep: tuple[str, ...]) -> DataFrame:
@@ -233,32 +239,35 @@ def blocks(pages: DataFrame, url_column: str = "url", html_column: str = "html",
 
 
 def style_tree(cut: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content): the nodes of each host's tree with their importance.
+    """(host, path, scope, pages, presentation, content): the nodes of each host's tree with their importance.
 
     Both entropies are relative to log(pages), so they lie between 0 (the same everywhere) and 1.
     """
     shown_blocks = F.filter("blocks", lambda b: ~b["outside"])
     page = (cut.where("host <> ''").select("host", F.transform(shown_blocks, lambda b: F.struct(
-        b["path"].alias("path"), F.xxhash64(b["text"]).alias("text"))).alias("blocks"))
+        b["path"].alias("path"), b["scope"].alias("scope"), F.xxhash64(b["text"]).alias("text"))).alias("blocks"))
         .withColumn("page", F.xxhash64("blocks")).groupBy("host", "page").agg(F.first("blocks").alias("blocks")))
     node = (page.select("host", "page", F.explode("blocks").alias("b")).groupBy("host", "page", "b.path")
-            .agg(F.count("*").alias("n"), F.sum(F.col("b.text").cast("decimal(38,0)")).alias("content")))
+            .agg(F.max("b.scope").alias("scope"), F.count("*").alias("n"), F.sum(F.col("b.text").cast("decimal(38,0)")).alias("content")))
 
     def entropy(column: str) -> DataFrame:
-        same = node.groupBy("host", "path", column).agg(F.count("*").alias("pages"))
+        same = node.groupBy("host", "path", column).agg(F.count("*").alias("pages"), F.max("scope").alias("scope"))
         return same.groupBy("host", "path").agg(
+            F.max("scope").alias("scope"),
             F.sum("pages").alias("pages"),
             (F.log(F.sum("pages")) - F.sum(F.col("pages") * F.log("pages")) / F.sum("pages")).alias("bits"))
 
-    shown, held = entropy("n"), entropy("content").withColumnRenamed("bits", "content_bits").drop("pages")
+    shown, held = entropy("n"), entropy("content").withColumnRenamed("bits", "content_bits").drop("pages", "scope")
     scale = F.greatest(F.log("pages"), F.lit(1e-9))
     return shown.join(held, ["host", "path"]).select(
-        "host", "path", "pages", (F.col("bits") / scale).alias("presentation"), (F.col("content_bits") / scale).alias("content"))
+        "host", "path", "scope", "pages", (F.col("bits") / scale).alias("presentation"), (F.col("content_bits") / scale).alias("content"))
 
 
-def removals(cut: DataFrame, min_pages: int = MIN_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
+def removals(cut: DataFrame) -> DataFrame:
     """(host, paths): the nodes of low importance of each host."""
-    return (style_tree(cut).where((F.col("pages") >= min_pages) & (F.greatest("presentation", "content") < least))
+    pages, least = (F.when(F.col("scope"), F.lit(inside)).otherwise(F.lit(other)) for inside, other in (
+        (MIN_PAGES_IN_SCOPE, MIN_PAGES), (LEAST_IN_SCOPE, LEAST_IMPORTANCE)))
+    return (style_tree(cut).where((F.col("pages") >= pages) & (F.greatest("presentation", "content") < least))
             .groupBy("host").agg(F.collect_list("path").alias("paths")))
 
 
