@@ -426,6 +426,23 @@ def test_automaton_equals_edit_distance():
         assert automaton.match(word) == (1.0 if exact else toxicity._MISSPELT if near else 0.0), word
 
 
+def test_stems_are_met_misspelt():
+    words, stems = ["scum", "salaudxyz"], ["salaud", "vequ", "dreck"]
+    automaton, generator = toxicity.LexiconAutomaton(words, stems), random.Random(5)
+    tried = ["salaud", "saluad", "dreks", "drecks", "vequs", "vexus", "salauds", "salaudxyz", "scums", "drec", "dre", "", "xsalaudes"]
+    for stem in stems * 80:
+        letters = list(stem + generator.choice(["", "s", "erei", "xyz"]))
+        for _ in range(generator.randint(0, 2)):
+            at = generator.randrange(len(letters) + 1)
+            letters[at:at + generator.randint(0, 1)] = generator.choice(["", "a", "q", "xy"])
+        tried.append("".join(letters))
+    for word in tried:
+        exact = word in words or any(word.startswith(s) for s in stems)
+        near = any(len(w) >= 5 and edits(word, w) <= 1 for w in words) or any(
+            len(s) >= 5 and edits(word[:n], s) <= 1 for s in stems for n in range(len(word) + 1))
+        assert automaton.match(word) == (1.0 if exact else toxicity._MISSPELT if near else 0.0), word
+
+
 def test_context_and_spelling_decide(spark):
     model = toxicity.Model(list(toxicity.INSULTS))
     scorer = toxicity.Scorer(model)

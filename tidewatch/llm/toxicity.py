@@ -59,13 +59,15 @@ class Model:
 
 
 class LexiconAutomaton:
-    """Words within one edit of a lexicon word, and words that begin with a stem.
+    """Words within one edit of a lexicon word, and words that begin with a stem or within one edit of it.
 
     A state is the set of (trie node, edits used); transitions are made when first needed.
-    Edits are substitution, insertion, deletion; words shorter than five letters must match.
+    Edits are substitution, insertion, deletion; words and stems shorter than five letters must match.
     """
 
     DEAD, STATES = 0, 50_000
+    #: What a word holds from the letter on at which it has passed a misspelt stem.
+    PASSED = (-1, 1)
 
     def __init__(self, words: list[str], stems: list[str]):
         self.child: list[dict[str, int]] = [{}]
@@ -82,15 +84,23 @@ class LexiconAutomaton:
                     self.stem.append(False)
                     self.longest.append(0)
                 node = self.child[node][letter]
-                self.longest[node] = max(self.longest[node], 0 if is_stem else len(term))
+                self.longest[node] = max(self.longest[node], len(term))
             if is_stem:
                 self.stem[node] = True
             else:
                 self.final[node] = len(term)
+        self.long_stems = {node for node, depth in self._depths() if self.stem[node] and depth >= _LEAST_FUZZY}
         self.fuzzy = [n >= _LEAST_FUZZY for n in self.longest]
         self.fuzzy[0] = any(self.fuzzy)
         self._reset()
 
+    def _depths(self) -> Iterator[tuple[int, int]]:
+        below = [(0, 0)]
+        while below:
+            node, depth = below.pop()
+            yield node, depth
+            below.extend((to, depth + 1) for to in self.child[node].values())
+
     def _reset(self) -> None:
         self.number: dict[frozenset, int] = {frozenset(): self.DEAD}
         self.sets: list[frozenset] = [frozenset()]
@@ -104,6 +114,8 @@ class LexiconAutomaton:
         for node, edits in pairs:
             if edits == 0:
                 made.update((to, 1) for to in self.child[node].values() if self.fuzzy[to])
+        if any(edits and node in self.long_stems for node, edits in made):
+            made.add(self.PASSED)
         return frozenset((node, edits) for node, edits in made if edits == 0 or (node, 0) not in made)
 
     def _state(self, pairs: frozenset) -> int:
@@ -112,12 +124,15 @@ class LexiconAutomaton:
             self.sets.append(pairs)
             self.moves.append({})
             self.value.append(max((1.0 if edits == 0 else _MISSPELT for node, edits in pairs
-                                   if self.final[node] and (edits == 0 or self.final[node] >= _LEAST_FUZZY)), default=0.0))
+                                   if node < 0 or self.final[node] and (edits == 0 or self.final[node] >= _LEAST_FUZZY)), default=0.0))
         return self.number[pairs]
 
     def _move(self, state: int, letter: str) -> int:
         made, stem = set(), False
         for node, edits in self.sets[state]:
+            if node < 0:
+                made.add(self.PASSED)
+                continue
             to = self.child[node].get(letter)
             if to is not None:
                 made.add((to, edits))
@@ -276,7 +291,7 @@ def _lexicon(labelled: DataFrame, terms: DataFrame) -> tuple[list[str], list[str
             words.add(best)
         else:
             stems.append(_longest(term[:-1], support))
-    words.update(t for t in support if not t.endswith("*") and not any(t.startswith(s) for s in stems))
+    words.update(t for t in support if not t.endswith("*"))  # those of a stem too, for their misspelt forms
     return sorted(words), stems
 
 
