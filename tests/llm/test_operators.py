@@ -476,6 +476,14 @@ def test_lexicon_is_learned_with_stems(spark):
     assert docs(spark, []).select(toxicity.toxicity(model, frame)).count() == 0
 
 
+def test_a_misspelling_is_not_ordinary_for_one_clean_row(spark):
+    rows = [("blarghe", 5, 1), ("blargho", 0, 4), ("blargha", 1, 30), ("blarghi", 0, 1), ("blarghu", 9, 9)]
+    many = [(f"blarg{c}h", 0, 3) for c in "bcdefijkmnoprstuvwxyz"]
+    terms = spark.createDataFrame(rows + many, "term string, toxic long, other long")
+    got = toxicity._innocent(terms, toxicity.Model(["blargh"]), (50, 350))
+    assert got == {b"blargho", b"blargha", *(term.encode() for term, _, _ in many)}
+
+
 # -- 10 -------------------------------------------------------------------------------
 
 PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><a>menu</a></nav>{}<footer>&copy; x</footer></body></html>"

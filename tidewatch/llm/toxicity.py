@@ -257,8 +257,20 @@ def _terms(labelled: DataFrame) -> DataFrame:
 _TERMS, _CHANCE, _PURITY = 2_000, 1e-7, 20
 
 
-def _innocent(terms: DataFrame, model: Model) -> frozenset[bytes]:
-    """Words near a lexicon word that stand in documents labelled as not toxic, at most ``_TERMS``."""
+#: Clean documents that must hold a near word before it can be ordinary.
+_LEAST_ORDINARY = 2
+
+
+def _sizes(labelled: DataFrame) -> tuple[int, int]:
+    """How many documents are toxic, and how many are not."""
+    return tuple(labelled.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first())
+
+
+def _innocent(terms: DataFrame, model: Model, sizes: tuple[int, int]) -> frozenset[bytes]:
+    """Words near a lexicon word that are ordinary: at least as frequent in clean documents as in toxic ones.
+
+    All of them count; there are no more than the words of a bounded sample.
+    """
     def near(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -266,14 +278,15 @@ def _innocent(terms: DataFrame, model: Model) -> frozenset[bytes]:
         for batch in batches:
             yield batch.filter(pa.array([0 < automaton.match(term) < 1 for term in batch.column(0).to_pylist()], pa.bool_()))
 
-    rows = (terms.where((F.col("other") > 0) & ~F.col("term").endswith("*")).select("term", "other")
-            .mapInArrow(near, "term string, other long").orderBy(F.desc("other"), "term").limit(_TERMS).collect())
+    toxic, other = sizes
+    ordinary = (F.col("other") >= _LEAST_ORDINARY) & (F.col("other") * toxic >= F.col("toxic") * other)
+    rows = terms.where(ordinary & ~F.col("term").endswith("*")).select("term").mapInArrow(near, "term string").collect()
     return frozenset(row.term.encode() for row in rows)
 
 
-def _lexicon(labelled: DataFrame, terms: DataFrame) -> tuple[list[str], list[str]]:
+def _lexicon(terms: DataFrame, sizes: tuple[int, int]) -> tuple[list[str], list[str]]:
     """Words and stems that mark toxic documents, the most general stem that is no less certain."""
-    toxic, other = labelled.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
+    toxic, other = sizes
     if not toxic or not other:
         return list(INSULTS), []
     least = math.ceil(math.log(_CHANCE) / math.log(toxic / (toxic + other))) if toxic < other else toxic
@@ -317,8 +330,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column
         labelled = labelled.withColumn("one", F.col("sketches")[one]).dropDuplicates(["one", "label"])
     labelled = materialise(labelled.select("text", "label"), "labelled")
     terms = materialise(_terms(labelled), "terms")
-    model = Model(*_lexicon(labelled, terms))
-    model.innocent = _innocent(terms, model)
+    sizes = _sizes(labelled)
+    model = Model(*_lexicon(terms, sizes))
+    model.innocent = _innocent(terms, model, sizes)
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
