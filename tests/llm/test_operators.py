@@ -187,6 +187,17 @@ def test_battery_adds_random_tokens_only(spark):
     assert all(spans[i] == [(5, len(texts[i]) - 6)] for i in hit)
 
 
+def test_tokens_of_letters_and_digits_are_tested(spark):
+    generator = random.Random(12)
+    lower = ["".join(generator.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=40)) + "z1" for _ in range(60)]
+    upper = ["".join(generator.choices("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=40)) + "Z1" for _ in range(60)]
+    names = [f"getuseraccountnumber{i}fromdatabasetable{i}forservice" for i in range(100, 200)]
+    found = secret_scan.secret_scan(docs(spark, [f"here {t} there" for t in lower + upper + names])).collect()
+    hit = {r.doc_id for r in found if any(s.kind_no == 3 for s in r.secrets)}
+    assert len([i for i in hit if i < 120]) >= 90
+    assert len([i for i in hit if i >= 120]) <= 0.1 * len(hit)
+
+
 def test_redaction_joins_overlapping_spans(spark):
     text = f'a token = "{HEX}" b'
     row = docs(spark, [text, "clean", None])

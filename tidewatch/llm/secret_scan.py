@@ -2,8 +2,8 @@
 
 Three base kinds are patterns.  The method adds tokens that look random: every run of at least
 ``LEAST`` characters of the encodings is a candidate; its encoding is inferred from its
-characters (hex of one case, base32, or base64 with capitals, small letters and digits; plain
-words and numbers have none).  A battery tests the hypothesis "drawn at random from the
+characters (hex of one case, base32, letters of one case with digits, or base64 with capitals, small
+letters and digits; plain numbers and tokens without a digit have none).  A battery tests the hypothesis "drawn at random from the
 encoding's alphabet": chi-squared over equal cells of the alphabet, runs above and below its
 middle, and serial correlation; Fisher's method combines the three p-values.
 
@@ -11,7 +11,7 @@ False discoveries are controlled by length: within each (encoding, length stratu
 documents, the share of random tokens is estimated from the p-values above one half, and the
 p-value from which a token counts as a secret is the least at which the estimated share of
 non-random tokens stays below ``FALSE_SHARE``.  Short tokens, whose tests have little power,
-so meet a stricter cut.  The cuts are at most ``3 * STRATA`` numbers, whatever the data.
+so meet a stricter cut.  The cuts are at most ``len(ALPHABETS) * STRATA`` numbers, whatever the data.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive;
 added spans never overlap base ones, base kinds may overlap one another; repeated rows and null
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +38,8 @@ CANDIDATE = _CHARACTERS + "{%d,}" % LEAST
 ALPHABETS = {
     "hex": ("0123456789abcdef", 16),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 8),
+    "lower36": ("0123456789abcdefghijklmnopqrstuvwxyz", 9),
+    "upper36": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 9),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 8),
 }
 
@@ -68,29 +69,34 @@ def _normal(z: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """hex, base32 or base64, or null for what is in none of them."""
+    """The narrowest of ``ALPHABETS`` that fits, or null for what is in none of them."""
     digit, upper, lower = token.rlike("[0-9]"), token.rlike("[A-Z]"), token.rlike("[a-z]")
     return (F.when(~digit | ~(upper | lower), None)
             .when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
             .when(token.rlike("^[A-Z2-7]+=*$"), "base32")
+            .when(token.rlike("^[a-z0-9]+$"), "lower36")
+            .when(token.rlike("^[A-Z0-9]+$"), "upper36")
             .when(upper & lower, "base64"))
 
 
-def _codes(token: Column, name: str) -> Column:
+def _of(name: Column, values: dict[str, object]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for item in values.items() for x in item]), name)
+
+
+def _codes(token: Column, name: Column, alphabet: Column) -> Column:
     """Symbol numbers of a token; padding and the url forms of base64 are put aside or mapped."""
-    alphabet, _ = ALPHABETS[name]
-    plain = F.lower(token) if name == "hex" else F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
-    return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    plain = F.when(name == "hex", F.lower(token)).otherwise(F.translate(F.rtrim(token, F.lit("=")), "-_", "+/"))
+    return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.position(c, alphabet) - 1)
 
 
-def _battery(codes: Column, size: int, cells: int) -> Column:
+def _battery(codes: Column, size: Column, cells: Column) -> Column:
     """Combined p-value of the three tests for symbol numbers below ``size``."""
     n = F.size(codes).cast("double")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)),
+    counts = F.transform(F.sequence(F.lit(0), cells - 1),
                          lambda cell: F.size(F.filter(codes, lambda v: F.floor(v * cells / size) == cell)).cast("double"))
     chi = F.aggregate(counts, F.lit(0.0), lambda total, c: total + F.pow(c - n / cells, F.lit(2.0)) / (n / cells))
     df = cells - 1  # Wilson and Hilferty's cube root
-    p_chi = 1 - _normal((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    p_chi = 1 - _normal((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
 
     highs = F.size(F.filter(codes, lambda v: v >= size / 2)).cast("double")
     lows = n - highs
@@ -114,10 +120,12 @@ def _battery(codes: Column, size: int, cells: int) -> Column:
 
 def randomness(token: Column, name: Column) -> Column:
     """The battery's p-value under the inferred encoding; null without one."""
-    branches = F.when(F.lit(False), F.lit(None).cast("double"))
-    for known, (alphabet, cells) in ALPHABETS.items():
-        branches = branches.when(name == known, _once(_codes(token, known), partial(_battery, size=len(alphabet), cells=cells)))
-    return branches
+    alphabet = _of(name, {known: letters for known, (letters, _) in ALPHABETS.items()})
+    size = F.length(alphabet)
+    cells = _of(name, {known: cells for known, (_, cells) in ALPHABETS.items()})
+    codes = _once(alphabet, lambda letters: _codes(token, name, letters))
+    drawn = F.struct(codes.alias("codes"), size.alias("size"), cells.alias("cells"))
+    return F.when(name.isNotNull(), _once(drawn, lambda d: _battery(d["codes"], d["size"], d["cells"])))
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -147,7 +155,7 @@ def cuts(documents: DataFrame, text_column: str = "text", false_share: float = F
              .select("c.encoding", "c.stratum", F.least(F.floor(F.col("c.p") * CELLS_OF_P), F.lit(CELLS_OF_P - 1)).cast("int").alias("cell"))
              .groupBy("encoding", "stratum", "cell").agg(F.count("*").alias("n")))
     tables: dict[tuple[str, int], list[int]] = {}
-    for row in cells.collect():  # at most three encodings, STRATA strata and CELLS_OF_P cells
+    for row in cells.collect():  # at most len(ALPHABETS) encodings, STRATA strata and CELLS_OF_P cells
         tables.setdefault((row.encoding, row.stratum), [0] * CELLS_OF_P)[row.cell] = row.n
     return {key: _cut(counts, false_share) for key, counts in tables.items()}
 
