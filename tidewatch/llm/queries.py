@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat_format, decontamination, html_extract, license_scan, ngram_join, pieces, quality, secret_scan, topk_search, toxicity
+from tidewatch.llm import (
+    centroid_clustering, chat_format, decontamination, html_extract, license_scan, ngram_join, packing, pieces, prefix_trie,
+    quality, secret_scan, topk_search, toxicity,
+)
 from tidewatch.llm.common import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,13 +71,17 @@ def op6_benchmark_decontamination(read):
         decontamination.contaminated().alias("contaminated"))
 
 
-def piece_model(name: str = "piece_bpe_32k.model") -> pieces.Model:
-    """The public model file of the installed tokenizer files, or of ``TIDEWATCH_PIECES``."""
-    path = os.environ.get("TIDEWATCH_PIECES")
+def tokenizer_file(name: str, variable: str) -> str:
+    """A file of the installed public tokenizers, or what the environment variable names."""
+    path = os.environ.get(variable)
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path(name)
-    return pieces.read_model(path)
+    return path
+
+
+def piece_model(name: str = "piece_bpe_32k.model") -> pieces.Model:
+    return pieces.read_model(tokenizer_file(name, "TIDEWATCH_PIECES"))
 
 
 @query
@@ -113,3 +120,19 @@ def op9_toxicity(read):
 @query
 def op10_html_extract(read):
     return html_extract.extract(read("pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_conversation_prefix_trie(read):
+    return prefix_trie.prefix_trie(read("conversations"))
+
+
+@query
+def op12_packing(read):
+    path = tokenizer_file("word_bpe_49k.json", "TIDEWATCH_WORD_PIECES")
+    return packing.pack(read("documents"), path).drop("ids")
+
+
+@query
+def op13_centroid_clustering(read):
+    return centroid_clustering.with_inertia(centroid_clustering.cluster(read("embeddings")))
