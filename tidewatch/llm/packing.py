@@ -17,7 +17,9 @@ Sequences are full, but for a few at the very end whose length is a power of two
 
 Documents are encoded once and written.  White space separates pre-tokens in the supported
 tokenizers and is dropped, so a text is cut at ASCII white space and each distinct unit of a batch
-is encoded once; texts that may hold a special token are encoded whole.
+is encoded once, many units in one call with a mark between them; texts that may hold a special
+token are encoded whole.  Units of Latin letters, perhaps with a final stop or comma, skip the
+normaliser and go to the model at once, if the tokenizer gives the probes the same ids so.
 
 Defined results: a null or empty text has only the end id; null ids and repeated rows are packed
 row by row; very long texts are encoded whole, one row at a time; an empty table gives no rows;
@@ -46,11 +48,16 @@ END_ID = 2
 #: Lengths that triples are made of (their third length is free); smallest part of a window.
 FREQUENT, SMALLEST = 64, 64
 STEPS = 400            # of the least-squares iteration
-REMEMBERED = 1 << 18   # units whose ids a task remembers
+REMEMBERED = 1 << 19   # units whose ids a task remembers
+JOINED = 2_000         # units encoded in one call
 OFFSET_ROWS = 250_000  # most offsets that are broadcast, about 6 MB
-_ENCODED = "doc_id long, ids array<int>, tail int, part int, place long, windows_before long"
-_PIECE = ("doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, "
-          "sequence_id long, offset long")
+MARK = b"\x01"
+#: Letters whose composed form, lower case and class every Unicode version agrees on, and what may end a word of them.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_STOPS = b".,;:!?"
+_PROBES = ["a", "word", "été", "straße", "ñandú", "Über", "zqxjk" * 5, "thequickbrownfox", "ÿþð"]
+_ENCODED = "doc_id long, ids binary, tail int, part int, place long, windows_before long"
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 # -- encoding ------------------------------------------------------------------------
@@ -65,13 +72,38 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def id_type(path: str, end_id: int) -> str:
+    """The numpy type ids are stored as: two bytes where all of them fit."""
+    return "<u2" if max(_tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 class Encoder:
     """Ids of whole texts; the ids of units between white space are remembered."""
 
     def __init__(self, path: str) -> None:
         self.model = _tokenizer(path)
-        added = [token.content.encode() for token in self.model.get_added_tokens_decoder().values()]
-        self.special = re.compile(b"|".join(map(re.escape, added))) if added else None
+        added = [re.escape(token.content) for token in self.model.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added).encode(), re.I) if added else None
+        mark = self._whole(MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.direct, self.bytes_of = self._direct()
+        self.stops = {stop: self._whole(bytes([stop])) for stop in _STOPS}
+        self._forget()
+
+    def _direct(self):
+        """The bare model on words of letters written as its byte symbols, or None where that differs."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        symbols = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        table = {ord(c): symbols.pre_tokenize_str(c)[0][0] for c in map(chr, [1, *range(0xDF, 0x100)])}
+        bare = Tokenizer(self.model.model)
+        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probes = [*_PROBES, MARK.decode()]
+        found = bare.encode_batch([word.lower().translate(table) for word in probes], add_special_tokens=False)
+        same = all(row.ids == self._whole(word.encode()).tolist() for row, word in zip(found, probes))
+        return (bare if same else None), table
+
+    def _forget(self) -> None:
         self.numbers: dict[bytes, int] = {}
         self.starts = self.lengths = np.empty(0, np.int64)
         self.pool = np.empty(0, np.int32)
@@ -79,26 +111,68 @@ class Encoder:
     def _whole(self, text: bytes) -> np.ndarray:
         return np.array(self.model.encode(text.decode(), add_special_tokens=False).ids, np.int32)
 
+    def _joined(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of the units by the whole tokenizer."""
+        return self._grouped(self.model, [unit.decode() for unit in units], MARK.decode(), units)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of words of letters by the bare model."""
+        written = [word if word.isascii() else word.lower().translate(self.bytes_of) for word in words]
+        return self._grouped(self.direct, written, MARK.decode().translate(self.bytes_of), words)
+
+    def _grouped(self, model, texts: list[str], mark: str, units: list) -> tuple[np.ndarray, np.ndarray]:
+        """Many units in one text; the mark's own id stands between them."""
+        groups = [slice(at, at + JOINED) for at in range(0, len(texts), JOINED)]
+        rows, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for group, encoding in zip(groups, model.encode_batch_fast([f" {mark} ".join(texts[g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(encoding.ids, np.int32)
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(texts[group]) - 1:
+                rows.append(np.delete(ids, marks))
+                sizes.append(np.diff(marks, prepend=-1, append=len(ids)) - 1)
+            else:  # a unit holds the mark: one by one
+                alone = [self._whole(unit) for unit in units[group]]
+                rows += alone
+                sizes.append(np.array([len(row) for row in alone]))
+        return np.concatenate(rows), np.concatenate(sizes)
+
     def _learn(self, units: set[bytes]) -> None:
-        if len(self.numbers) + len(units) > REMEMBERED:
-            self.numbers, self.pool = {}, np.empty(0, np.int32)
-            self.starts = self.lengths = np.empty(0, np.int64)
-        found = self.model.encode_batch_fast([unit.decode() for unit in units], add_special_tokens=False)
-        ids = [encoding.ids for encoding in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        """Encode new units.  A unit of letters and one stop is the letters, then the stop."""
+        plain, other, stopped = {}, [], []
+        for unit in units:
+            core = unit[:-1] if self.direct and unit[-1] in _STOPS and unit[-2:-1].isalpha() else unit
+            if self.direct is None or not (core.isalpha() or not core.isascii() and _LETTERS.fullmatch(core.decode())):
+                other.append(unit)
+                continue
+            plain.setdefault(core)
+            if core is not unit:
+                stopped.append((unit, core))
+        self._add(other, *self._joined(other))
+        words = [core for core in plain if core not in self.numbers]
+        self._add(words, *self._letters([word.decode() for word in words]))
+        if stopped:
+            rows = []
+            for unit, core in stopped:
+                at = self.numbers[core]
+                rows += [self.pool[self.starts[at]:self.starts[at] + self.lengths[at]], self.stops[unit[-1]]]
+            sizes = np.array([len(row) for row in rows]).reshape(-1, 2).sum(axis=1)
+            self._add([unit for unit, _ in stopped], np.concatenate(rows), sizes)
+
+    def _add(self, units: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.numbers)
-        self.numbers.update(zip(units, range(first, first + len(ids))))
+        self.numbers.update(zip(units, range(first, first + len(units))))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for row in ids for i in row), np.int32, int(lengths.sum()))])
+        self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of every text, without an end id."""
-        whole = [bool(text) and self.special is not None and self.special.search(text.lower()) is not None for text in texts]
+        whole = [bool(text) and (self.mark is None or self.special is not None and self.special.search(text) is not None) for text in texts]
         words = [[] if w or not text else text.lower().split() for text, w in zip(texts, whole)]
         units = set().union(*words)
         new = units - self.numbers.keys()
         if new and len(self.numbers) + len(new) > REMEMBERED:
+            self._forget()
             new = units
         if new:
             self._learn(new)
@@ -120,21 +194,20 @@ def encode(documents: DataFrame, path: str, end_id: int = END_ID, window: int =
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, part, seen, windows = Encoder(path), TaskContext.get().partitionId(), Counter(), 0
+        encoder, kind, part, seen, windows = Encoder(path), id_type(path, end_id), TaskContext.get().partitionId(), Counter(), 0
         for batch in sliced(batches):
-            ids = [np.append(row, np.int32(end_id)) for row in encoder.encode(binary_values(batch.column(1)))]
-            tails, places, before = [], [], []
-            for row in ids:
-                tail = len(row) % window
+            stored, tails, places, before = [], [], [], []
+            for row in encoder.encode(binary_values(batch.column(1))):
+                length = len(row) + 1
+                tail = length % window
+                stored.append(np.append(row, np.int32(end_id)).astype(kind).tobytes())
                 tails.append(tail)
                 places.append(seen[tail])
                 before.append(windows)
                 seen[tail] += 1
-                windows += len(row) // window
-            offsets = np.cumsum([0, *map(len, ids)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+                windows += length // window
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, pa.array(tails, pa.int32()), pa.array([part] * len(ids), pa.int32()),
+                [batch.column(0), pa.array(stored, pa.binary()), pa.array(tails, pa.int32()), pa.array([part] * len(tails), pa.int32()),
                  pa.array(places, pa.int64()), pa.array(before, pa.int64())],
                 ["doc_id", "ids", "tail", "part", "place", "windows_before"])
 
@@ -314,13 +387,14 @@ class Plan:
 # -- packing ------------------------------------------------------------------------
 
 
-def _offsets(encoded: DataFrame, window: int) -> DataFrame:
+def _offsets(encoded: DataFrame, window: int, id_bytes: int) -> DataFrame:
     """(tail, part, first, total): how many tails of that length earlier tasks hold, and all tasks.
 
     Tail 0 stands for whole windows.  One row per task and length that occurs in it.
     """
     tails = encoded.where("tail > 0").groupBy("tail", "part").agg(F.count(F.lit(1)).alias("n"))
-    whole = encoded.groupBy(F.lit(0).alias("tail"), "part").agg(F.sum(F.floor(F.size("ids") / window)).alias("n"))
+    windows = F.floor(F.octet_length("ids") / (id_bytes * window))
+    whole = encoded.groupBy(F.lit(0).alias("tail"), "part").agg(F.sum(windows).alias("n"))
     earlier = W.partitionBy("tail").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy("tail")
     return tails.union(whole).select("tail", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"),
@@ -328,16 +402,17 @@ def _offsets(encoded: DataFrame, window: int) -> DataFrame:
 
 
 def pack(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
-         id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset), one row per piece.
+         id_column: str = "doc_id", text_column: str = "text", with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece, and its ``ids``.
 
     Whole windows take the sequences after those of the plan.  ``ids_crc32`` is over the ids as
     unsigned little-endian 32-bit numbers.
     """
     spark = documents.sparkSession
     ship_package(spark)
+    kind = np.dtype(id_type(path, end_id))
     encoded = materialise(encode(documents, path, end_id, window, id_column, text_column), "encoded")
-    offsets = materialise(_offsets(encoded, window), "offsets")
+    offsets = materialise(_offsets(encoded, window, kind.itemsize), "offsets")
     counts = np.zeros(window, np.int64)
     for tail, total in offsets.where("tail > 0").select("tail", "total").distinct().collect():
         counts[tail] = total
@@ -353,31 +428,32 @@ def pack(documents: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
 
     def run(batches: Iterator) -> Iterator:
         for batch in sliced(batches):
-            yield _pieces(batch, plan.value, window)
+            yield _pieces(batch, plan.value, window, kind, with_ids)
 
-    return placed.mapInArrow(run, _PIECE)
+    return placed.mapInArrow(run, _PIECE + (", ids array<int>" if with_ids else ""))
 
 
-def _pieces(batch, plan: Plan, window: int):
+def _pieces(batch, plan: Plan, window: int, kind: np.dtype, with_ids: bool):
     import pyarrow as pa
 
-    ids = batch.column("ids")
-    flat, bounds = ids.flatten().to_numpy(), np.cumsum([0, *(ids.value_lengths().to_pylist())])
     columns: list[list] = [[] for _ in range(7)]
     pieces = []
-    for row, (doc, tail, rank, whole) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tail", "rank", "whole")))):
-        own = flat[bounds[row]:bounds[row + 1]]
+    for doc, stored, tail, rank, whole in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "tail", "rank", "whole"))):
+        own = np.frombuffer(stored, kind)
         full = len(own) // window
         places = [(i * window, window, plan.sequences + whole + i, 0) for i in range(full)]
         if tail:
             places += [(full * window + start, length, sequence, offset) for start, length, sequence, offset in plan.pieces(tail, rank)]
         for start, length, sequence, offset in places:
-            piece = own[start:start + length]
-            pieces.append(piece)
-            for values, value in zip(columns, (doc, start, length, zlib.crc32(piece.astype("<u4").tobytes()), len(own), sequence, offset)):
+            piece = own[start:start + length].astype("<u4")
+            if with_ids:
+                pieces.append(piece)
+            for values, value in zip(columns, (doc, start, length, zlib.crc32(piece), len(own), sequence, offset)):
                 values.append(value)
-    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, pieces)]), pa.int32()),
-                                     pa.array(np.concatenate([np.empty(0, np.int32), *pieces])))
-    doc, start, length, crc, tokens, sequence, offset = (pa.array(values, pa.int64()) for values in columns)
-    return pa.RecordBatch.from_arrays([doc, start, length, lists, crc, tokens, sequence, offset],
-                                      ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    arrays = [pa.array(values, pa.int64()) for values in columns]
+    names = [column.split()[0] for column in _PIECE.split(", ")]
+    if with_ids:
+        bounds = pa.array(np.cumsum([0, *map(len, pieces)]), pa.int32())
+        arrays.append(pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.empty(0, np.uint32), *pieces]).astype(np.int32))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(arrays, names)

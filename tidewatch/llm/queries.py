@@ -130,7 +130,7 @@ def op11_conversation_prefix_trie(read):
 @query
 def op12_packing(read):
     path = tokenizer_file("word_bpe_49k.json", "TIDEWATCH_WORD_PIECES")
-    return packing.pack(read("documents"), path).drop("ids")
+    return packing.pack(read("documents"), path, with_ids=False)
 
 
 @query
