@@ -44,23 +44,51 @@ ALPHABETS = {
 }
 
 _SPAN = "array<struct<start:int,end:int,match:string>>"
+#: Code points of a piece of text that spans are cut from.
+PIECE = 1_024
+
+
+def _scan(values: Column, of: Callable[[Column], Column], both: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of ints: ``of`` sums up an array, ``both`` two totals.
+
+    The array is cut into about sqrt(n) runs.  A run's totals so far and a place's within its run
+    take a slice each, so the work is n sqrt(n) for n values and nothing is copied along.
+    """
+    def over(given: Column) -> Column:
+        width, one = given["width"], F.lit(1)
+        starts = F.sequence(F.lit(0), F.size(given["values"]) - 1, width)
+        runs = F.transform(starts, lambda at: F.slice(given["values"], at + one, width))
+
+        def totals(cut: Column) -> Column:
+            def run(values: Column, number: Column) -> Column:
+                before = F.slice(cut["sums"], F.lit(1), number)
+                return F.transform(values, lambda _, i: F.when(number == 0, of(F.slice(values, F.lit(1), i + 1))).otherwise(
+                    both(of(before), of(F.slice(values, F.lit(1), i + 1)))))
+            return F.flatten(F.transform(cut["runs"], run))
+
+        return _once(runs, lambda cut: _once(F.struct(cut.alias("runs"), F.transform(cut, of).alias("sums")), totals))
+
+    width = F.ceil(F.sqrt(F.size(values))).cast("int")
+    none = F.array().cast("array<int>")
+    return F.when(F.size(values) > 0, _once(F.struct(values.alias("values"), width.alias("width")), over)).otherwise(none)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda total, x: total + x)
 
 
 def _spans(text: Column, pattern: str, present: Column) -> Column:
     """Leftmost non-overlapping matches with their positions: what splits the text, between what it splits off."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def place(done: Column, i: Column) -> Column:
-        start = done["at"] + F.length(F.get(done["gaps"], i))
-        end = start + F.length(F.get(done["matches"], i))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.get(done["matches"], i).alias("match")))
-        return F.struct(end.alias("at"), F.concat(done["out"], one).alias("out"),
-                        done["matches"].alias("matches"), done["gaps"].alias("gaps"))
+    def placed(found: Column) -> Column:
+        steps = F.transform(found["matches"], lambda m, i: F.length(m) + F.length(F.get(found["gaps"], i)))
+        return _once(_scan(steps, _sum, lambda a, b: a + b), lambda ends: F.transform(found["matches"], lambda m, i: F.struct(
+            (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("match"))))
 
     none = F.array().cast(_SPAN)
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"), matches.alias("matches"), gaps.alias("gaps"))
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, place, lambda done: done["out"])
-    return F.when(present & (F.size(matches) > 0), placed).otherwise(none)
+    found = _once(F.struct(matches.alias("matches"), gaps.alias("gaps")), placed)
+    return F.when(present & (F.size(matches) > 0), found).otherwise(none)
 
 
 def _normal(z: Column) -> Column:
@@ -89,43 +117,50 @@ def _codes(token: Column, name: Column, alphabet: Column) -> Column:
     return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.position(c, alphabet) - 1)
 
 
-def _battery(codes: Column, size: Column, cells: Column) -> Column:
-    """Combined p-value of the three tests for symbol numbers below ``size``."""
-    n = F.size(codes).cast("double")
-    counts = F.transform(F.sequence(F.lit(0), cells - 1),
-                         lambda cell: F.size(F.filter(codes, lambda v: F.floor(v * cells / size) == cell)).cast("double"))
-    chi = F.aggregate(counts, F.lit(0.0), lambda total, c: total + F.pow(c - n / cells, F.lit(2.0)) / (n / cells))
-    df = cells - 1  # Wilson and Hilferty's cube root
-    p_chi = 1 - _normal((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+def _battery(drawn: Column) -> Column:
+    """Combined p-value of the three tests for ``codes``, symbol numbers below ``size``, and ``cells``."""
+    def counted(d: Column) -> Column:
+        n, half = F.size(d["codes"]).cast("double"), d["size"] / 2
+        firsts, seconds = F.slice(d["codes"], F.lit(1), F.size(d["codes"]) - 1), F.slice(d["codes"], F.lit(2), F.size(d["codes"]) - 1)
+        chi = _once(F.transform(d["codes"], lambda v: F.floor(v * d["cells"] / d["size"]).cast("int")), lambda numbers: F.aggregate(
+            F.sequence(F.lit(0), d["cells"] - 1), F.lit(0.0), lambda total, cell: total + F.pow(
+                F.size(F.filter(numbers, lambda v: v == cell)) - n / d["cells"], F.lit(2.0)) / (n / d["cells"])))
+        centre = (d["size"] - 1) / 2
+        return F.struct(
+            n.alias("n"), d["size"].alias("size"), (d["cells"] - 1).alias("df"), chi.alias("chi"),
+            F.size(F.filter(d["codes"], lambda v: v >= half)).cast("double").alias("highs"),
+            (1 + F.size(F.filter(F.zip_with(firsts, seconds, lambda a, b: (a >= half) != (b >= half)), lambda x: x))).alias("runs"),
+            F.aggregate(F.zip_with(firsts, seconds, lambda a, b: (a - centre) * (b - centre)), F.lit(0.0), lambda total, x: total + x).alias("product"))
+
+    def spread(c: Column) -> Column:
+        both = 2 * c["highs"] * (c["n"] - c["highs"])
+        return F.struct(*[c[name].alias(name) for name in ("n", "size", "df", "chi", "runs", "product")], both.alias("both"))
 
-    highs = F.size(F.filter(codes, lambda v: v >= size / 2)).cast("double")
-    lows = n - highs
-    pairs = F.arrays_zip(F.slice(codes, F.lit(1), F.size(codes) - 1).alias("a"), F.slice(codes, F.lit(2), F.size(codes) - 1).alias("b"))
-    runs = 1 + F.size(F.filter(pairs, lambda p: (p["a"] >= size / 2) != (p["b"] >= size / 2)))
-    both = 2 * highs * lows
-    mean, variance = both / n + 1, both * (both - n) / (n * n * (n - 1))
-    p_runs = F.when((variance > 0), 2 * (1 - _normal(F.abs(runs - mean) / F.sqrt(variance)))).otherwise(0.0)
+    def tests(c: Column) -> Column:
+        df, n, both, size = c["df"], c["n"], c["both"], c["size"]
+        # Wilson and Hilferty's cube root
+        p_chi = 1 - _once((F.pow(c["chi"] / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)), _normal)
+        variance = both * (both - n) / (n * n * (n - 1))
+        p_runs = F.when(variance > 0, 2 * (1 - _once(F.abs(c["runs"] - (both / n + 1)) / F.sqrt(variance), _normal))).otherwise(0.0)
+        # each product has mean 0 and the squared variance of the uniform
+        p_serial = 2 * (1 - _once(F.abs(c["product"] / ((size * size - 1) / 12) / F.sqrt(n - 1)), _normal))
 
-    centre = (size - 1) / 2
-    product = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + (p["a"] - centre) * (p["b"] - centre))
-    z = product / ((size * size - 1) / 12) / F.sqrt(n - 1)  # each product has mean 0 and the squared variance of the uniform
-    p_serial = 2 * (1 - _normal(F.abs(z)))
+        def log(p: Column) -> Column:
+            return F.log(F.greatest(p, F.lit(1e-12)))
 
-    def log(p: Column) -> Column:
-        return F.log(F.greatest(p, F.lit(1e-12)))
+        return -(log(p_chi) + log(p_runs) + log(p_serial))  # half of Fisher's statistic, six degrees of freedom
 
-    x = -(log(p_chi) + log(p_runs) + log(p_serial))  # half of Fisher's statistic, six degrees of freedom
-    return F.exp(-x) * (1 + x + x * x / 2)
+    x = _once(_once(_once(drawn, counted), spread), tests)
+    return _once(x, lambda x: F.exp(-x) * (1 + x + x * x / 2))
 
 
 def randomness(token: Column, name: Column) -> Column:
     """The battery's p-value under the inferred encoding; null without one."""
     alphabet = _of(name, {known: letters for known, (letters, _) in ALPHABETS.items()})
-    size = F.length(alphabet)
     cells = _of(name, {known: cells for known, (_, cells) in ALPHABETS.items()})
-    codes = _once(alphabet, lambda letters: _codes(token, name, letters))
-    drawn = F.struct(codes.alias("codes"), size.alias("size"), cells.alias("cells"))
-    return F.when(name.isNotNull(), _once(drawn, lambda d: _battery(d["codes"], d["size"], d["cells"])))
+    drawn = _once(alphabet, lambda letters: F.struct(
+        _codes(token, name, letters).alias("codes"), F.length(letters).alias("size"), cells.alias("cells")))
+    return F.when(name.isNotNull(), _battery(drawn))
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -190,13 +225,28 @@ def secrets(text: Column, cut: dict[tuple[str, int], float]) -> Column:
         limits, F.concat(c["encoding"], F.lit(":"), c["stratum"].cast("string"))))
 
     def joined(both: Column) -> Column:
-        apart = F.filter(both["likely"], lambda c: ~F.exists(
-            both["base"], lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-        return F.array_sort(F.concat(both["base"], marked(apart, 3)))
+        every = F.array_sort(F.concat(both["base"], marked(both["likely"], 3)))
+        return F.when((F.size(both["base"]) > 0) & (F.size(both["likely"]) > 0), _apart(every)).otherwise(every)
 
     return _once(F.struct(base.alias("base"), likely.alias("likely")), joined)
 
 
+def _apart(spans: Column) -> Column:
+    """The spans, sorted, without added ones that overlap a base one."""
+    far = F.lit((1 << 31) - 1)
+
+    def kept(found: Column) -> Column:
+        base = F.transform(found, lambda s: F.when(s["kind_no"] < 3, s["end"]).otherwise(0))
+        ahead = F.transform(F.reverse(found), lambda s: F.when(s["kind_no"] < 3, s["start"]).otherwise(far))
+        bounds = F.struct(
+            _scan(base, lambda v: F.coalesce(F.array_max(v), F.lit(0)), F.greatest).alias("before"),
+            F.reverse(_scan(ahead, lambda v: F.coalesce(F.array_min(v), far), F.least)).alias("after"))
+        return _once(bounds, lambda b: F.filter(found, lambda s, i: (s["kind_no"] < 3) | (
+            (F.get(b["before"], i) <= s["start"]) & (F.get(b["after"], i) >= s["end"]))))
+
+    return _once(spans, kept)
+
+
 def named(spans: Column) -> Column:
     """kind:start:end, joined by commas."""
     kinds = F.array(*[F.lit(kind) for kind in KINDS])
@@ -210,17 +260,30 @@ def of_kind(spans: Column, kind: str) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by the mark."""
-    def step(done: Column, s: Column) -> Column:
-        fresh = s["start"] >= done["at"]
-        kept = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"),
-                        F.when(fresh, F.concat(done["out"], kept, F.lit(mark))).otherwise(done["out"]).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate(spans, first, step, lambda done: F.concat(
-        done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rebuilt).otherwise(text)
+    """The text with every span, overlapping ones as one, replaced by the mark.
+
+    The text is cut into pieces of ``PIECE`` code points once; what stays between spans is read
+    from the pieces it touches.
+    """
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        touched = F.sequence(F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int"))
+        parts = F.transform(touched, lambda n: F.substring(
+            F.get(pieces, n), F.greatest(start - n * PIECE, F.lit(0)) + 1,
+            F.least(end - n * PIECE, F.lit(PIECE)) - F.greatest(start - n * PIECE, F.lit(0))))
+        return F.when(end > start, F.array_join(parts, "")).otherwise("")
+
+    def built(given: Column) -> Column:
+        found, reached = given["spans"], given["reached"]
+        kept = F.transform(found, lambda s, i: F.when(
+            s["start"] >= F.when(i == 0, 0).otherwise(F.get(reached, i - 1)),
+            F.concat(between(given["pieces"], F.when(i == 0, 0).otherwise(F.get(reached, i - 1)), s["start"]), F.lit(mark))).otherwise(""))
+        last = F.get(reached, F.size(reached) - 1)
+        return F.concat(F.array_join(kept, ""), between(given["pieces"], last, given["length"]))
+
+    reached = _scan(F.transform(spans, lambda s: s["end"]), F.array_max, F.greatest)
+    given = F.struct(spans.alias("spans"), reached.alias("reached"), F.length(text).alias("length"),
+                     F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)).alias("pieces"))
+    return F.when(F.size(spans) > 0, _once(given, built)).otherwise(text)
 
 
 def with_spans(text: Column, spans: Column, use: Callable[[Column, Column], Column]) -> Column:
