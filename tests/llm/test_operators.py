@@ -564,3 +564,154 @@ def test_style_tree_decides_inside_articles_and_beside_them(spark):
     assert got == {i: "Weekly report\n" + " ".join(prose(i, 30)) for i in range(20)} | {
         100 + i: " ".join(prose(i, 60)) for i in range(20)} | {
         200 + i: "Weekly report\n" + " ".join(prose(i, 30)) + "\nGet our letter\nJo writes here" for i in range(9)}
+
+
+def test_branches_are_composed_from_below(spark):
+    """A noisy branch goes as a whole, also what few pages show of it; a branch that holds the body stays."""
+    def page(i):
+        rare = f"<li class='{'uvwxyz'[i // 4]}'>Also here</li>" if i < 12 else ""
+        items = "".join(f"<li class='plain'>Item {n}</li>" for n in "abcdefg") + rare
+        return (f"<body><div class='all'><span>Welcome to our site</span><ul class='list'>{items}</ul>"
+                f"<div class='body'>{' '.join(prose(i, 40))}</div></div></body>")
+
+    rows = [(i, f"http://one.example/{i}", page(i)) for i in range(24)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    known = html_extract.shown(html_extract.blocks(frame)).cache()
+    tree = html_extract.style_tree(known).cache()
+    found = {r.path: r for r in html_extract.branches(tree, known).collect()}
+    first = html_extract._Page(page(0))
+    body, wrapper, items = (next(p for p, t, *_ in first.blocks if t.startswith(start)) for start in (prose(0, 1)[0], "Welcome", "Item b"))
+    nodes = {r.path: (r.pages, max(r.presentation, r.content)) for r in tree.collect()}
+    above = {}
+    for _, _, html in rows:
+        above |= html_extract._Page(html).above
+    for path, branch in found.items():  # every branch against the nodes below it
+        below = [nodes[p] for p in nodes if path in _ancestors(p, above)]
+        assert branch.importance == pytest.approx(sum(n * x for n, x in below) / sum(n for n, _ in below))
+        assert branch.highest == max(x for _, x in below) and branch.pages == max(n for n, _ in below)
+    assert found[body].importance > 0.9 and found[wrapper].highest > 0.9 and found[above[items]].highest == 0
+    got = {r.page_id: r.text for r in html_extract.extract(frame).collect()}
+    assert got == {i: " ".join(prose(i, 40)) for i in range(24)}
+
+
+def _ancestors(path, above):
+    chain = [path]
+    while chain[-1] in above:
+        chain.append(above[chain[-1]])
+    return chain
+
+
+def test_hot_hosts_and_pages_without_one_meet_salted_removals(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "SHIPPED", 0)
+    monkeypatch.setattr(html_extract, "SALTS", 3)
+    page = "<body><div class='top'>Welcome</div><div class='body'>{}</div></body>"
+    rows = [(i, f"http://one.example/{i}", page.format(" ".join(prose(i, 30)))) for i in range(20)]
+    rows += [(100 + i, None, page.format(" ".join(prose(i, 30)))) for i in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(prose(i, 30)) for i in range(20)} | {100 + i: "Welcome\n" + " ".join(prose(i, 30)) for i in range(5)}
+
+
+def test_structure_decides_on_articles_forms_and_names():
+    def text(html):
+        return html_extract._Page(html).main_text()
+
+    boxes = "".join(f"<div>{'box ' * 200}</div>" for _ in range(5))
+    assert text(f"<body><article><p>A short item.</p></article>{boxes}</body>") == "A short item."
+    card = "<article><h3><a href='/{0}'>Title {0}</a></h3><p>teaser</p></article>"
+    assert text(f"<body><div><p>body</p></div>{card.format(1)}{card.format(2)}</body>") == "body\nTitle 1\nteaser\nTitle 2\nteaser"
+    assert text(f"<body><main><p>body</p></main>{card.format(1)}{card.format(2)}</body>") == "body"
+    assert text(f"<body><div><p>aside</p></div>{card.format(1)}</body>") == "Title 1\nteaser"  # one alone is the article
+    assert text("<body><form action='/'><div><p>all of it</p></div></form></body>") == "all of it"
+    assert text("<body><form><nav>menu</nav><h1>Head</h1><p>text</p><form><p>mail</p></form></form><p>end</p></body>") == "Head\ntext\nend"
+    assert text("<body><p>text</p><form class='search'><p>find</p></form></body>") == "text"
+    for name, kept in (("social-science", True), ("search-algorithms", True), ("legal-history part-2", True), ("sidebar-left", False),
+                       ("comment-list", False), ("ad ad-slot-3", False), ("share_buttons", False), ("article-header", True)):
+        assert text(f"<article><p>a</p><div class='{name}'>b</div></article>") == ("a\nb" if kept else "a"), name
+    for name in ("comment", "sponsored promo", "comments thread"):
+        assert text(f"<article><p>a</p></article><article class='{name}'><p>b</p></article>") == "a"
+
+
+@pytest.mark.parametrize("html, length", [
+    ("<span>" * 40_000 + "</b>" * 40_000, 0), ("<a title=\"x>" * 20_001, 0), ("<a t='x\">" * 20_001, 0), ("<svg>" * 20_000 + "x", 0), ("<a " * 50_000, 149_999),
+    ("<div>" * 40_000 + "x", 1), ("<ul><li>x" * 20_000, 39_999), ("<article><p>x" * 20_000, 39_999), ("<form>" * 20_000 + "<h1>x", 1),
+    ("<object>" * 20_000 + "<p>x", 1), ("<svg><title><p>" * 10_000, 0), ("<span>" * 20_000 + "<p>a" * 20_000, 39_999)])
+def test_parsing_is_linear(html, length):
+    import time
+    start = time.perf_counter()
+    assert len(html_extract._Page(html).main_text()) == length
+    assert time.perf_counter() - start < 10  # half a second here; walks of the open elements took a minute
+
+
+# -- 4, long texts ----------------------------------------------------------------------
+
+
+def slow_battery(token, name):
+    """The p-value of the battery, in plain Python."""
+    letters, cells = secret_scan.ALPHABETS[name]
+    plain = token.lower() if name == "hex" else token.rstrip("=").replace("-", "+").replace("_", "/")
+    codes, size = [letters.find(c) for c in plain], len(letters)
+    n = len(codes)
+
+    def normal(z):
+        return 1 / (1 + np.exp(-1.5976 * z - 0.07056 * z ** 3))
+
+    counts = Counter(v * cells // size for v in codes)
+    chi = sum((counts[c] - n / cells) ** 2 / (n / cells) for c in range(cells))
+    df = cells - 1
+    p_chi = 1 - normal(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+    high = [v >= size / 2 for v in codes]
+    runs, highs = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    both = 2 * highs * (n - highs)
+    variance = both * (both - n) / (n * n * (n - 1))
+    p_runs = 2 * (1 - normal(abs(runs - both / n - 1) / variance ** 0.5)) if variance > 0 else 0.0
+    centre = (size - 1) / 2
+    z = sum((a - centre) * (b - centre) for a, b in zip(codes, codes[1:])) / ((size * size - 1) / 12) / (n - 1) ** 0.5
+    p_serial = 2 * (1 - normal(abs(z)))
+    x = -sum(np.log(max(p, 1e-12)) for p in (p_chi, p_runs, p_serial))
+    return np.exp(-x) * (1 + x + x * x / 2)
+
+
+def slow_spans(text, cut):
+    """All spans of a text by definition, base kinds from their own slow version."""
+    base = base_spans(text)
+    found = list(base)
+    for m in re.finditer(secret_scan.CANDIDATE, text or ""):
+        token = m[0]
+        kinds = re.search("[0-9]", token), re.search("[A-Z]", token), re.search("[a-z]", token)
+        if not kinds[0] or not (kinds[1] or kinds[2]):
+            continue
+        name = ("hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else "base32" if re.fullmatch("[A-Z2-7]+=*", token) else
+                "lower36" if re.fullmatch("[a-z0-9]+", token) else "upper36" if re.fullmatch("[A-Z0-9]+", token) else "base64" if kinds[1] and kinds[2] else None)
+        if name is None:
+            continue
+        stratum = min(int(2 * np.log2(len(token) / secret_scan.LEAST)), secret_scan.STRATA - 1)
+        if slow_battery(token, name) >= cut[name, stratum] and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+            found.append((m.start(), 3, m.end()))
+    return sorted(found)
+
+
+def test_all_spans_equal_a_slow_version(spark):
+    generator = random.Random(12)
+    made = ["".join(generator.choices(letters, k=generator.randrange(20, 60))) for letters, _ in secret_scan.ALPHABETS.values() for _ in range(30)]
+    plain = ["value_of_the_parameter_1", "aaaaaaaaaaaaaaaaaaaaaaaaa1", "ABCABCABCABCABCABCABCABC12", "é", "token=", "api_key: 'abcdefgh'"]
+    texts = [" ".join(generator.choices(made + plain * 4, k=generator.randrange(0, 40))) for _ in range(60)] + ["token=" + made[0] + made[100], ""]
+    frame = docs(spark, texts)
+    cut = secret_scan.cuts(frame)
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secret_scan.secret_scan(frame).select("doc_id", "secrets").collect()}
+    wanted = {i: slow_spans(text, cut) for i, text in enumerate(texts)}
+    assert got == wanted and sum(len([s for s in spans if s[1] == 3]) for spans in got.values()) > 100
+
+
+def test_texts_of_many_tokens_take_little_longer(spark):
+    """40,000 tokens in one text, in spans and in redaction."""
+    import time
+    generator = random.Random(3)
+    tokens = ["".join(generator.choices("0123456789abcdef", k=32)) for _ in range(40_000)]
+    row = docs(spark, ["é " + "é ".join(tokens), "x"])
+    cut = {("hex", 1): 2.0}
+    start = time.perf_counter()
+    spans = secret_scan.secrets(F.col("text"), cut)
+    got = row.select("doc_id", secret_scan.with_spans(F.col("text"), spans, secret_scan.redacted).alias("t"),
+                     F.size(spans).alias("n")).orderBy("doc_id").collect()
+    assert time.perf_counter() - start < 120
+    assert got[0].n == 40_000 and got[0].t == "é " + "é ".join(["[secret]"] * 40_000) and got[1].t == "x"

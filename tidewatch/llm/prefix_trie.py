@@ -37,7 +37,6 @@ FAMILY, SHARED_TURNS = 20, 4
 FIRST_SHARE = 16
 CHUNK = 1 << 16  # characters of ids joined before they meet in one digest
 KEY = ("ka", "kb")
-ROOT = (F.lit(0).cast("long"), F.lit(0).cast("long"))
 
 
 # -- paths ---------------------------------------------------------------------------
@@ -288,8 +287,8 @@ def prefix_trie(conversations: DataFrame, first_share: int = FIRST_SHARE, batche
     heads = expanded.where(F.col("depth") == F.col("top") + 1).select("na", "nb", F.col("pa").alias("ua"), F.col("pb").alias("ub"), F.col("words_above").alias("words_to_top"))
     lengths = expanded.groupBy("na", "nb").agg(F.sum("words").alias("words"))
     children = materialise(heads.groupBy(F.col("ua").alias("na"), F.col("ub").alias("nb")).agg(F.count(F.lit(1)).alias("children")), "children")
-    root = conversations.sparkSession.range(1).select(*[c.alias(n) for n, c in zip(("na", "nb"), ROOT)], *[
-        F.lit(None).cast("long").alias(c) for c in ("ua", "ub")], F.lit(0).cast("long").alias("words_to_top"), F.lit(0).cast("long").alias("words"))
+    root = conversations.sparkSession.createDataFrame(
+        [(0, 0, None, None, 0, 0)], "na long, nb long, ua long, ub long, words_to_top long, words long")
     tree = heads.join(lengths, ["na", "nb"]).union(root)
     ending = groups.select(F.col("ka").alias("na"), F.col("kb").alias("nb"), "members", "least", "path_words")
     own = materialise(tree.join(ending, ["na", "nb"], "left").join(children, ["na", "nb"], "left").select(
