@@ -48,7 +48,7 @@ END_ID = 2
 #: Lengths that triples are made of (their third length is free); smallest part of a window.
 FREQUENT, SMALLEST = 64, 64
 STEPS = 400            # of the least-squares iteration
-REMEMBERED = 1 << 19   # units whose ids a task remembers
+REMEMBERED = 1 << 19   # units whose ids a task remembers from batch to batch
 JOINED = 2_000         # units encoded in one call
 OFFSET_ROWS = 250_000  # most offsets that are broadcast, about 6 MB
 MARK = b"\x01"
@@ -77,17 +77,30 @@ def id_type(path: str, end_id: int) -> str:
     return "<u2" if max(_tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
+class _Numbers(dict):
+    """Numbers of units in order of their first look-up; ``new`` lists those not yet encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, unit: bytes) -> int:
+        number = self[unit] = len(self)
+        self.new.append(unit)
+        return number
+
+
 class Encoder:
     """Ids of whole texts; the ids of units between white space are remembered."""
 
     def __init__(self, path: str) -> None:
         self.model = _tokenizer(path)
-        added = [re.escape(token.content) for token in self.model.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(added).encode(), re.I) if added else None
+        self.special = [token.content.encode().lower() for token in self.model.get_added_tokens_decoder().values()]
         mark = self._whole(MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
         self.direct, self.bytes_of = self._direct()
-        self.stops = {stop: self._whole(bytes([stop])) for stop in _STOPS}
+        stops = {stop: self._whole(bytes([stop])) for stop in _STOPS}
+        self.stops = {stop: int(ids[0]) for stop, ids in stops.items() if len(ids) == 1}
         self._forget()
 
     def _direct(self):
@@ -104,7 +117,7 @@ class Encoder:
         return (bare if same else None), table
 
     def _forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.starts = self.lengths = np.empty(0, np.int64)
         self.pool = np.empty(0, np.int32)
 
@@ -136,53 +149,54 @@ class Encoder:
                 sizes.append(np.array([len(row) for row in alone]))
         return np.concatenate(rows), np.concatenate(sizes)
 
-    def _learn(self, units: set[bytes]) -> None:
-        """Encode new units.  A unit of letters and one stop is the letters, then the stop."""
-        plain, other, stopped = {}, [], []
-        for unit in units:
-            core = unit[:-1] if self.direct and unit[-1] in _STOPS and unit[-2:-1].isalpha() else unit
-            if self.direct is None or not (core.isalpha() or not core.isascii() and _LETTERS.fullmatch(core.decode())):
-                other.append(unit)
-                continue
-            plain.setdefault(core)
-            if core is not unit:
-                stopped.append((unit, core))
-        self._add(other, *self._joined(other))
-        words = [core for core in plain if core not in self.numbers]
-        self._add(words, *self._letters([word.decode() for word in words]))
-        if stopped:
-            rows = []
-            for unit, core in stopped:
-                at = self.numbers[core]
-                rows += [self.pool[self.starts[at]:self.starts[at] + self.lengths[at]], self.stops[unit[-1]]]
-            sizes = np.array([len(row) for row in rows]).reshape(-1, 2).sum(axis=1)
-            self._add([unit for unit, _ in stopped], np.concatenate(rows), sizes)
-
-    def _add(self, units: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.numbers)
-        self.numbers.update(zip(units, range(first, first + len(units))))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, ids])
+    def _letters_only(self, unit: bytes) -> bool:
+        return unit.isalpha() or not unit.isascii() and _LETTERS.fullmatch(unit.decode()) is not None
+
+    def _learn(self) -> None:
+        """Encode the new units.  A unit of letters and one stop is the letters, then the stop."""
+        first, new = len(self.starts), self.numbers.new
+        other, plain, stopped = ([], []), ([], []), ([], [], [])
+        for place, unit in enumerate(new):  # grows by the letters of units with a stop
+            if self.direct and unit[-1] in self.stops and self._letters_only(unit[:-1]):
+                for values, value in zip(stopped, (place, self.numbers[unit[:-1]], self.stops[unit[-1]])):
+                    values.append(value)
+            else:
+                places, units = plain if self.direct and self._letters_only(unit) else other
+                places.append(place)
+                units.append(unit)
+        self.starts, self.lengths = (np.concatenate([old, np.zeros(len(new), np.int64)]) for old in (self.starts, self.lengths))
+        self._add(first + np.array(other[0], np.int64), *self._joined(other[1]))
+        self._add(first + np.array(plain[0], np.int64), *self._letters([word.decode() for word in plain[1]]))
+        if stopped[0]:
+            cores = np.array(stopped[1])
+            self._add(first + np.array(stopped[0]), np.insert(self._ids(cores), np.cumsum(self.lengths[cores]), stopped[2]), self.lengths[cores] + 1)
+        new.clear()
+
+    def _add(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts[numbers] = len(self.pool) + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.pool = np.concatenate([self.pool, ids.astype(np.int32, copy=False)])
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of every text, without an end id."""
-        whole = [bool(text) and (self.mark is None or self.special is not None and self.special.search(text) is not None) for text in texts]
-        words = [[] if w or not text else text.lower().split() for text, w in zip(texts, whole)]
-        units = set().union(*words)
-        new = units - self.numbers.keys()
-        if new and len(self.numbers) + len(new) > REMEMBERED:
+        if len(self.numbers) > REMEMBERED:
             self._forget()
-            new = units
-        if new:
-            self._learn(new)
-        return [self._whole(text) if w else self._gather(row) for text, row, w in zip(texts, words, whole)]
-
-    def _gather(self, words: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        lengths = self.lengths[at]
+        found: list[np.ndarray] = []
+        for text in texts:
+            low = text.lower() if text else b""
+            if low and (self.mark is None or any(token in low for token in self.special)):
+                found.append(self._whole(text))
+            else:
+                words = low.split()
+                found.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        self._learn()
+        return [row if row.dtype == np.int32 else self._ids(row) for row in found]
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of numbered units in a row."""
+        lengths = self.lengths[numbers]
         ends = np.cumsum(lengths)
-        shift = self.starts[at] - (ends - lengths)
+        shift = self.starts[numbers] - (ends - lengths)
         return self.pool[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
