@@ -1,10 +1,10 @@
 """Cosine scores of arrivals or corpus points against interests.
 
-The registry is cut into blocks of a bounded size (one block, mostly).  A block is shipped to
-every executor and each Arrow batch of vectors is scored as one matrix product.  Vectors are
-never shuffled; every task hands on only the rows that may still be among the best ``k`` of
-their strategy.  Several blocks take turns: each reads the vectors once, its narrow result is
-written, and its copy on the executors goes before the next one comes.
+A registry within ``BLOCK_BYTES`` is one block: it is shipped to every executor and each Arrow
+batch of vectors is scored as one matrix product.  Vectors are then never shuffled; every task
+hands on only the rows that may still be among the best ``k`` of their strategy.  A larger
+registry is dealt into blocks, the vectors too, and every pair of blocks is one cogroup on some
+executor: both sides are bounded, and no registry row passes through the driver.
 
 Null list elements match nothing, as in SQL.  Vectors of another length than most query
 vectors take no part; ``misfits`` names them.
@@ -12,7 +12,7 @@ vectors take no part; ``misfits`` names them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.schemas import SEARCH_LIMIT
-from tidewatch.session import materialise, scratch_path, share, shared_here
+from tidewatch.session import materialise, share
 
-BLOCK_BYTES = 128 << 20   # largest part of the registry shipped to executors at a time
+BLOCK_BYTES = 128 << 20   # largest registry shipped to executors; largest block of a larger one
+VECTOR_BYTES = 32 << 20   # vectors of a block that meets a registry block
 CELLS = 1 << 22           # largest score matrix held by a task
 FOUND = "strategy_id string, point_id string, score double"
 PAIR = "strategy_id string, event_id string, score double"
 SCORED = "strategy_id string, event_id string, ingested_at timestamp, score double"
+_ARROW = {"string": pa.string(), "double": pa.float64(), "timestamp": pa.timestamp("us", "UTC")}
 
 
 @dataclass(frozen=True)
@@ -76,18 +78,12 @@ def _look_up(lists: list[list[str] | None]) -> tuple[np.ndarray, dict[str, np.nd
     return np.array([not v for v in lists], dtype=bool), {v: np.array(r) for v, r in rows.items()}
 
 
-def _dimension(interests: DataFrame, vector: str = "query_vector") -> int:
-    """The length of most query vectors."""
-    return interests.where(F.col(vector).isNotNull()).agg(F.coalesce(F.mode(F.size(vector), True), F.lit(0))).first()[0]
-
-
 def misfits(frame: DataFrame, vector: str, dim: int) -> DataFrame:
     """Rows whose vector is not null and has another length: they take no part in scoring."""
     return frame.where(F.size(vector) != dim)
 
 
-def _load_block(interests: DataFrame) -> InterestBlock:
-    table = interests.select("strategy_id", "wanted_sources", "wanted_tickers", "threshold", "query_vector").toArrow()
+def _block_of(table: pa.Table) -> InterestBlock:
     any_source, by_source = _look_up(table["wanted_sources"].to_pylist())
     any_ticker, by_ticker = _look_up(table["wanted_tickers"].to_pylist())
     return InterestBlock(
@@ -101,30 +97,57 @@ def _load_block(interests: DataFrame) -> InterestBlock:
     )
 
 
-def _blocks(interests: DataFrame, max_bytes: int) -> tuple[int, Iterator[InterestBlock]]:
-    """How many blocks of at most about ``max_bytes`` the registry makes, and the blocks one by one."""
-    usable = interests.where(F.size("query_vector") == _dimension(interests))
+def _measured(interests: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """The registry as scored: written once, with the usual length of its vectors, its bytes and its largest row's."""
     listed = F.coalesce(F.size("wanted_sources"), F.lit(0)) + F.coalesce(F.size("wanted_tickers"), F.lit(0))
-    size = F.size("query_vector") * 8 + listed * 64 + 128
-    measured = usable.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
-    count = max(1, -(-measured[0] // max(max_bytes, measured[1], 1)))
-    if count == 1:
-        return 1, iter([_load_block(usable)])
-    stored = materialise(usable.withColumn("_block", F.pmod(F.xxhash64("strategy_id"), F.lit(count)).cast("int")), "registry-blocks")
-    return count, (_load_block(stored.where(F.col("_block") == number)) for number in range(count))
-
-
-def _over_blocks(interests: DataFrame, max_bytes: int, schema: str, score: Callable[[InterestBlock], DataFrame]) -> DataFrame:
-    """``score`` for every block; the results of several blocks are written one after the other."""
-    count, blocks = _blocks(interests, max_bytes)
-    if count == 1:
-        return score(next(blocks))
-    spark, path = interests.sparkSession, scratch_path(interests.sparkSession, "scored-blocks")
-    for number, block in enumerate(blocks):
-        if len(block.thresholds):
-            with shared_here():
-                score(block).write.parquet(f"{path}/block={number}")
-    return spark.read.schema(f"{schema}, block int").parquet(path).drop("block")
+    columns = ["strategy_id", "wanted_sources", "wanted_tickers", "threshold", "query_vector"]
+    stored = materialise(interests.where("query_vector is not null").select(*columns), "registry")
+    dim = F.size("query_vector")
+    size = dim * 8 + listed * 64 + 128
+    usual = stored.groupBy(dim.alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"), F.max(size).alias("row"))
+    found = usual.orderBy(F.col("n").desc(), "dim").first()
+    if found is None:
+        return stored, 0, 0, 0
+    return stored.where(dim == found.dim), found.dim, found.bytes, found.row
+
+
+def _over_blocks(vectors: DataFrame, interests: DataFrame, max_bytes: int, schema: str,
+                 score: Callable[[InterestBlock, Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``score`` of the vectors against the registry, whole or in pairs of blocks."""
+    registry, dim, size, row = _measured(interests)
+    usable = vectors.where(F.coalesce(F.size("vector"), F.lit(0)) == dim)
+    if size <= max(max_bytes, row):
+        shared = share(vectors.sparkSession, _block_of(registry.toArrow()))
+        return usable.mapInArrow(lambda batches: score(shared.value, batches), schema)
+    return _block_pairs(usable, registry, dim, -(-size // max(max_bytes, row)), schema, score)
+
+
+def _block_pairs(vectors: DataFrame, registry: DataFrame, dim: int, blocks: int, schema: str, score: Callable) -> DataFrame:
+    """Every registry block with every block of vectors, each pair a group of its own.
+
+    Rows are dealt by a hash of their ids, so blocks hold about their share whatever the keys are.
+    Vectors are copied once per registry block and registry rows once per block of vectors.
+    """
+    stored = materialise(vectors, "vectors")
+    key = stored.columns[0]
+    parallel = -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks)
+    groups = max(parallel, -(-stored.count() * dim * 8 // VECTOR_BYTES))
+
+    def dealt(name: str, into: int):
+        return F.pmod(F.xxhash64(name), F.lit(into)).cast("int")
+
+    def copies(into: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(into - 1)))
+
+    left = stored.withColumns({"_part": dealt(key, groups), "_block": copies(blocks)})
+    right = registry.withColumns({"_block": dealt("strategy_id", blocks), "_part": copies(groups)})
+    target = pa.schema([(name, _ARROW[kind]) for name, kind in (column.split() for column in schema.split(", "))])
+
+    def run(part: pa.Table, block: pa.Table) -> pa.Table:
+        found = score(_block_of(block), part.drop_columns(["_part", "_block"]).to_batches()) if part.num_rows and block.num_rows else ()
+        return pa.Table.from_batches([rows.cast(target) for rows in found], target)
+
+    return left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInArrow(run, schema)
 
 
 class _Best:
@@ -165,10 +188,6 @@ def _block_scores(block: InterestBlock, batch: pa.Table, thresholds: np.ndarray
         yield rows, np.where(keep, scores, -np.inf)
 
 
-def _usable(frame: DataFrame, dim: int) -> DataFrame:
-    return frame.where(F.coalesce(F.size("vector"), F.lit(0)) == dim)
-
-
 def _emit(block: InterestBlock, rows: pa.Table, picked: np.ndarray, scores: np.ndarray,
           strategy: np.ndarray) -> pa.RecordBatch:
     """One output row per picked (strategy, row): strategy id, the kept columns, score."""
@@ -179,50 +198,40 @@ def _emit(block: InterestBlock, rows: pa.Table, picked: np.ndarray, scores: np.n
         [ids, *columns, pa.array(scores)], ["strategy_id", *kept.column_names, "score"])
 
 
-def _score_all_by_block(events: DataFrame, block: InterestBlock) -> DataFrame:
-    shared = share(events.sparkSession, block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        for raw in batches:
-            if raw.num_rows == 0:
-                continue
-            batch = pa.Table.from_batches([raw])
-            for rows, scores in _block_scores(block, batch, None):
-                strategy, row = np.nonzero(scores > -np.inf)
-                yield _emit(block, batch.select(["event_id"]), row + rows.start, scores[strategy, row], strategy)
-
-    usable = _usable(events, block.units.shape[1]).select("event_id", "source", "tickers", "vector")
-    return usable.mapInArrow(run, PAIR)
-
-
-def _score_arrivals_by_block(events: DataFrame, block: InterestBlock, k: int) -> DataFrame:
-    shared = share(events.sparkSession, block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        best, latest = _Best(len(block.thresholds), k), None
-        for raw in batches:
-            if raw.num_rows == 0:
-                continue
-            batch = pa.Table.from_batches([raw]).sort_by(
-                [("ingested_at", "ascending"), ("event_id", "ascending")]
-            )
-            times = batch["ingested_at"].cast(pa.int64())
-            # The cut may only hold scores of earlier arrivals: start over unless this
-            # batch lies strictly after everything seen before.
-            if latest is not None and times[0].as_py() <= latest:
-                best = _Best(len(block.thresholds), k)
-            latest = max(times[-1].as_py(), latest if latest is not None else times[-1].as_py())
-            for rows, scores in _block_scores(block, batch, block.thresholds):
-                strategy, row = np.nonzero((scores >= best.cut()) & (scores > -np.inf))
-                best.add(scores)
-                yield _emit(block, batch.select(["event_id", "ingested_at"]), row + rows.start,
-                            scores[strategy, row], strategy)
-
-    columns = ["event_id", "ingested_at", "source", "tickers", "vector"]
-    usable = _usable(events, block.units.shape[1]).select(*columns)
-    return usable.mapInArrow(run, SCORED)
+def _batches(raw: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    return (pa.Table.from_batches([batch]) for batch in raw if batch.num_rows)
+
+
+def _all_scores(block: InterestBlock, raw: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _batches(raw):
+        for rows, scores in _block_scores(block, batch, None):
+            strategy, row = np.nonzero(scores > -np.inf)
+            yield _emit(block, batch.select(["event_id"]), row + rows.start, scores[strategy, row], strategy)
+
+
+def _arrival_scores(block: InterestBlock, raw: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    best, latest = _Best(len(block.thresholds), k), None
+    for batch in _batches(raw):
+        batch = batch.sort_by([("ingested_at", "ascending"), ("event_id", "ascending")])
+        times = batch["ingested_at"].cast(pa.int64())
+        # The cut may only hold scores of earlier arrivals: start over unless this
+        # batch lies strictly after everything seen before.
+        if latest is not None and times[0].as_py() <= latest:
+            best = _Best(len(block.thresholds), k)
+        latest = max(times[-1].as_py(), latest if latest is not None else times[-1].as_py())
+        for rows, scores in _block_scores(block, batch, block.thresholds):
+            strategy, row = np.nonzero((scores >= best.cut()) & (scores > -np.inf))
+            best.add(scores)
+            yield _emit(block, batch.select(["event_id", "ingested_at"]), row + rows.start, scores[strategy, row], strategy)
+
+
+def _corpus_scores(block: InterestBlock, raw: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    best = _Best(len(block.thresholds), k)
+    for batch in _batches(raw):
+        for rows, scores in _block_scores(block, batch, None):
+            best.add(scores)
+            strategy, row = np.nonzero((scores >= best.cut()) & (scores > -np.inf))
+            yield _emit(block, batch.select(["point_id"]), row + rows.start, scores[strategy, row], strategy)
 
 
 def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +248,8 @@ def score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score_pairs(events: DataFrame, interests: DataFrame, max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(strategy_id, event_id, score) of every pair that passes the pre-filter."""
-    return _over_blocks(interests, max_block_bytes, PAIR, lambda block: _score_all_by_block(events, block))
+    rows = events.select("event_id", "source", "tickers", "vector")
+    return _over_blocks(rows, interests, max_block_bytes, PAIR, _all_scores)
 
 
 def score_arrivals(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
@@ -247,32 +257,13 @@ def score_arrivals(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMI
     """Scores at or above the threshold that may still rank among the first k on arrival.
 
     A row below its threshold can outrank no row that passes, so it is dropped at once.
-    The registry is read more than once: hand in a written table if its query vectors
-    are expensive to compute, and likewise the events for a registry of several blocks.
     """
-    return _over_blocks(interests, max_block_bytes, SCORED, lambda block: _score_arrivals_by_block(events, block, k))
-
-
-def _search_by_block(points: DataFrame, block: InterestBlock, k: int) -> DataFrame:
-    shared = share(points.sparkSession, block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        best = _Best(len(block.thresholds), k)
-        for raw in batches:
-            if raw.num_rows == 0:
-                continue
-            batch = pa.Table.from_batches([raw])
-            for rows, scores in _block_scores(block, batch, None):
-                best.add(scores)
-                strategy, row = np.nonzero((scores >= best.cut()) & (scores > -np.inf))
-                yield _emit(block, batch.select(["point_id"]), row + rows.start, scores[strategy, row], strategy)
-
-    usable = _usable(points, block.units.shape[1]).select("point_id", "source", "tickers", "vector")
-    return usable.mapInArrow(run, FOUND)
+    rows = events.select("event_id", "ingested_at", "source", "tickers", "vector")
+    return _over_blocks(rows, interests, max_block_bytes, SCORED, lambda block, raw: _arrival_scores(block, raw, k))
 
 
 def score_corpus(points: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
                  max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(strategy_id, point_id, score) holding at least the k best points per strategy."""
-    return _over_blocks(interests, max_block_bytes, FOUND, lambda block: _search_by_block(points, block, k))
+    rows = points.select("point_id", "source", "tickers", "vector")
+    return _over_blocks(rows, interests, max_block_bytes, FOUND, lambda block, raw: _corpus_scores(block, raw, k))
