@@ -25,14 +25,23 @@ _EPOCH = "timestamp '2024-01-01 00:00:00'"
 
 # Bindings: name -> (names it reads, SQL).
 _BINDINGS: dict[str, tuple[list[str], str]] = {
-    "b_events": ([], f"""
+    "b_hashed": ([], """
+        select key, list(cast(coalesce(n, 0) / norm as float) order by bucket) vector from (
+          select key, bucket, n, sqrt(sum(n * n) over (partition by key)) norm from (
+            select key, bucket, count(token) n from (
+              select key, token, (('0x'||md5(token)[1:7])::int % 64)::bigint bucket from (
+                select doc_id key, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) token from documents
+                where doc_id not in (select vec_id from embeddings)) where token <> ''
+              union all select doc_id, null, unnest(range(64)) from documents where doc_id not in (select vec_id from embeddings))
+            group by 1, 2)) where norm > 0 group by key"""),
+    "b_events": (["b_hashed"], f"""
         select cast(d.doc_id as varchar) id, d.source,
           case when d.doc_id%7=0 then {_NONE}
                else [upper(d.lang), 'T'||cast(d.doc_id%10 as varchar)] end tickers,
           substr(d.text,1,60) title, p.url content_url, d.text raw_text, e.ts published_at,
-          e.ts + interval 1 minute ingested_at, m.embedding vector, d.doc_id seq
+          e.ts + interval 1 minute ingested_at, coalesce(m.embedding, h.vector) vector, d.doc_id seq
         from documents d join events e on e.event_id=d.doc_id
-        left join pages p on p.page_id=d.doc_id left join embeddings m on m.vec_id=d.doc_id"""),
+        left join pages p on p.page_id=d.doc_id left join embeddings m on m.vec_id=d.doc_id left join b_hashed h on h.key=d.doc_id"""),
     "b_enriched": (["b_events"], """
         select * from b_events where vector is not null and octet_length(encode(raw_text)) >= 50"""),
     "b_repeats": (["b_events"], """
@@ -43,7 +52,7 @@ _BINDINGS: dict[str, tuple[list[str], str]] = {
         select *, case when outcome='error' then 4 when outcome='enriched' then seq%3 else 0 end failed_calls
         from (select *, case when seq%17=3 then 'skipped_fetch'
             when octet_length(encode(raw_text)) < 50 then 'skipped_short'
-            when vector is null then 'error' else 'enriched' end outcome from b_events)"""),
+            when vector is null or seq%11=5 then 'error' else 'enriched' end outcome from b_events)"""),
     "b_users": ([], """
         select cast(c_custkey as varchar) id, lower(replace(c_name,'#','.'))||'@example.com' email,
           c_custkey seq from customer"""),
@@ -213,7 +222,7 @@ select id, source, title, content_url, {_time('published_at')} published_at,
 sql("corpus_stats", "b_enriched", """
 select count(*) points, cast(min(len(vector)) as bigint) min_dim, cast(max(len(vector)) as bigint) max_dim from b_enriched""")
 sql("vector_schema_guard", "b_events", """
-select id, case when vector is null then 'missing' when len(vector)<>64 then 'wrong_dim' else 'ok' end vector_status from b_events""")
+select id, case when vector is null or seq%17=3 then 'missing' when seq%13=0 then 'wrong_dim' else 'ok' end vector_status from b_events""")
 sql("upsert_points", "b_repeats", f"""
 select {_uuid5('id')} point_id, id event_id, title, case when len(tickers)>0 then {_csv('tickers')} end tickers,
   {_time('ingested_at')} as version from (
@@ -364,3 +373,55 @@ with steps as (
 select id, outcome, cast(0 as bigint) as attempts from steps
 union all select id, 'enriched', 1 from steps where outcome = 'error' and step < 2
 union all select id, 'waiting', 1 from steps where outcome = 'error' and step = 2""")
+sql("stream_cursor_polls", "", """
+with m as (select max(event_id) - cast(floor(count(*) * 0.3) as bigint) as mark from events)
+select 'news' as source, 0 as poll, cast(event_id as varchar) as id, 1 - row_number() over (order by event_id desc) as emit_order,
+  false as discarded from events, m where event_id <= mark
+union all select 'news', 1, null, null, true
+union all select 'news', 2, cast(event_id as varchar), 1 - row_number() over (order by event_id desc), false from events, m where event_id > mark
+union all select 'filings', 0, 'gone', 0, false
+union all select 'filings', 1, cast(o_orderkey as varchar), 1 - row_number() over (order by o_orderkey desc), false from orders""")
+sql("stream_retry_timers", "", """
+select cast(doc_id as varchar) as id, case when doc_id % 6 < 4 then 'done' else 'exhausted' end as outcome,
+  cast(least(doc_id % 6 + 1, 4) as bigint) as tries, case when doc_id % 6 < 4 then 'value ' || doc_id end as value from documents""")
+sql("stream_live_feed", "b_alerts", """
+with a as (select user_id, id, created_at, cast(floor(event_id::bigint * 3 / ((select max(doc_id) from documents) + 1)) as int) as step from b_alerts),
+r as (select *, row_number() over (partition by user_id, step order by created_at, id) as rn from a),
+n as (select user_id, count(*) filter (step = 0) n0, count(*) filter (step = 1) n1, count(*) filter (step = 2) n2 from a group by 1),
+p as (select *, least(64, n0) as p0, least(user_id::bigint % 5 * 10, least(64, n0)) as d0 from n),
+q as (select *, least(n1, 64 - (p0 - d0)) as in1 from p),
+s as (select *, least(40, p0 - d0 + in1) as d1 from q),
+u as (select *, least(n2, 64 - (p0 - d0 + in1 - d1)) as in2 from s),
+v as (select r.*, u.*, case step when 0 then p0 when 1 then in1 else in2 end as room,
+  case step when 0 then 0 when 1 then p0 else p0 + in1 end as before,
+  case step when 0 then 0 when 1 then n0 - p0 else n0 - p0 + n1 - in1 end as lost from r join u using (user_id))
+select user_id, id, case when rn > room then 'dropped' else 'delivered' end as status,
+  case when rn > room then lost + rn - room else before + rn end as seq
+from v where rn > room or before + rn <= d0 + d1""")
+
+# -- classes, cells, logs of parts, change feeds
+ORACLE["prefilter_match_classes"] = ORACLE["prefilter_match"]
+ORACLE["strategies_passed_classes"] = ORACLE["strategies_passed"]
+ORACLE["vector_search_cells"] = ORACLE["vector_search"]
+ORACLE["user_alerts_page_skipping"] = ORACLE["user_alerts_page"]
+ORACLE["stream_counters_replayed"] = ORACLE["event_counters"]
+sql("corpus_versions", "b_events", f"""
+with writes as (
+  select seq, w.batch, w.title from b_events, (values (0, 'stored before'), (1, 'first'), (2, 'again'), (3, 'late')) w(batch, title)
+  where (batch = 0 and seq % 2 = 0) or (batch = 1 and seq % 3 <> 1) or (batch = 2 and seq % 6 = 0) or (batch = 3 and seq % 10 = 4)),
+views(version, last) as (values (1, 0), (2, 1), (3, 2), (4, 2), (5, 3))
+select version, {_uuid5("cast(seq as varchar)")} as point_id, cast(seq as varchar) as event_id, arg_max(title, batch) as title
+from views join writes on batch <= last group by version, seq""")
+_STEPS = f"""s0 as (select id, user_id, name, similarity_threshold, is_active, updated_at, seq from b_strategies),
+s1 as (select * replace (case when seq%7=0 then not is_active else is_active end as is_active,
+  case when seq%7=0 then {_NOW} else updated_at end as updated_at) from s0),
+s2 as (select * replace (case when seq%4=0 and seq%3<>0 then 'renamed '||seq else name end as name,
+  case when seq%4=0 and seq%3<>0 then 0.75::double else similarity_threshold end as similarity_threshold,
+  case when seq%4=0 and seq%3<>0 then {_NOW} else updated_at end as updated_at) from s1)"""
+_FIELDS = ["name", "similarity_threshold", "is_active", "updated_at"]
+sql("strategy_change_feed", "b_strategies", f"with {_STEPS} " + " union all ".join(
+    f"select a.id as key, {version} as version, 'update' as kind, '{name}' as field from s{version - 1} a join s{version} b using (id) where a.{name} is distinct from b.{name}"
+    for version in (1, 2) for name in _FIELDS) + " union all select id, 3, 'delete', '*' from s2 where seq%9=0")
+_STATE = f"id, user_id, name, similarity_threshold, is_active, {_time('updated_at')} as updated_at"
+sql("strategies_replayed", "b_strategies", f"""
+with {_STEPS} select 'new' as state, {_STATE} from s2 where seq%9<>0 union all select 'old', {_STATE} from s0""")

@@ -5,22 +5,28 @@ Arrays leave as joined text and times as RFC 3339 text, so that results compare
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions import predicates as P
 from tidewatch.functions import scalars as X
 from tidewatch.functions import secrets
 from tidewatch.operators import alerts as A
 from tidewatch.operators import corpus as C
-from tidewatch.operators import counters, embedding, enrichment, matching, ranking, scoring, sinks, tables
+from tidewatch.operators import (
+    cells, changes, counters, embedding, enrichment, matching, partlog, predicate_index, ranking, scoring, sinks, tables,
+)
 from tidewatch.plans import bindings as B
-from tidewatch.schemas import EVENT
+from tidewatch.schemas import ALERT, EVENT
 from tidewatch.session import materialise, read_parts, scratch_path
-from tidewatch.sources import companies, feeds, pages, registry
-from tidewatch.streaming import ingest, matcher
+from tidewatch.sources import companies, feeds, pages, polls, registry
+from tidewatch.streaming import counters as stored
+from tidewatch.streaming import feeds as live
+from tidewatch.streaming import ingest, matcher, retry
 from tidewatch.streaming.job import FAILURE, OUTCOME, EventJob
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +242,10 @@ def corpus_stats(t):
 
 @query
 def vector_schema_guard(t):
-    return C.guard_vectors(t.events(url=False), B.DIM).select("id", "vector_status")
+    """Every thirteenth vector is one number short, every seventeenth is missing."""
+    short = F.when(F.col("seq") % 13 == 0, F.slice("vector", 1, B.DIM - 1)).otherwise(F.col("vector"))
+    damaged = t.events(url=False).withColumn("vector", F.when(F.col("seq") % 17 != 3, short))
+    return C.guard_vectors(damaged, B.DIM).select("id", "vector_status")
 
 
 @query
@@ -453,13 +462,13 @@ def _read_requests(alerts: DataFrame) -> DataFrame:
 
 @query
 def mark_alerts_read(t):
-    rows = _alerts(t)
+    rows = materialise(_alerts(t), "alerts")
     return tables.mark_alerts_read(rows, _read_requests(rows)).select("id", "user_id", "is_read")
 
 
 @query
 def mark_alerts_not_found(t):
-    rows = _alerts(t)
+    rows = materialise(_alerts(t), "alerts")
     return tables.not_found(rows, _read_requests(rows))
 
 
@@ -587,7 +596,7 @@ def stream_event_job(t):
     spark = t.spark
     root = scratch_path(spark, "job")
     landed = t.events().select(*EVENT.names, "seq")
-    vectors = t.raw("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    vectors = materialise(t.vectors().select(F.col("seq").cast("string").alias("id"), "vector"), "vectors")
 
     def enrich(events: DataFrame) -> DataFrame:
         state = enrichment.outcome(F.lit(True), "raw_text", "vector")
@@ -626,3 +635,213 @@ def stream_retry_outcomes(t):
     handled = read_parts(spark, job.path("outcomes"), OUTCOME).select("id", "outcome", long("attempts"))
     last = read_parts(spark, job.path("failures"), FAILURE).where("batch = 3")
     return handled.unionByName(last.select("id", F.lit("waiting").alias("outcome"), long("attempts")))
+
+
+@query
+def stream_cursor_polls(t):
+    """Polls of two feeds, with a restart in the middle.  Before it: the older 70 % of one feed, a poll
+    of it whose newest item is broken, and a filing that is gone later.  After it: both feeds whole."""
+    spark = t.spark
+    root, out, progress = (scratch_path(spark, name) for name in ("polls", "polled", "progress"))
+
+    def feed(table: str, key: str) -> DataFrame:
+        return t.raw(table).select(F.col(key).alias("key"), F.to_json(F.struct(F.col(key).cast("string").alias("id"))).alias("body"))
+
+    def land(rows: DataFrame, source: str, poll: int) -> None:
+        polls.land_poll(rows.withColumn("pos", -F.col("key")), root, source, poll)
+
+    def drain() -> None:
+        polled = polls.poll_stream(spark, root, cursor=f"{progress}/cursor.json")
+        polled.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True).start(out).awaitTermination()
+
+    news, filings = feed("events", "event_id"), feed("orders", "o_orderkey")
+    newest, total = news.agg(F.max("key"), F.count(F.lit(1))).first()
+    land(news.where(F.col("key") <= newest - int(total * 0.3)), "news", 0)
+    land(news.withColumn("body", F.when(F.col("key") == newest, "{broken").otherwise(F.col("body"))), "news", 1)
+    land(spark.createDataFrame([(0, '{"id": "gone"}')], "key long, body string"), "filings", 0)
+    drain()
+    land(news, "news", 2)
+    land(filings, "filings", 1)
+    drain()
+    return spark.read.schema(polls.SCHEMA).parquet(out).select(
+        "source", "poll", "id", (-F.col("pos")).alias("emit_order"), F.col("error").isNotNull().alias("discarded"))
+
+
+@query
+def stream_retry_timers(t):
+    """Every document once, then silence: its first doc_id % 6 tries fail, and timers bring the others."""
+    spark = t.spark
+    path, out = scratch_path(spark, "failing"), scratch_path(spark, "retried")
+    landed = t.raw("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("body"))
+    landed.write.parquet(path)
+
+    def attempt(key: str, body: str, tries: int) -> str:
+        if tries < int(body) % 6:
+            raise OSError("not yet")
+        return f"value {key}"
+
+    arriving = ingest.read_events(spark, path, landed.schema)
+    run = (retry.with_retries(arriving, attempt).writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "progress"))
+           .trigger(processingTime="500 milliseconds").start(out))
+    expected, done = landed.count(), 0
+    try:
+        while run.isActive and done < expected:
+            clock.sleep(0.5)
+            done = read_parts(spark, out, retry_outcome()).count()
+    finally:
+        run.stop()
+    if run.exception():
+        raise run.exception()
+    return read_parts(spark, out, retry_outcome()).select("id", "outcome", long("tries"), "value")
+
+
+def retry_outcome():
+    return T.StructType.fromDDL(retry.OUTCOME)
+
+
+@query
+def stream_live_feed(t):
+    """Alerts in three steps; after the first two steps every subscriber takes some of what waits."""
+    spark = t.spark
+    path, out, progress = (scratch_path(spark, name) for name in ("feed", "fed", "progress"))
+    rows = materialise(_alerts(t), "alerts")
+    event = F.col("event_id").cast("long")
+    last = t.raw("documents").agg(F.max("doc_id")).scalar()
+    step = F.floor(event * 3 / (last + 1))
+    users = rows.select("user_id").distinct()
+    end = rows.agg(F.max("created_at")).scalar()
+
+    def takes(n) -> DataFrame:
+        return users.select("user_id", end.alias("at"), F.lit(live.TAKE).alias("kind"), F.lit(None).cast("string").alias("id"),
+                            F.lit(None).cast("string").alias("payload"), n.cast("int").alias("n"))
+
+    some = F.col("user_id").cast("long") % 5 * 10
+    steps = [rows.where(step == 0), takes(some), rows.where(step == 1), takes(F.lit(40)), rows.where(step == 2)]
+    for entries in steps:
+        entries = live.alert_entries(entries) if "kind" not in entries.columns else entries
+        entries.write.mode("append").parquet(path)
+        arriving = spark.readStream.schema(entries.schema).parquet(path)
+        (live.live_feed(arriving).writeStream.format("parquet").option("checkpointLocation", progress)
+         .trigger(availableNow=True).start(out).awaitTermination())
+    return spark.read.schema(live.FEED).parquet(out).select("user_id", "id", "status", "seq")
+
+
+# -- classes, cells, logs of parts, change feeds -----------------------------------------
+
+
+@query
+def prefilter_match_classes(t):
+    return predicate_index.prefilter_pairs(_plain_arrivals(t), _plain_interests(t))
+
+
+@query
+def strategies_passed_classes(t):
+    return predicate_index.strategies_passed(_plain_arrivals(t), _plain_interests(t))
+
+
+@query
+def vector_search_cells(t):
+    found = cells.search_cells(cells.build_cells(t.corpus()), t.interests())
+    return found.hits.select("strategy_id", "point_id", "score", long("rank"))
+
+
+@query
+def corpus_versions(t):
+    """The corpus as readers of each version see it: three commits, a compaction, a late commit."""
+    log = C.point_log(t.spark, scratch_path(t.spark, "corpus"))
+    rows = materialise(t.events(url=False).withColumn("content_url", F.lit(None).cast("string")), "events")
+
+    def titled(title: str, where: str):
+        return C.to_points(rows.where(where).withColumn("title", F.lit(title)))
+
+    for batch, points in enumerate([titled("stored before", "seq % 2 = 0"), titled("first", "seq % 3 <> 1"), titled("again", "seq % 6 = 0")]):
+        C.commit_points(log, points, batch)
+    log.compact(C.newest_points, before=3, force=True)
+    C.commit_points(log, titled("late", "seq % 10 = 4"), 3)
+    views = [C.newest_points(log.read(version)).select(F.lit(version).cast("long").alias("version"), "point_id", "event_id", F.col("payload.title").alias("title"))
+             for version in log.versions()]
+    return feeds.fan_in(*views)
+
+
+@query
+def user_alerts_page_skipping(t):
+    """One owner's page from a log of parts clustered by owner: only files that may hold the owner are opened."""
+    log = partlog.PartLog(t.spark, scratch_path(t.spark, "alerts"), ALERT, ("user_id",))
+    rows = materialise(_alerts(t), "alerts")
+    for batch in range(3):
+        log.commit(rows.where(F.col("event_id").cast("long") % 3 == batch), batch)
+    log.compact(lambda parts: parts, before=3, files=8, force=True)
+    return A.user_alerts_page(log.read(where={"user_id": "3"}), "3", limit=50, offset=20).select("id", "user_id", time("created_at"))
+
+
+def _maintained(t: B.Tables) -> list[DataFrame]:
+    """The registry before and after a toggle, an update and a deletion."""
+    kept = ["id", "user_id", "name", "similarity_threshold", "is_active", "updated_at", "seq"]
+    rows = materialise(t.strategies().drop("query_vector"), "strategies")
+    toggled = tables.toggle_strategies(rows, rows.where("seq % 7 = 0").select("id", "user_id"), B.now())
+    asked = toggled.where("seq % 4 = 0").withColumns({
+        "name": F.concat(F.lit("renamed "), "seq"), "similarity_threshold": F.lit(0.75), "version": F.lit(1),
+        "user_id": F.when(F.col("seq") % 3 == 0, "stranger").otherwise(F.col("user_id"))})
+    updated = tables.update_strategies(toggled, asked, B.now(), "version")
+    steps = [rows, toggled, updated, tables.delete_strategies(updated, updated.where("seq % 9 = 0"))]
+    return [materialise(step.select(*kept), "step") for step in steps]
+
+
+def _feed(steps: list[DataFrame]) -> DataFrame:
+    return feeds.fan_in(*[changes.changes(a, b, "id", n + 1) for n, (a, b) in enumerate(zip(steps, steps[1:]))])
+
+
+@query
+def strategy_change_feed(t):
+    touched = changes.fields_changed(_feed(_maintained(t)).where(F.col("kind") != changes.DELETE))
+    gone = _feed(_maintained(t)).where(F.col("kind") == changes.DELETE).select("key", "version", "kind", F.lit("*").alias("field"))
+    return touched.unionByName(gone)
+
+
+@query
+def strategies_replayed(t):
+    """The change feed, part of it seen twice, replayed onto the old registry; and undone again."""
+    steps = _maintained(t)
+    feed = materialise(_feed(steps), "changes")
+    new = changes.replay(steps[0], feed.unionByName(feed.where("version > 1")), "id")
+    old = changes.undo(new, feed, "id")
+    view = ["id", "user_id", "name", "similarity_threshold", "is_active", time("updated_at")]
+    return new.select(F.lit("new").alias("state"), *view).unionByName(old.select(F.lit("old").alias("state"), *view))
+
+
+@query
+def stream_counters_replayed(t):
+    """The six counters of a stream over outcomes and alerts, of which one batch runs twice."""
+    spark = t.spark
+    outcomes = t.outcomes().select(F.lit("event").alias("kind"), "outcome", F.col("failed_calls").cast("long").alias("failed_calls"), "seq")
+    alerts = ranking.match_at_arrival(t.arrivals(), t.interests()).select(
+        F.lit("alert").alias("kind"), F.lit(None).cast("string").alias("outcome"), F.lit(0).cast("long").alias("failed_calls"), F.col("event_id").cast("long").alias("seq"))
+    rows = materialise(outcomes.unionByName(alerts), "handled")
+    path, progress = scratch_path(spark, "handled"), scratch_path(spark, "progress")
+    store = stored.CounterStore(spark, scratch_path(spark, "counters"))
+    listener = stored.StoredCounters(store)
+    event = F.col("kind") == "event"
+    of_events = {name: F.count_if(event & condition) for name, condition in (
+        ("events_ingested", F.lit(True)), ("events_processed", F.col("outcome") != enrichment.ERROR),
+        ("events_enriched", F.col("outcome") == enrichment.ENRICHED), ("errors_total", F.col("outcome") == enrichment.ERROR))}
+
+    def run(step: int, batches: int) -> None:
+        rows.where(F.col("seq") % 3 == step).write.mode("append").parquet(path)
+        arriving = stored.observed(spark.readStream.schema(rows.schema).parquet(path), **of_events,
+                                   retry_attempts=F.sum("failed_calls"), alerts_triggered=F.count_if(~event))
+        arriving.writeStream.format("noop").option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+        waited = 0.0
+        while sum(listener.seen.values()) < batches and waited < 60:  # progress arrives after the batch
+            clock.sleep(0.2)
+            waited += 0.2
+
+    spark.streams.addListener(listener)
+    try:
+        run(0, 1)
+        run(1, 2)
+        commit = spark._jvm.org.apache.hadoop.fs.Path(f"{progress}/commits/1")  # as if killed before the commit
+        commit.getFileSystem(spark._jsc.hadoopConfiguration()).delete(commit, False)
+        run(2, 4)
+    finally:
+        spark.streams.removeListener(listener)
+    return store.totals()
