@@ -1,7 +1,8 @@
 """Exact search over a clustered corpus: cells of near vectors, skipped when a bound proves it.
 
 A corpus is dealt into cells around centers and stored by cell.  A cell knows its center and its
-radius, the greatest angle of a member to the center.  No member is nearer to a query than the
+radius, the greatest angle of a member to the center, and which wanted sources and tickers its
+members have.  No member is nearer to a query than the
 angle between query and center less the radius, so a cell whose best possible cosine is below a
 strategy's k-th best score so far holds nothing for that strategy.
 
@@ -101,6 +102,7 @@ def search_cells(cells: Cells, interests: DataFrame, k: int = SEARCH_LIMIT) -> F
     best[:, cells.sizes == 0] = -np.inf
     silent = (block.units == 0).all(axis=1)  # a query of length 0 scores 0 with everything
     best[np.ix_(silent, cells.sizes > 0)] = SLACK
+    best[~_passes(cells, block)] = -np.inf
     near = _nearest(best, cells.sizes, k)
     first = materialise(best_scores(_scored(cells, block, near, k), k, "strategy_id"), "near-cells")
     floor = np.full(len(block.thresholds), -np.inf)
@@ -111,7 +113,25 @@ def search_cells(cells: Cells, interests: DataFrame, k: int = SEARCH_LIMIT) -> F
     rest = (best >= floor[:, None]) & ~near & np.isfinite(best)
     scored = _scored(cells, block, near | rest, k)
     asked = near | rest
-    return Found(top_points(scored, k), int(asked.sum()), int(np.isfinite(best).sum()), int(asked.any(axis=0).sum()))
+    return Found(top_points(scored, k), int(asked.sum()), len(block.thresholds) * int((cells.sizes > 0).sum()), int(asked.any(axis=0).sum()))
+
+
+def _passes(cells: Cells, block: scoring.InterestBlock) -> np.ndarray:
+    """strategy x cell: whether some member may pass the strategy's filters.
+
+    Of the values in the cells only those that the registry names come to the driver.
+    """
+    spark = cells.points.sparkSession
+    result = []
+    for any_value, by_value, held in ((block.any_source, block.by_source, F.array("source")), (block.any_ticker, block.by_ticker, F.col("tickers"))):
+        there = np.repeat(any_value[:, None], len(cells.centers), axis=1)
+        if by_value:
+            named = spark.createDataFrame([(value,) for value in by_value], "value string")
+            inside = cells.points.select("cell", F.explode(held).alias("value")).join(F.broadcast(named), "value").distinct()
+            for cell, value in inside.select("cell", "value").toLocalIterator():
+                there[by_value[value], cell] = True
+        result.append(there)
+    return result[0] & result[1]
 
 
 def _nearest(best: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:

@@ -144,7 +144,12 @@ def model_embedder(model: Callable[[Sequence[str]], Sequence[Sequence[float] | N
 
 
 def embed_queries(strategies: DataFrame, embedder: Embedder) -> DataFrame:
-    """Adds ``query_vector``; every distinct query text is embedded once."""
-    texts = strategies.select("query").distinct()
-    vectors = embedder(texts.withColumn("_text", F.col("query")), "query", "_text")
-    return strategies.join(vectors.withColumnRenamed("vector", "query_vector"), "query", "left")
+    """Adds ``query_vector``; every distinct query text is embedded once, no null one.
+
+    Strategies meet their vectors by a digest of the text, which is all that is shuffled of it.
+    """
+    keyed = strategies.withColumn("_query", F.sha2("query", 256))
+    texts = keyed.where("query is not null").groupBy("_query").agg(F.first("query").alias("_text"))
+    vectors = embedder(texts, "_query", "_text").withColumnRenamed("vector", "query_vector")
+    found = keyed.where("query is not null").join(vectors, "_query", "left")
+    return found.unionByName(keyed.where("query is null"), allowMissingColumns=True).drop("_query")

@@ -110,9 +110,14 @@ def rank_at_arrival(scored: DataFrame, k: int = SEARCH_LIMIT, seed: DataFrame |
 
 
 def match_at_arrival(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
-                     seed: DataFrame | None = None, max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(strategy_id, ingested_at, event_id, score, rank) of every alert, event ids unique."""
-    return rank_at_arrival(score_arrivals(events, interests, k, max_block_bytes), k, seed)
+                     seed: DataFrame | None = None, max_block_bytes: int = BLOCK_BYTES,
+                     single_precision: bool = False) -> DataFrame:
+    """(strategy_id, ingested_at, event_id, score, rank) of every alert, event ids unique.
+
+    ``single_precision`` compares scores with thresholds as a vector store that keeps floats does: a
+    score of 0.7 is then below a threshold of 0.7.
+    """
+    return rank_at_arrival(score_arrivals(events, interests, k, max_block_bytes, single_precision), k, seed)
 
 
 def vector_search(points: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT, method: str = "exact",

@@ -173,8 +173,11 @@ def _row_blocks(rows: int, strategies: int) -> Iterator[slice]:
         start, size = start + size, size * 2
 
 
-def _block_scores(block: InterestBlock, batch: pa.Table, thresholds: np.ndarray | None):
-    """(row slice, strategy x row scores); what the filters reject is -inf."""
+def _block_scores(block: InterestBlock, batch: pa.Table, thresholds: np.ndarray | None, single: bool = False):
+    """(row slice, strategy x row scores); what the filters reject is -inf.
+
+    With ``single`` a score counts against its threshold as the nearest single-precision number.
+    """
     keys = list(zip(batch["source"].to_pylist(), (tuple(t or ()) for t in batch["tickers"].to_pylist())))
     index = {key: i for i, key in enumerate(dict.fromkeys(keys))}
     codes, kinds = np.array([index[key] for key in keys]), list(index)
@@ -184,7 +187,7 @@ def _block_scores(block: InterestBlock, batch: pa.Table, thresholds: np.ndarray
         keep = np.stack([block.mask(*kinds[i]) for i in used])[local].T
         scores = _round6(block.units @ units[rows].T)
         if thresholds is not None:
-            keep = keep & (scores >= thresholds[:, None])
+            keep = keep & ((scores.astype(np.float32).astype(np.float64) if single else scores) >= thresholds[:, None])
         yield rows, np.where(keep, scores, -np.inf)
 
 
@@ -209,7 +212,7 @@ def _all_scores(block: InterestBlock, raw: Iterable[pa.RecordBatch]) -> Iterator
             yield _emit(block, batch.select(["event_id"]), row + rows.start, scores[strategy, row], strategy)
 
 
-def _arrival_scores(block: InterestBlock, raw: Iterable[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _arrival_scores(block: InterestBlock, raw: Iterable[pa.RecordBatch], k: int, single: bool) -> Iterator[pa.RecordBatch]:
     best, latest = _Best(len(block.thresholds), k), None
     for batch in _batches(raw):
         batch = batch.sort_by([("ingested_at", "ascending"), ("event_id", "ascending")])
@@ -219,7 +222,7 @@ def _arrival_scores(block: InterestBlock, raw: Iterable[pa.RecordBatch], k: int)
         if latest is not None and times[0].as_py() <= latest:
             best = _Best(len(block.thresholds), k)
         latest = max(times[-1].as_py(), latest if latest is not None else times[-1].as_py())
-        for rows, scores in _block_scores(block, batch, block.thresholds):
+        for rows, scores in _block_scores(block, batch, block.thresholds, single):
             strategy, row = np.nonzero((scores >= best.cut()) & (scores > -np.inf))
             best.add(scores)
             yield _emit(block, batch.select(["event_id", "ingested_at"]), row + rows.start, scores[strategy, row], strategy)
@@ -253,13 +256,13 @@ def score_pairs(events: DataFrame, interests: DataFrame, max_block_bytes: int =
 
 
 def score_arrivals(events: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
-                   max_block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                   max_block_bytes: int = BLOCK_BYTES, single_precision: bool = False) -> DataFrame:
     """Scores at or above the threshold that may still rank among the first k on arrival.
 
     A row below its threshold can outrank no row that passes, so it is dropped at once.
     """
     rows = events.select("event_id", "ingested_at", "source", "tickers", "vector")
-    return _over_blocks(rows, interests, max_block_bytes, SCORED, lambda block, raw: _arrival_scores(block, raw, k))
+    return _over_blocks(rows, interests, max_block_bytes, SCORED, lambda block, raw: _arrival_scores(block, raw, k, single_precision))
 
 
 def score_corpus(points: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,

@@ -220,7 +220,7 @@ sql("point_payload", "b_events", f"""
 select id, source, title, content_url, {_time('published_at')} published_at,
   case when len(tickers)>0 then {_csv('tickers')} end tickers from b_events""")
 sql("corpus_stats", "b_enriched", """
-select count(*) points, cast(min(len(vector)) as bigint) min_dim, cast(max(len(vector)) as bigint) max_dim from b_enriched""")
+select count(*) points, cast(min(len(vector)) as bigint) min_dim, cast(max(len(vector)) as bigint) max_dim, 'Cosine' as metric from b_enriched""")
 sql("vector_schema_guard", "b_events", """
 select id, case when vector is null or seq%17=3 then 'missing' when seq%13=0 then 'wrong_dim' else 'ok' end vector_status from b_events""")
 sql("upsert_points", "b_repeats", f"""
@@ -271,13 +271,19 @@ for _name in ("vector_search", "vector_search_large_registry"):
 # -- matches and alerts
 for _name in ("match_alerts", "match_alerts_large_registry", "stream_match_alerts"):
     sql(_name, "b_found", "select strategy_id, event_id, score, rank from b_found")
+sql("match_alerts_single_precision", "b_pairs", """
+with p as (select *, case when strategy_id::bigint % 3 = 0 then 1.0::double else 0.1::double end as least from b_pairs)
+select * from (
+  select strategy_id, event_id, score, (select 1 + count(*) from p b where b.strategy_id = a.strategy_id
+    and b.score > a.score and (b.ingested_at, b.event_id) < (a.ingested_at, a.event_id)) as rank
+  from p a where cast(cast(score as float) as double) >= least) where rank <= 10""")
 sql("match_alerts_final", "b_hits", "select strategy_id, event_id, score, rank from b_hits where score >= threshold")
 _ALERT = f"""id, user_id, strategy_id, event_id, title, content, url, similarity_score, is_read,
   {_time('created_at')} created_at"""
 for _name in ("alert_rows", "stream_event_job"):
     sql(_name, "b_alerts", f"select {_ALERT} from b_alerts")
 sql("alert_log", "b_alerts", """
-select '{"level":"INFO","msg":"alert triggered","strategy_id":'||to_json(strategy_id)||',"recipient":'||to_json(recipient)
+select '{"time":"'||strftime(created_at, '%Y-%m-%dT%H:%M:%SZ')||'","level":"INFO","msg":"alert triggered","strategy_id":'||to_json(strategy_id)||',"recipient":'||to_json(recipient)
   ||',"event_title":'||to_json(title)||',"event_source":'||to_json(event_source)
   ||',"similarity_score":"'||cast(cast(cast(similarity_score as decimal(18,6)) as decimal(18,4)) as varchar)
   ||'","threshold":"'||cast(cast(similarity_threshold as decimal(18,2)) as varchar)||'"}' as value from b_alerts""")

@@ -306,6 +306,14 @@ def match_alerts(t):
     return found.select("strategy_id", "event_id", "score", long("rank"))
 
 
+@query
+def match_alerts_single_precision(t):
+    """Thresholds of 1, met by the strategies' own vectors, and of 0.1, by scores as single-precision numbers."""
+    wanted = t.interests().withColumn("threshold", F.when(F.col("strategy_id").cast("long") % 3 == 0, 1.0).otherwise(F.lit(0.1)))
+    found = ranking.match_at_arrival(t.arrivals(), wanted, single_precision=True)
+    return found.select("strategy_id", "event_id", "score", long("rank"))
+
+
 @query
 def match_alerts_large_registry(t):
     found = ranking.match_at_arrival(t.arrivals(), t.interests(), max_block_bytes=SMALL_BLOCK)
