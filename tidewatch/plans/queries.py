@@ -237,7 +237,7 @@ def point_payload(t):
 
 @query
 def corpus_stats(t):
-    return C.corpus_stats(C.to_points(t.enriched(url=True)))
+    return C.corpus_stats(C.to_points(t.enriched(url=True)), "Cosine")
 
 
 @query
