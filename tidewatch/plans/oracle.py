@@ -381,7 +381,7 @@ union all select id, 'enriched', 1 from steps where outcome = 'error' and step <
 union all select id, 'waiting', 1 from steps where outcome = 'error' and step = 2""")
 sql("stream_cursor_polls", "", """
 with m as (select max(event_id) - cast(floor(count(*) * 0.3) as bigint) as mark from events)
-select 'news' as source, 0 as poll, cast(event_id as varchar) as id, 1 - row_number() over (order by event_id desc) as emit_order,
+select 'news' as source, cast(0 as bigint) as poll, cast(event_id as varchar) as id, 1 - row_number() over (order by event_id desc) as emit_order,
   false as discarded from events, m where event_id <= mark
 union all select 'news', 1, null, null, true
 union all select 'news', 2, cast(event_id as varchar), 1 - row_number() over (order by event_id desc), false from events, m where event_id > mark
@@ -416,7 +416,7 @@ with writes as (
   select seq, w.batch, w.title from b_events, (values (0, 'stored before'), (1, 'first'), (2, 'again'), (3, 'late')) w(batch, title)
   where (batch = 0 and seq % 2 = 0) or (batch = 1 and seq % 3 <> 1) or (batch = 2 and seq % 6 = 0) or (batch = 3 and seq % 10 = 4)),
 views(version, last) as (values (1, 0), (2, 1), (3, 2), (4, 2), (5, 3))
-select version, {_uuid5("cast(seq as varchar)")} as point_id, cast(seq as varchar) as event_id, arg_max(title, batch) as title
+select cast(version as bigint) as version, {_uuid5("cast(seq as varchar)")} as point_id, cast(seq as varchar) as event_id, arg_max(title, batch) as title
 from views join writes on batch <= last group by version, seq""")
 _STEPS = f"""s0 as (select id, user_id, name, similarity_threshold, is_active, updated_at, seq from b_strategies),
 s1 as (select * replace (case when seq%7=0 then not is_active else is_active end as is_active,
@@ -426,8 +426,8 @@ s2 as (select * replace (case when seq%4=0 and seq%3<>0 then 'renamed '||seq els
   case when seq%4=0 and seq%3<>0 then {_NOW} else updated_at end as updated_at) from s1)"""
 _FIELDS = ["name", "similarity_threshold", "is_active", "updated_at"]
 sql("strategy_change_feed", "b_strategies", f"with {_STEPS} " + " union all ".join(
-    f"select a.id as key, {version} as version, 'update' as kind, '{name}' as field from s{version - 1} a join s{version} b using (id) where a.{name} is distinct from b.{name}"
-    for version in (1, 2) for name in _FIELDS) + " union all select id, 3, 'delete', '*' from s2 where seq%9=0")
+    f"select a.id as key, cast({version} as bigint) as version, 'update' as kind, '{name}' as field from s{version - 1} a join s{version} b using (id) where a.{name} is distinct from b.{name}"
+    for version in (1, 2) for name in _FIELDS) + " union all select id, cast(3 as bigint), 'delete', '*' from s2 where seq%9=0")
 _STATE = f"id, user_id, name, similarity_threshold, is_active, {_time('updated_at')} as updated_at"
 sql("strategies_replayed", "b_strategies", f"""
 with {_STEPS} select 'new' as state, {_STATE} from s2 where seq%9<>0 union all select 'old', {_STATE} from s0""")
