@@ -51,7 +51,7 @@ def batch_alerts(spark, events, vectors, strategies):
     return {(r.strategy_id, r.event_id, r.score) for r in found.collect()}
 
 
-def run_job(spark, root, events, vectors, registries, broken=frozenset(), replay=False, cuts=None):
+def run_job(spark, root, events, vectors, registries, broken=frozenset(), replay=False, cuts=None, **options):
     """Feed the events in as many batches as there are registries."""
     vec = spark.createDataFrame(vectors, "id string, vector array<float>").cache()
     state = {"registry": registries[0], "broken": set()}
@@ -62,7 +62,7 @@ def run_job(spark, root, events, vectors, registries, broken=frozenset(), replay
         return joined.withColumn("outcome", enrichment.outcome(F.lit(True), "raw_text", "vector"))
 
     job = EventJob(spark, root, lambda: spark.createDataFrame(state["registry"], REGISTRY), enrich,
-                   [sinks.table_sink(f"{root}/alerts", F.col("ingested_at"))])
+                   [sinks.table_sink(f"{root}/alerts", F.col("ingested_at"))], **options)
     cuts = cuts or [len(events) * i // len(registries) for i in range(len(registries) + 1)]
     for number, strategies in enumerate(registries):
         state["registry"] = strategies
@@ -198,6 +198,20 @@ def test_job_equals_batch_and_replays_are_idempotent(spark, tmp_path, batches, r
     assert row.alerts_triggered == len(job_alerts(spark, str(tmp_path)))
 
 
+def test_the_job_folds_its_points_and_finds_the_same(spark, tmp_path):
+    """Every batch is replayed, parts are folded as soon as there are two finished ones, and a strategy
+    edited for the last batch is searched in what was folded."""
+    events, vectors = make(60)
+    plan = [registry(), registry(), registry(), registry(seed=5)]
+    folded = run_job(spark, str(tmp_path / "a"), events, vectors, plan, replay=True, max_parts=1)
+    plain = run_job(spark, str(tmp_path / "b"), events, vectors, plan)
+    assert job_alerts(spark, str(tmp_path / "a")) == job_alerts(spark, str(tmp_path / "b"))
+    parts = [corpus.point_log(spark, job.path("points")).parts() for job in (folded, plain)]
+    assert len(parts[0]) == 2 and len(parts[1]) == 4
+    logs = [corpus.newest_points(corpus.point_log(spark, job.path("points")).read()).count() for job in (folded, plain)]
+    assert logs == [60, 60]
+
+
 def test_registry_changes_take_effect_on_the_next_batch(spark, tmp_path):
     """New, edited and re-activated strategies rank against the whole corpus so far."""
     events, vectors = make(60)
