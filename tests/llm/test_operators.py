@@ -111,6 +111,9 @@ def test_quality_of_odd_rows(spark):
     assert len(rows) == 63 and all(0 <= r.score <= 1 for r in rows)
     assert min(r.score for r in rows if r.doc_id is not None and r.doc_id < 40) > 0.7 > 0.3 > max(
         r.score for r in rows if r.doc_id is not None and 40 <= r.doc_id < 60)
+    two = frame.unionByName(frame.withColumn("text", F.concat("text", F.lit(" Another text.")))).repartition(5)
+    models = [quality.fit(f, labels) for f in (two, two.repartition(2, "text"))]  # of an id's texts always the same one
+    assert all((a == b).all() for a, b in zip(models[0].tables, models[1].tables, strict=True))
     alone = quality.fit(frame, labels.where("quality = 1"))
     assert frame.select(quality.quality(alone, frame).alias("s")).distinct().count() == 1
     assert frame.limit(0).select(quality.quality(alone, frame)).count() == 0
@@ -462,7 +465,14 @@ def test_context_and_spelling_decide(spark):
     assert scorer.hits(b'the paper printed "idiot" in a headline')[0] == toxicity._QUOTED
     assert scorer.hits("il dit « idiot » hier".encode())[0] == toxicity._QUOTED
     assert scorer.hits(b"the word idiot comes from greek")[0] == toxicity._REPORTED
-    assert scorer.hits(b'"idiot", you are')[0] == 1
+    # Quotation and denial count whatever else stands near; "you" only outweighs reporting.
+    assert scorer.hits(b'"idiot", you are')[0] == scorer.hits(b'you said "stupid"')[0] == toxicity._QUOTED
+    assert scorer.hits(b"you are not stupid")[0] == toxicity._DENIED
+    assert scorer.hits(b"you said it, idiot")[0] == 1
+    far = b"as follows " * 40
+    assert scorer.hits(b'he wrote: "' + far + b"idiot " + far + b'" and left')[0] == toxicity._QUOTED
+    assert scorer.hits(b'a 5" pipe, you idiot, and a 7" one')[0] == 1
+    assert scorer.hits(b'he wrote: "' + far + b"\nidiot\n" + far + b'" and left')[0] == 1  # over lines there is no quotation
     assert scorer.score(b"you idiot, worthless clown") > 0.5 > 0.3 > scorer.score(b"a pleasant day") == scorer.score(b"") == scorer.score(None)
 
 
@@ -487,6 +497,79 @@ def test_lexicon_is_learned_with_stems(spark):
     assert docs(spark, []).select(toxicity.toxicity(model, frame)).count() == 0
 
 
+def slow_score(model, text):
+    """The score by edit distances, and quotations by looking at every pair of marks."""
+    words = [(m.group(), m.start()) for m in re.finditer("[a-z0-9\x80-\U0010ffff]+", text.lower())]
+
+    def matched(word):
+        if word in model.words or any(word.startswith(s) for s in model.stems):
+            return 1.0
+        if word.encode() in model.innocent:
+            return 0.0
+        near = [w for w in model.words if len(w) >= 5 and edits(w, word) <= 1]
+        near += [s + "*" for s in model.stems if len(s) >= 5 and any(edits(word[:n], s) <= 1 for n in range(len(word) + 1))]
+        return max((model.misspelt.get(t, toxicity._MISSPELT) for t in near), default=0.0)
+
+    mass = 0.0
+    for i, (word, at) in enumerate(words):
+        before, after = text[:at].rpartition("\n")[2], text[at:].partition("\n")[0]
+        around = {w.encode() for w, _ in words[max(0, i - 4):i + 5]}
+        if before.count('"') % 2 and '"' in after:
+            context = toxicity._QUOTED
+        elif {w.encode() for w, _ in words[max(0, i - 3):i]} & toxicity.DENYING:
+            context = toxicity._DENIED
+        else:
+            context = toxicity._REPORTED if around & toxicity.REPORTING and not around & toxicity.AIMED else 1.0
+        mass += context * matched(word)
+    bias, by_mass, by_share = model.weights
+    return 1 / (1 + np.exp(-(bias + by_mass * np.log1p(mass) + by_share * np.log1p(100 * mass / max(len(words), 20)))))
+
+
+def test_scores_equal_a_slow_version(spark):
+    model = toxicity.Model(sorted(toxicity.INSULTS), ["salaud", "vequ"], frozenset([b"morons"]), {"idiot": 0.3, "salaud*": 0.2})
+    generator, texts = random.Random(9), []
+    pool = [*VOCABULARY, "you", "not", "said", "idiot", "idi0t", "stupid", "stupyd", "moron", "morons", "saluds", "salauds", "vequx", "clwn"]
+    for _ in range(200):
+        words = [generator.choice(pool) for _ in range(generator.randint(0, 30))]
+        for at in sorted(generator.sample(range(len(words) + 1), 2) if len(words) > 4 and generator.random() < 0.5 else []):
+            words.insert(at, "\n")
+        if len(words) > 9:
+            words[3], words[8] = '"' + words[3].strip() + "a", words[8].strip() + 'a"'
+        texts.append(" ".join(words))
+    frame = docs(spark, texts)
+    got = {r.doc_id: r.s for r in frame.select("doc_id", toxicity.toxicity(model, frame).alias("s")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(slow_score(model, text)), text
+
+
+def test_near_copies_are_one_witness_and_others_are_not(spark):
+    base = [f"w{i}" for i in range(400)]
+    near = [" ".join([*base[:i], "zz", *base[i + 1:]]) for i in (50, 150, 250)]
+    apart = [" ".join(base[:100] + [f"x{k}y{i}" for i in range(400)]) for k in range(6)]  # Jaccard about 0.1
+    rows = [(i, t, label) for label in (0, 1) for i, t in enumerate([*near, *apart, "", None])]
+    frame = spark.createDataFrame(rows * 2, "doc long, text string, label int").select(
+        "text", "label", toxicity._sketches("text").alias("sketches"), F.xxhash64("doc", "text").alias("pick"))
+    kept = [sorted((r.label, r.text or "") for r in toxicity._witnesses(frame.repartition(n)).collect()) for n in (1, 7)]
+    assert kept[0] == kept[1]
+    for label in (0, 1):
+        mine = [t for l, t in kept[0] if l == label]
+        assert len(set(mine) & set(near)) == 1 and set(apart) <= set(mine) and mine.count("") == 1
+
+
+def test_misspellings_weigh_by_their_terms_evidence(spark):
+    model = toxicity.Model(["blargh", "grumpf", "unseen"], ["drecks"])
+    texts = [(f"word{i} {'blargx' if i % 2 else 'grumpx'}", i % 2) for i in range(40)] + [(f"plain drexks{i}", 0) for i in range(40)]
+    got = toxicity._misspelt(spark.createDataFrame(texts, "text string, label int"), model, (20, 60))
+    assert got["blargh"] == toxicity._MISSPELT and got["grumpf"] == got["drecks*"] == 0.0 and "unseen" not in got
+    scorer = toxicity.Scorer(toxicity.Model(model.words, model.stems, misspelt=got))
+    assert [scorer.hits(w)[0] for w in (b"blargy", b"grumpy", b"drexksen", b"unsean", b"grumpf")] == [0.8, 0, 0, 0.8, 1]
+
+
+def test_every_term_with_evidence_is_in_the_lexicon(spark):
+    terms = spark.createDataFrame([(f"t{i:05}q", 40, 0) for i in range(5000)], "term string, toxic long, other long")
+    assert len(toxicity._lexicon(terms, (50, 350))[0]) == 5000 + len(toxicity.INSULTS)
+
+
 def test_a_misspelling_is_not_ordinary_for_one_clean_row(spark):
     rows = [("blarghe", 5, 1), ("blargho", 0, 4), ("blargha", 1, 30), ("blarghi", 0, 1), ("blarghu", 9, 9)]
     many = [(f"blarg{c}h", 0, 3) for c in "bcdefijkmnoprstuvwxyz"]

@@ -172,7 +172,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column
     """The model of at most ``sample`` labelled rows, chosen by hash of their ids."""
     chosen = (labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
               .select(F.col(id_column).cast("long").alias("_doc"), F.col(label_column).cast("int").alias("label"))
-              .dropDuplicates(["_doc"]).orderBy(F.xxhash64("_doc"), "_doc").limit(sample))
+              .groupBy("_doc").agg(F.min("label").alias("label")).orderBy(F.xxhash64("_doc"), "_doc").limit(sample))
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -184,7 +184,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column
 
     rows = (documents.select(F.col(id_column).cast("long").alias("_doc"), F.col(text_column).cast("string").alias("text"))
             .join(F.broadcast(chosen), "_doc").select("_doc", "label", "text")
-            .mapInArrow(measure, "doc long, label int, features array<double>").dropDuplicates(["doc"]).orderBy("doc").toArrow())
+            .mapInArrow(measure, "doc long, label int, features array<double>")
+            .groupBy("doc").agg(F.min(F.struct("features", "label")).alias("least"))
+            .orderBy("doc").select("doc", "least.label", "least.features").toArrow())
     features = np.array(rows["features"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit_gam(features, rows["label"].to_numpy())
 

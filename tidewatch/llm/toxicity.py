@@ -4,13 +4,16 @@ The lexicon is learned from labelled rows: words and word stems (prefixes) that
 documents far more often than others, besides a short fixed list.  A Levenshtein automaton
 intersected with the lexicon's trie is one lazily built deterministic automaton, whose states
 are sets of (trie node, edits): a word is walked once, and most words die after a few letters.
-So misspelt terms are met without trying every term.  Each hit weighs by its context window:
-in quotation, or beside words of reporting or denial, it counts little; near "you" it counts
-fully.  Two features of the whole text (the mass of hits, and the mass per hundred words) go
+So misspelt terms are met without trying every term.  A misspelt hit weighs by the labelled
+evidence of its term: how much oftener toxic documents hold words one edit from it.  Each hit
+weighs by its context window: in quotation (wherever it opens on the line) it counts little,
+denied or reported less, else fully; "you" outweighs reporting, not quotation or denial.  Two features of the whole text (the mass of hits, and the mass per hundred words) go
 through a logistic curve fitted on the labelled rows.
 
-Labels are learned from at most ``SAMPLE`` rows (chosen by hash of the id).  Everything else
-reads all rows and whole texts.
+Labels are learned from at most ``SAMPLE`` rows (chosen by hash of the id); copies and near
+copies (three of four minima equal) of one label count once, and the row with the least hash of id
+and text stands for them, so a model is repeatable.  The lexicon holds every term with the
+evidence.  Everything else reads all rows and whole texts.
 
 Defined results: null and empty texts have no hits and the least score; without labelled rows
 of both kinds the fixed list and default weights serve; repeated rows score alike; null ids are
@@ -20,6 +23,7 @@ kept.  Columns besides the named ones are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,14 +39,18 @@ from tidewatch.session import materialise, share
 INSULTS = """idiot moron stupid imbecile loser scum trash worthless pathetic disgusting clown filthy
 vermin retard bastard bitch asshole dumbass scumbag degenerate subhuman""".split()
 #: Words that report or deny what stands beside them.
-REPORTING = frozenset(b"said says wrote writes called quoted quote reported alleged accused word term not never".split())
+REPORTING = frozenset(b"said says wrote writes called quoted quote reported alleged accused word term".split())
+#: Words that deny what follows them closely.
+DENYING = frozenset(b"not never no neither nor hardly isn aren wasn".split())
 #: Words that aim a term at someone.
 AIMED = frozenset(b"you your youre yourself u".split())
 
 SAMPLE, THRESHOLD = 20_000, 0.3
 STEMS = (4, 5, 6, 7)
 WINDOW = 4
-_MISSPELT, _QUOTED, _REPORTED = 0.8, 0.25, 0.5
+_MISSPELT, _QUOTED, _REPORTED, _DENIED = 0.8, 0.25, 0.5, 0.5
+#: Words before a hit in which a denial reaches it.
+_DENIAL = 3
 _LEAST_FUZZY = 5
 _KNOWN = 300_000
 _SKETCHES = 4
@@ -54,6 +62,8 @@ class Model:
     stems: list[str] = field(default_factory=list)
     #: Ordinary words that happen to be one edit from a lexicon word.
     innocent: frozenset[bytes] = frozenset()
+    #: Weights of misspelt hits by lexicon term (a stem with a final '*'); others have ``_MISSPELT``.
+    misspelt: dict[str, float] = field(default_factory=dict)
     #: Bias, weight of log(1 + mass), weight of log(1 + mass per hundred words).
     weights: tuple[float, float, float] = (-4.0, 5.0, 0.5)
 
@@ -66,14 +76,14 @@ class LexiconAutomaton:
     """
 
     DEAD, STATES = 0, 50_000
-    #: What a word holds from the letter on at which it has passed a misspelt stem.
-    PASSED = (-1, 1)
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], misspelt: dict[str, float] | None = None):
         self.child: list[dict[str, int]] = [{}]
         self.final: list[int] = [0]  # the length of the word that ends at a node
         self.longest: list[int] = [0]  # of the words through a node: short words allow no edit
         self.stem: list[bool] = [False]
+        self.misspelt: dict[int, float] = {}  # weights by node; by its negative number for a stem
+        self.term: dict[int, str] = {}
         for term, is_stem in [(w, False) for w in words] + [(s, True) for s in stems]:
             node = 0
             for letter in term:
@@ -89,6 +99,8 @@ class LexiconAutomaton:
                 self.stem[node] = True
             else:
                 self.final[node] = len(term)
+            key, name = (-node, term + "*") if is_stem else (node, term)
+            self.term[key], self.misspelt[key] = name, (misspelt or {}).get(name, _MISSPELT)
         self.long_stems = {node for node, depth in self._depths() if self.stem[node] and depth >= _LEAST_FUZZY}
         self.fuzzy = [n >= _LEAST_FUZZY for n in self.longest]
         self.fuzzy[0] = any(self.fuzzy)
@@ -109,13 +121,15 @@ class LexiconAutomaton:
         self.start = self._state(self._closed({(0, 0)}))
 
     def _closed(self, pairs: set) -> frozenset:
-        """With skipped lexicon letters (deletions); a pair with fewer edits covers its equals."""
+        """With skipped lexicon letters (deletions); a pair with fewer edits covers its equals.
+
+        A node's negative number says that the word has passed its stem, misspelt.
+        """
         made = set(pairs)
         for node, edits in pairs:
             if edits == 0:
                 made.update((to, 1) for to in self.child[node].values() if self.fuzzy[to])
-        if any(edits and node in self.long_stems for node, edits in made):
-            made.add(self.PASSED)
+        made.update([(-node, 1) for node, edits in made if edits and node in self.long_stems])
         return frozenset((node, edits) for node, edits in made if edits == 0 or (node, 0) not in made)
 
     def _state(self, pairs: frozenset) -> int:
@@ -123,15 +137,19 @@ class LexiconAutomaton:
             self.number[pairs] = len(self.sets)
             self.sets.append(pairs)
             self.moves.append({})
-            self.value.append(max((1.0 if edits == 0 else _MISSPELT for node, edits in pairs
-                                   if node < 0 or self.final[node] and (edits == 0 or self.final[node] >= _LEAST_FUZZY)), default=0.0))
+            exact = any(node >= 0 and edits == 0 and self.final[node] for node, edits in pairs)
+            self.value.append(1.0 if exact else max((self.misspelt[node] for node in self._ends(pairs)), default=0.0))
         return self.number[pairs]
 
+    def _ends(self, pairs: frozenset) -> list[int]:
+        """Terms that are met misspelt in a state."""
+        return sorted(node for node, edits in pairs if edits and (node < 0 or self.final[node] >= _LEAST_FUZZY))
+
     def _move(self, state: int, letter: str) -> int:
         made, stem = set(), False
         for node, edits in self.sets[state]:
             if node < 0:
-                made.add(self.PASSED)
+                made.add((node, 1))
                 continue
             to = self.child[node].get(letter)
             if to is not None:
@@ -144,8 +162,18 @@ class LexiconAutomaton:
         self.moves[state][letter] = to
         return to
 
+    def near(self, word: str) -> list[str]:
+        """The terms (a stem with a final '*') that a word meets with one edit; none if it meets one exactly."""
+        state = self._walk(word)
+        return [self.term[node] for node in self._ends(self.sets[state])] if state >= 0 and self.value[state] < 1 else []
+
     def match(self, word: str) -> float:
         """1 for a lexicon word or stem, less for a misspelt one, 0 for others."""
+        state = self._walk(word)
+        return 1.0 if state < 0 else self.value[state]
+
+    def _walk(self, word: str) -> int:
+        """The state after a word; -1 if it has a stem."""
         if len(self.sets) > self.STATES:
             self._reset()
         state, moves = self.start, self.moves
@@ -154,16 +182,16 @@ class LexiconAutomaton:
             if to is None:
                 to = self._move(state, letter)
             if to <= 0:
-                return 1.0 if to else 0.0
+                return to
             state = to
-        return self.value[state]
+        return state
 
 
 class Scorer:
     """Scores texts with one automaton and a bounded memory of words already walked."""
 
     def __init__(self, model: Model):
-        self.automaton, self.weights, self.known = LexiconAutomaton(model.words, model.stems), model.weights, {}
+        self.automaton, self.weights, self.known = LexiconAutomaton(model.words, model.stems, model.misspelt), model.weights, {}
         self.innocent = model.innocent
 
     def _match(self, word: bytes) -> float:
@@ -182,20 +210,26 @@ class Scorer:
         if not matched:
             return 0.0, len(words)
         lowered, at, mass = text.lower(), 0, 0.0
+        quotations = _quotations(lowered)
+        quotation = next(quotations, None)
         for i, word in enumerate(words):
             at = lowered.find(word, at)
             if word in matched:
-                near = words[max(0, i - WINDOW):i + WINDOW + 1]
-                if AIMED.intersection(near):
-                    context = 1.0
-                elif _quoted(lowered, at, at + len(word)):
-                    context = _QUOTED
-                else:
-                    context = _REPORTED if REPORTING.intersection(near) else 1.0
-                mass += matched[word] * context
+                while quotation and quotation[1] <= at:
+                    quotation = next(quotations, None)
+                mass += matched[word] * self._context(words, i, quotation is not None and quotation[0] <= at)
             at += len(word)
         return mass, len(words)
 
+    @staticmethod
+    def _context(words: list[bytes], i: int, quoted: bool) -> float:
+        if quoted:
+            return _QUOTED
+        if DENYING.intersection(words[max(0, i - _DENIAL):i]):
+            return _DENIED
+        near = words[max(0, i - WINDOW):i + WINDOW + 1]
+        return _REPORTED if REPORTING.intersection(near) and not AIMED.intersection(near) else 1.0
+
     def features(self, text: bytes | None) -> tuple[float, float]:
         mass, words = self.hits(text)
         return math.log1p(mass), math.log1p(100 * mass / max(words, 20))
@@ -206,21 +240,36 @@ class Scorer:
         return 1 / (1 + math.exp(-(bias + by_mass * mass + by_share * share_)))
 
 
-_OPEN = (b'"', "“".encode(), "«".encode(), "„".encode())
-_CLOSE = (b'"', "”".encode(), "»".encode(), "“".encode())
+#: What closes a quotation that a mark opens.
+_CLOSED_BY = {
+    b'"': [b'"'],
+    "“".encode(): ["”".encode()],
+    "«".encode(): ["»".encode()],
+    "„".encode(): ["“".encode(), "”".encode()],
+}
+_MARKS = re.compile(b"|".join([b"\n", *_CLOSED_BY, "”".encode(), "»".encode()]))
+
 
+def _quotations(text: bytes) -> Iterator[tuple[int, int]]:
+    """Quotations in order, each opened and closed on one line; an opening mark within one begins it anew.
 
-def _quoted(text: bytes, start: int, end: int, reach: int = 80) -> bool:
-    """Whether a quotation that opens within reach before the word closes within reach after it, on one line."""
-    before = text[max(0, start - reach):start].rpartition(b"\n")[2]
-    after = text[end:end + reach].partition(b"\n")[0]
-    for opening, closing in zip(_OPEN, _CLOSE, strict=True):
-        if opening == closing:
-            if before.count(opening) % 2 and closing in after:
-                return True
-        elif before.rfind(opening) > before.rfind(closing) and closing in after:
-            return True
-    return False
+    A straight mark opens only before a visible character and not behind one (but a bracket), so
+    marks of inches or seconds open none.
+    """
+    opened, start = b"", 0
+    for found in _MARKS.finditer(text):
+        mark, at = found.group(), found.start()
+        if mark == b"\n":
+            opened = b""
+        elif mark != b'"' and mark in _CLOSED_BY.get(opened, ()):
+            yield start, at
+            opened = b""
+        elif mark == b'"' and not (text[at - 1:at].strip(b" \t\r([{") == b"" and text[at + 1:at + 2].strip()):
+            if opened == mark:
+                yield start, at
+                opened = b""
+        elif mark in _CLOSED_BY:
+            opened, start = mark, found.end()
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -228,10 +277,17 @@ def _sketches(texts):
     """Least 5-word shingle hashes under ``_SKETCHES`` permutations: near copies share most."""
     import pyarrow as pa
 
-    odd = np.arange(1, 2 * _SKETCHES, 2, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    grams = (shingle_hashes(words_of(text), 5) for text in binary_values(texts))
-    return pa.array([(g[:, None] * odd).min(axis=0).view(np.int64) if len(g) else np.zeros(_SKETCHES, np.int64) for g in grams],
-                    pa.list_(pa.int64()))
+    seeds = np.arange(1, _SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def minima(grams: np.ndarray) -> np.ndarray:
+        if not len(grams):
+            return np.zeros(_SKETCHES, np.int64)
+        mixed = grams[:, None] ^ seeds  # mixed twice: small values under one seed say nothing of another
+        for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(factor)
+        return (mixed ^ (mixed >> np.uint64(31))).min(axis=0).view(np.int64)
+
+    return pa.array([minima(shingle_hashes(words_of(text), 5)) for text in binary_values(texts)], pa.list_(pa.int64()))
 
 
 def _terms(labelled: DataFrame) -> DataFrame:
@@ -252,9 +308,9 @@ def _terms(labelled: DataFrame) -> DataFrame:
             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
 
 
-#: Terms kept at most, and the evidence a term needs: with f the share of toxic documents, a term met
-#: ``n`` times must be as good as pure by chance with probability below ``_CHANCE``.
-_TERMS, _CHANCE, _PURITY = 2_000, 1e-7, 20
+#: The evidence a term needs: with f the share of toxic documents, a term met ``n`` times must be as good as
+#: pure by chance with probability below ``_CHANCE``, and ``_PURITY`` times as frequent in toxic documents.
+_CHANCE, _PURITY = 1e-7, 20
 
 
 #: Clean documents that must hold a near word before it can be ordinary.
@@ -284,55 +340,114 @@ def _innocent(terms: DataFrame, model: Model, sizes: tuple[int, int]) -> frozens
     return frozenset(row.term.encode() for row in rows)
 
 
+def _misspelt(labelled: DataFrame, model: Model, sizes: tuple[int, int]) -> dict[str, float]:
+    """What a misspelt hit of a term weighs: its likelihood ratio in labelled documents against that of a sure term.
+
+    Counted are documents with a word one edit from the term that is not exempt.  Each term begins
+    with the ratio ``_PURITY`` of one document, so one without any evidence keeps ``_MISSPELT``.
+    """
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        automaton, known = LexiconAutomaton(model.words, model.stems), {}
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text, toxic in zip(binary_values(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                met = set()
+                for word in set(words_of(text)) - model.innocent:
+                    if len(known) > _KNOWN:
+                        known.clear()
+                    if word not in known:
+                        known[word] = automaton.near(word.decode("utf-8", "replace"))
+                    met.update(known[word])
+                for term in met:
+                    seen.setdefault(term, [0, 0])[0 if toxic else 1] += 1
+            columns = [list(seen), [n for n, _ in seen.values()], [n for _, n in seen.values()]]
+            yield from record_batches(["term", "toxic", "other"], [pa.string(), pa.int64(), pa.int64()], columns)
+
+    toxic, other = sizes
+    if not toxic or not other:
+        return {}
+    # One row per lexicon term.
+    rows = (labelled.select("text", "label").mapInArrow(count, "term string, toxic long, other long")
+            .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).collect())
+    sure = math.log(_PURITY)
+    ratio = {row.term: math.log((row.toxic / toxic + _PURITY / other) / (row.other / other + 1 / other)) for row in rows}
+    return {term: _MISSPELT * min(1.0, max(0.0, value / sure)) for term, value in sorted(ratio.items())}
+
+
 def _lexicon(terms: DataFrame, sizes: tuple[int, int]) -> tuple[list[str], list[str]]:
-    """Words and stems that mark toxic documents, the most general stem that is no less certain."""
+    """Words and stems that mark toxic documents, the most general stem that is no less certain.
+
+    Every term with the evidence is kept: each needs several toxic documents of a bounded sample.
+    """
     toxic, other = sizes
     if not toxic or not other:
         return list(INSULTS), []
     least = math.ceil(math.log(_CHANCE) / math.log(toxic / (toxic + other))) if toxic < other else toxic
     likely = ((F.col("toxic") + 0.5) / toxic) / ((F.col("other") + 0.5) / other)
-    rows = terms.where((F.col("toxic") >= least) & (likely >= _PURITY)).orderBy(
-        F.desc("toxic"), "other", "term").limit(_TERMS).collect()
+    rows = terms.where((F.col("toxic") >= least) & (likely >= _PURITY)).collect()
     support = {row.term: row.toxic for row in rows}
-    words, stems = set(INSULTS), []
+    whole, longer = {}, {}  # by stem: its best word, and the best stem that is one letter longer
+    for term in sorted(support):
+        if term.endswith("*"):
+            longer.setdefault(term[:-2], []).append(term[:-1])
+        else:
+            for n in STEMS:
+                if len(term) >= n and (support[term], term) > whole.get(term[:n], (0, "")):
+                    whole[term[:n]] = (support[term], term)
+    words, stems = set(INSULTS), set()
     for term in sorted((t for t in support if t.endswith("*")), key=lambda t: (len(t), t)):
-        if any(term[:-1].startswith(s) for s in stems):
+        stem = term[:-1]
+        if any(stem[:n] in stems for n in STEMS if n <= len(stem)):
             continue  # a more general stem holds it
-        best = max((t for t in support if not t.endswith("*") and t.startswith(term[:-1])),
-                   key=lambda t: (support[t], t), default=None)
-        if best and support[best] >= 0.9 * support[term]:
-            words.add(best)
+        best, word = whole.get(stem, (0, ""))
+        if word and best >= 0.9 * support[term]:
+            words.add(word)
         else:
-            stems.append(_longest(term[:-1], support))
+            stems.add(_longest(stem, support, longer))
     words.update(t for t in support if not t.endswith("*"))  # those of a stem too, for their misspelt forms
-    return sorted(words), stems
+    return sorted(words), sorted(stems)
 
 
-def _longest(stem: str, support: dict[str, int]) -> str:
+def _longest(stem: str, support: dict[str, int], longer: dict[str, list[str]]) -> str:
     """The longest stem below this one that stands for (nearly) the same documents."""
     while True:
-        further = [t[:-1] for t in support if t.endswith("*") and len(t) == len(stem) + 2 and t.startswith(stem)
-                   and support[t] >= 0.98 * support[stem + "*"]]
+        further = [s for s in longer.get(stem, []) if support[s + "*"] >= 0.98 * support[stem + "*"]]
         if not further:
             return stem
         stem = further[0]
 
 
+def _witnesses(labelled: DataFrame) -> DataFrame:
+    """Rows of which no other of the same label agrees in three of four minima: least ``pick`` of each group.
+
+    Only hashes and minima are compared here; texts join their pick in the end.
+    """
+    left = labelled.select("pick", "label", "sketches")
+    for apart in range(_SKETCHES):
+        three = F.xxhash64(*[F.col("sketches")[one] for one in range(_SKETCHES) if one != apart])
+        left = (left.groupBy(three.alias("three"), "label").agg(F.min(F.struct("pick", "sketches")).alias("kept"))
+                .select("kept.pick", "label", "kept.sketches"))
+    return labelled.join(left.select("pick", "label"), ["pick", "label"], "left_semi").dropDuplicates(["pick", "label"])
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id",
         text_column: str = "text", label_column: str = "toxic") -> Model:
     """Lexicon and curve from at most ``sample`` labelled rows, chosen by hash of their ids."""
     chosen = (labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
               .select(F.col(id_column).cast("long").alias("_doc"), F.col(label_column).cast("int").alias("label"))
-              .dropDuplicates(["_doc"]).orderBy(F.xxhash64("_doc"), "_doc").limit(sample))
+              .groupBy("_doc").agg(F.min("label").alias("label")).orderBy(F.xxhash64("_doc"), "_doc").limit(sample))
     labelled = (documents.select(F.col(id_column).cast("long").alias("_doc"), F.col(text_column).cast("string").alias("text"))
-                .join(F.broadcast(chosen), "_doc").select("text", "label", _sketches("text").alias("sketches")))
-    for one in range(_SKETCHES):  # copies and near copies of one text are one witness
-        labelled = labelled.withColumn("one", F.col("sketches")[one]).dropDuplicates(["one", "label"])
-    labelled = materialise(labelled.select("text", "label"), "labelled")
+                .join(F.broadcast(chosen), "_doc")
+                .select("text", "label", _sketches("text").alias("sketches"), F.xxhash64("_doc", "text").alias("pick")))
+    labelled = _witnesses(materialise(labelled, "labelled"))
+    labelled = materialise(labelled.select("text", "label"), "witnesses")
     terms = materialise(_terms(labelled), "terms")
     sizes = _sizes(labelled)
     model = Model(*_lexicon(terms, sizes))
     model.innocent = _innocent(terms, model, sizes)
+    model.misspelt = _misspelt(labelled, model, sizes)
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
