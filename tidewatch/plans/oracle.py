@@ -271,6 +271,12 @@ for _name in ("vector_search", "vector_search_large_registry"):
 # -- matches and alerts
 for _name in ("match_alerts", "match_alerts_large_registry", "stream_match_alerts"):
     sql(_name, "b_found", "select strategy_id, event_id, score, rank from b_found")
+sql("stream_registry_changes", "b_found b_events b_strategies", """
+with seen as (select * from b_events where vector is not null and octet_length(encode(raw_text)) >= 50),
+m as (select make_timestamp((epoch_us(min(ingested_at)) + epoch_us(max(ingested_at))) // 2) as middle from seen)
+select f.strategy_id, f.event_id, f.score, f.rank
+from b_found f join seen e on e.id = f.event_id join b_strategies s on s.id = f.strategy_id, m
+where e.ingested_at < middle or not (s.seq % 10 = 1 or s.seq % 10 = 2 and f.score < 0.5)""")
 sql("match_alerts_single_precision", "b_pairs", """
 with p as (select *, case when strategy_id::bigint % 3 = 0 then 1.0::double else 0.1::double end as least from b_pairs)
 select * from (

@@ -26,7 +26,7 @@ from tidewatch.session import materialise, read_parts, scratch_path
 from tidewatch.sources import companies, feeds, pages, polls, registry
 from tidewatch.streaming import counters as stored
 from tidewatch.streaming import feeds as live
-from tidewatch.streaming import ingest, matcher, retry
+from tidewatch.streaming import ingest, matcher, registry_stream, retry
 from tidewatch.streaming.job import FAILURE, OUTCOME, EventJob
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -590,6 +590,29 @@ def stream_match_alerts(t):
     return found.select("strategy_id", "event_id", "score", long("rank"))
 
 
+@query
+def stream_registry_changes(t):
+    """Edits arrive beside the events: from the middle of the time on, every tenth strategy is switched
+    off and every tenth asks for more."""
+    landed = materialise(matching.arrivals(t.enriched(), "ingested_at", "vector"), "arrivals")
+    half = F.expr("timestamp_micros((unix_micros(min(ingested_at)) + unix_micros(max(ingested_at))) div 2)")
+    middle = F.lit(landed.agg(half).first()[0])
+    path = scratch_path(t.spark, "arrivals")
+    for part in (F.col("ingested_at") < middle, F.col("ingested_at") >= middle):
+        landed.where(part).repartition(FILES).write.mode("append").parquet(path)
+    registry = t.active()
+    turn = F.col("seq") % 10
+    edited = registry.where(turn.isin(1, 2)).withColumns({
+        "is_active": turn != 1, "similarity_threshold": F.when(turn == 2, 0.5).otherwise(F.col("similarity_threshold"))})
+    feed, changes = scratch_path(t.spark, "edits"), registry_stream.edits(edited, middle)
+    changes.repartition(FILES).write.parquet(feed)  # all in the first micro-batch, in force from their time on
+    found = registry_stream.stream_matches(
+        ingest.read_events(t.spark, path, landed.schema, files_per_trigger=FILES),
+        ingest.read_events(t.spark, feed, changes.schema, files_per_trigger=FILES),
+        registry_stream.edits(registry, F.lit(None).cast("timestamp")), shards=8)
+    return _drain(found, "matches").select("strategy_id", "event_id", "score", long("rank"))
+
+
 @query
 def stream_dedupe_events(t):
     landed = t.with_repeats().drop("vector")

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.scoring import SCORED
 from tidewatch.schemas import SEARCH_LIMIT
+from tidewatch.session import scratch_path
 from tidewatch.streaming.retry import ROCKSDB
 
 EDIT, EVENT = "edit", "event"  # at one instant edits come first
@@ -158,6 +159,10 @@ def stream_matches(arrivals: DataFrame, changes: DataFrame, registry: DataFrame,
         F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("boolean").alias("active"))
     tagged = events.unionByName(changes.select(_shard(shards), "*")).where("at is not null and id is not null")
     seeded = registry.where("id is not null and vector is not null").select(_shard(shards), "*")
+    context = arrivals.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_path(arrivals.sparkSession, "seed"))
+    seeded = seeded.checkpoint()  # a scan of files cannot be sent with the initial state
     return tagged.groupBy("shard").transformWithState(
         statefulProcessor=_Shard(k), outputStructType=f"{SCORED}, rank int", outputMode="Append", timeMode="None",
         initialState=seeded.groupBy("shard"))
