@@ -117,7 +117,7 @@ def search_cells(cells: Cells, interests: DataFrame, k: int = SEARCH_LIMIT) -> F
 
 
 def _passes(cells: Cells, block: scoring.InterestBlock) -> np.ndarray:
-    """strategy x cell: whether some member may pass the strategy's filters.
+    """strategy x cell: whether some member may pass the filters of the strategy's class.
 
     Of the values in the cells only those that the registry names come to the driver.
     """
@@ -131,7 +131,7 @@ def _passes(cells: Cells, block: scoring.InterestBlock) -> np.ndarray:
             for cell, value in inside.select("cell", "value").toLocalIterator():
                 there[by_value[value], cell] = True
         result.append(there)
-    return result[0] & result[1]
+    return (result[0] & result[1])[block.classes]
 
 
 def _nearest(best: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -149,16 +149,16 @@ def _scored(cells: Cells, block: scoring.InterestBlock, asked: np.ndarray, k: in
     wanted = [int(cell) for cell in np.flatnonzero(asked.any(axis=0))]
     shared = share(spark, (block, asked))
 
+    def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.sort_by("cell")
+            edges = [0, *(np.flatnonzero(np.diff(batch["cell"].to_numpy())) + 1).tolist(), batch.num_rows]
+            yield from (batch.slice(start, end - start) for start, end in zip(edges, edges[1:]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, asked = shared.value
-        best = scoring._Best(len(block.thresholds), k)
-        for batch in scoring._batches(batches):
-            cell = batch["cell"].to_numpy()
-            for rows, scores in scoring._block_scores(block, batch, None):
-                scores = np.where(asked[:, cell[rows]], scores, -np.inf)
-                best.add(scores)
-                strategy, row = np.nonzero((scores >= best.cut()) & (scores > -np.inf))
-                yield scoring._emit(block, batch.select(["point_id"]), row + rows.start, scores[strategy, row], strategy)
+        return scoring._corpus_scores(block, scoring._parts(by_cell(batches)), k,
+                                      lambda part: (asked[:, part.rows["cell"][0].as_py()], None))
 
     opened = cells.points.where(F.col("cell").isin(wanted)) if wanted else cells.points.limit(0)
     return opened.select("point_id", "source", "tickers", "vector", "cell").mapInArrow(run, scoring.FOUND)
