@@ -66,3 +66,33 @@ def test_edits_take_effect_at_their_time(spark, tmp_path, shards):
     got = {(r.strategy_id, r.event_id, r["rank"]) for r in rows}
     assert got == brute(events, changes, registry, 5) and len(got) == len(rows) > 40
     assert {"s1", "s4", "n0"} <= {s for s, _, _ in got}
+
+
+def test_only_what_may_rank_is_ranked_and_repeats_replace_themselves(monkeypatch):
+    """Against a walk over every pair; most pairs never reach the walk of the matcher."""
+    g = random.Random(7)
+    vector = lambda: np.array([g.uniform(-1, 1) for _ in range(6)], np.float32)
+    events = [registry_stream._Event(T0 + dt.timedelta(seconds=i), "event", f"e{i if i % 40 else i // 2}", g.choice(["a", None]), g.choice([("X",), ()]), vector())
+              for i in range(1200)]
+    fresh = lambda: {f"s{i}": registry_stream._Strategy([[], ["a"]][i % 2], [None, ["X"]][i % 3 == 0], list(vectors[i]), 0.3, i % 5 != 0)
+                     for i in range(20)}
+    vectors = [vector() for _ in range(20)]
+    unit = lambda v: np.asarray(v, float) / np.sqrt(np.asarray(v, float) @ np.asarray(v, float))
+    expected, calls = set(), []
+    walked = fresh()
+    for name, s in walked.items():
+        for e in events:
+            if s.sources and e.source not in s.sources or s.tickers and not set(e.tickers) & set(s.tickers):
+                continue
+            calls.append(name)
+            score = round(float(unit(e.vector) @ unit(s.vector)), 6)
+            rank = s.rank(score, e.id, 10)
+            if rank is not None and s.active and score >= s.threshold:
+                expected.add((name, e.id, e.at, score, rank))
+    pairs, whole = len(calls), registry_stream._Strategy.rank
+    calls.clear()
+    monkeypatch.setattr(registry_stream._Strategy, "rank", lambda *a: calls.append(1) or whole(*a))
+    mine, shard = fresh(), registry_stream._Shard(10)
+    got = {tuple(row) for row in shard._match(mine, events, set())}
+    assert got == expected and {n: s.best for n, s in mine.items()} == {n: s.best for n, s in walked.items()}
+    assert len(calls) < pairs / 3 and len(got) > 200

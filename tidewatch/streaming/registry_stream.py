@@ -9,19 +9,23 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
+from datetime import datetime
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.operators.scoring import SCORED
+from tidewatch.operators.scoring import SCORED, TILE_ROWS, InterestBlock, _Best, _block_of, _part_of, _reaching
 from tidewatch.schemas import SEARCH_LIMIT
 from tidewatch.session import scratch_path
 from tidewatch.streaming.retry import ROCKSDB
 
 EDIT, EVENT = "edit", "event"  # at one instant edits come first
+RUN = 8192  # events scored at once
 _STRATEGY = T.StructType([
     T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("tickers", T.ArrayType(T.StringType())),
     T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("threshold", T.DoubleType()),
@@ -31,23 +35,12 @@ _ID = T.StructType([T.StructField("strategy_id", T.StringType())])
 _MATCH = Row("strategy_id", "event_id", "ingested_at", "score", "rank")
 
 
-def _unit(vector) -> np.ndarray:
-    made = np.asarray(vector, float)
-    length = np.sqrt(made @ made)
-    return made / length if length else made
-
-
 class _Strategy:
     def __init__(self, sources, tickers, vector, threshold, active, scores=(), events=()) -> None:
         self.sources, self.tickers, self.vector = sources or [], tickers or [], vector
         self.threshold, self.active = threshold or 0.0, bool(active)
         self.best = list(zip(scores or (), events or (), strict=True))
 
-    def wants(self, source: str | None, tickers: list | None) -> bool:
-        held = {t for t in tickers or () if t is not None}
-        return (not self.sources or source is not None and source in self.sources) and (
-            not self.tickers or not held.isdisjoint(self.tickers))
-
     def row(self) -> tuple:
         return (self.sources, self.tickers, self.vector, self.threshold, self.active,
                 [score for score, _ in self.best], [event for _, event in self.best])
@@ -63,6 +56,34 @@ class _Strategy:
         return above + 1
 
 
+class _Event(NamedTuple):
+    at: datetime
+    kind: str
+    id: str
+    source: str | None
+    tickers: tuple
+    vector: np.ndarray | None
+
+
+def _listed(vectors: list) -> pa.ListArray:
+    flat = np.concatenate([np.asarray(v, np.float64) for v in vectors])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * (len(flat) // len(vectors)), pa.int32()), pa.array(flat))
+
+
+def _block(rows: list[tuple]) -> InterestBlock:
+    names, sources, tickers, vectors = zip(*rows)
+    lists = pa.list_(pa.string())
+    return _block_of(pa.table({
+        "strategy_id": pa.array(names, pa.string()), "wanted_sources": pa.array(sources, lists), "wanted_tickers": pa.array(tickers, lists),
+        "threshold": np.full(len(names), -np.inf), "query_vector": _listed(vectors)}))
+
+
+def _keep(best: _Best, place: int, strategy: _Strategy) -> None:
+    """What the strategy keeps is what counts from here on."""
+    scores = [score for score, _ in strategy.best][-best.k:]
+    best.top[place] = [*[-np.inf] * (best.k - len(scores)), *scores]
+
+
 class _Shard(StatefulProcessor):
     def __init__(self, k: int) -> None:
         self.k = k
@@ -74,6 +95,8 @@ class _Shard(StatefulProcessor):
         self.kept.updateValue((initialState.id,), _edited(None, initialState).row())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = (_Event(r.at, r.kind, r.id, r.sources and r.sources[0], tuple(r.tickers or ()),
+                       r.vector if r.vector is None else np.array(r.vector, np.float32)) if r.kind == EVENT else r for r in rows)
         strategies = {name[0]: _Strategy(*value) for name, value in self.kept.iterator()}
         touched, run = set(), []
         for row in [*sorted(rows, key=lambda r: (r.at, r.kind, r.id)), None]:
@@ -94,25 +117,54 @@ class _Shard(StatefulProcessor):
             elif self.kept.containsKey((name,)):
                 self.kept.removeKey((name,))
 
-    def _match(self, strategies: dict[str, _Strategy], events: list, touched: set) -> Iterator[Row]:
-        """Events between two edits: one matrix per vector length, then what may still rank."""
+    def _match(self, strategies: dict[str, _Strategy], events: list[_Event], touched: set) -> Iterator[Row]:
+        """Events between two edits: matrix products per vector length, then what may still rank.
+
+        An event that is delivered again may lower what its strategies keep, so it goes alone.
+        """
         for length in sorted({len(e.vector) for e in events if e.vector is not None}):
             mine = sorted((name, s) for name, s in strategies.items() if len(s.vector) == length)
             if not mine:
                 continue
-            matrix, wanted = np.array([_unit(s.vector) for _, s in mine]), {}
-            for event in (e for e in events if e.vector is not None and len(e.vector) == length):
-                kind = event.sources and event.sources[0], tuple(event.tickers or ())
-                if kind not in wanted:
-                    wanted[kind] = [i for i, (_, s) in enumerate(mine) if s.wants(*kind)]
-                scores = np.round(matrix @ _unit(event.vector), 6).tolist()
-                for i in wanted[kind]:
-                    name, strategy = mine[i]
-                    rank = strategy.rank(scores[i], event.id, self.k)
-                    if rank is not None:
-                        touched.add(name)
-                        if strategy.active and scores[i] >= strategy.threshold:
-                            yield _MATCH(name, event.id, event.at, scores[i], rank)
+            named = dict(mine)
+            block = _block([(name, s.sources, s.tickers, s.vector) for name, s in mine])
+            ids = block.ids.to_pylist()
+            best = _Best(np.full(len(ids), -np.inf), self.k)
+            best.seen = 0 if any(len(s.best) < self.k for s in named.values()) else TILE_ROWS
+            for i, name in enumerate(ids):
+                _keep(best, i, named[name])
+            met, run = {event for s in named.values() for _, event in s.best}, []
+            for event in [*(e for e in events if e.vector is not None and len(e.vector) == length), None]:
+                again = event is not None and event.id in met
+                if event is not None and not again:
+                    met.add(event.id)
+                    run.append(event)
+                    if len(run) < RUN:
+                        continue
+                if run:
+                    yield from self._rank(block, ids, named, best, run, touched)
+                run = []
+                if again:
+                    for i, name in enumerate(ids):
+                        if any(kept == event.id for _, kept in named[name].best):
+                            best.top[i] = -np.inf  # whatever it scores now, it is ranked
+                    yield from self._rank(block, ids, named, best, [event], touched)
+                    for i in np.flatnonzero(best.top[:, 0] == -np.inf):
+                        _keep(best, i, named[ids[i]])
+
+    def _rank(self, block: InterestBlock, ids: list[str], named: dict[str, _Strategy], best: _Best,
+              events: list[_Event], touched: set) -> Iterator[Row]:
+        part = _part_of(pa.table({
+            "source": pa.array([e.source for e in events], pa.string()),
+            "tickers": pa.array([list(e.tickers) for e in events], pa.list_(pa.string())), "vector": _listed([e.vector for e in events])}))
+        for strategy, row, scores in _reaching(block, part, best):
+            for i, at, score in zip(strategy.tolist(), row.tolist(), scores.tolist()):
+                event, kept = events[at], named[ids[i]]
+                rank = kept.rank(score, event.id, self.k)
+                if rank is not None:
+                    touched.add(ids[i])
+                    if kept.active and score >= kept.threshold:
+                        yield _MATCH(ids[i], event.id, event.at, score, rank)
 
     def close(self) -> None:
         pass
