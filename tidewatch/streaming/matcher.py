@@ -5,6 +5,8 @@ from __future__ import annotations
 from bisect import insort
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,19 +28,29 @@ class _RankAtArrival(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         best = list(zip(*self.best.get())) if self.best.exists() else []
-        for row in sorted(rows, key=lambda r: (r.ingested_at, r.event_id)):
-            best = [kept for kept in best if kept[1] != row.event_id]  # delivered again: it replaces itself
-            above = sum(score > row.score for score, _ in best)
+        for at, event, new in sorted(found for row in rows for found in zip(row.times, row.events, row.scores)):
+            best = [kept for kept in best if kept[1] != event]  # delivered again: it replaces itself
+            above = sum(score > new for score, _ in best)
             if above < self.k:
-                insort(best, (row.score, row.event_id))
+                insort(best, (new, event))
                 best = best[-self.k:]
-                yield _MATCH(row.strategy_id, row.event_id, row.ingested_at, row.score, above + 1)
+                yield _MATCH(key[0], event, at, new, above + 1)
         self.best.update(([score for score, _ in best], [event for _, event in best]))
 
     def close(self) -> None:
         pass
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of a strategy as one, since a state takes its rows one by one."""
+    for batch in batches:
+        if batch.num_rows:
+            runs = pc.run_end_encode(batch["strategy_id"])
+            offsets = pa.array([0, *runs.run_ends.to_pylist()], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, batch[name]) for name in ("event_id", "ingested_at", "score")]
+            yield pa.RecordBatch.from_arrays([runs.values, *lists], ["strategy_id", "events", "times", "scores"])
+
+
 def stream_matches(arrivals: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT) -> DataFrame:
     """(strategy_id, event_id, ingested_at, score, rank) of a stream of arrivals.
 
@@ -52,7 +64,9 @@ def stream_matches(arrivals: DataFrame, interests: DataFrame, k: int = SEARCH_LI
     """
     spark = arrivals.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    return score_arrivals(arrivals, interests, k).groupBy("strategy_id").transformWithState(
+    scored = score_arrivals(arrivals, interests, k).mapInArrow(
+        _packed, "strategy_id string, events array<string>, times array<timestamp>, scores array<double>")
+    return scored.groupBy("strategy_id").transformWithState(
         statefulProcessor=_RankAtArrival(k),
         outputStructType=f"{SCORED}, rank int",
         outputMode="Append",
