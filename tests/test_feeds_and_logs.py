@@ -232,6 +232,35 @@ def test_cells_are_skipped_only_when_a_bound_proves_it(spark):
     assert cells.search_cells(cells.build_cells(p.limit(0)), w).hits.count() == 0
 
 
+def test_cells_are_scored_once_and_hand_on_what_reaches_the_known_scores(spark, monkeypatch):
+    generator = np.random.default_rng(6)
+    points = [(f"p{n:03}", "s", [], v.tolist()) for n, v in enumerate(generator.normal(size=(600, 8)))]
+    wanted = [(f"q{n:02}", None, None, 0.0, v.tolist()) for n, v in enumerate(generator.normal(size=(20, 8)))]
+    p, w = spark.createDataFrame(points, POINTS), spark.createDataFrame(wanted, WANTED)
+    passes, real = [], cells._scored
+    monkeypatch.setattr(cells, "_scored", lambda c, block, asked, *rest: passes.append((asked, real(c, block, asked, *rest))) or passes[-1][1])
+    hits = cells.search_cells(cells.build_cells(p, cells=12), w, k=5).hits
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, ranking.vector_search(p, w, 5).select(*hits.columns).collect()))
+    (near, first), (rest, second) = passes
+    assert rest.any() and not (near & rest).any()
+    least = {r.strategy_id: r.score for r in ranking.top_points(first, 5).where("rank = 5").collect()}
+    found = second.collect()
+    assert found and all(r.score >= least[r.strategy_id] for r in found) and len(found) < 20 * 5 * 11
+
+
+def test_the_vectors_of_a_corpus_are_computed_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"p{n:02}", "s", [], [1.0, float(n)]) for n in range(40)], POINTS)
+    cells.build_cells(rows.mapInArrow(count, POINTS), cells=2)
+    assert computed.value == 40
+
+
 def test_counters_overwrite_what_ran_before(spark, tmp_path):
     store = counters.CounterStore(spark, str(tmp_path / "c"))
     store.put("q", 0, {"events_ingested": 5})

@@ -96,3 +96,21 @@ def test_neighbouring_rows_of_a_strategy_are_packed():
     packed = next(matcher._packed(iter([batch])))
     assert packed["strategy_id"].to_pylist() == ["a", "b", "a"] and packed["events"].to_pylist() == [["1", "2"], ["1"], ["3"]]
     assert packed["scores"].to_pylist() == [[0.0, 1.0], [2.0], [3.0]]
+
+
+def test_a_floor_and_vectors_that_are_not_numbers():
+    g = np.random.default_rng(3)
+    vectors = g.normal(size=(300, 6))
+    vectors[::50, 0] = np.nan
+    points = pa.table({"point_id": [f"p{n:03}" for n in range(300)], "source": ["x"] * 300, "tickers": pa.array([[]] * 300, pa.list_(pa.string())), "vector": vectors.tolist()})
+    table = pa.table({"strategy_id": [f"s{n}" for n in range(12)], "wanted_sources": pa.array([None] * 12, pa.list_(pa.string())),
+                      "wanted_tickers": pa.array([None] * 12, pa.list_(pa.string())), "threshold": [0.0] * 12, "query_vector": g.normal(size=(12, 6)).tolist()})
+    block, scores = scoring._block_of(table), {}
+    for number, strategy in enumerate(block.ids.to_pylist()):
+        exact = scoring._round6(block.units[number] @ scoring._unit_rows(vectors).T)
+        scores[strategy] = sorted((x for x in exact if x == x), reverse=True)
+    floor = np.array([scores[s][4] for s in block.ids.to_pylist()])
+    batches = points.to_batches(max_chunksize=100)
+    found = pa.Table.from_batches(scoring._corpus_scores(block, scoring._parts(batches), 10, floor=floor)).to_pylist()
+    assert {s: sorted((r["score"] for r in found if r["strategy_id"] == s), reverse=True) for s in scores} == {s: x[:5] for s, x in scores.items()}
+    assert not {r["point_id"] for r in found} & {f"p{n:03}" for n in range(0, 300, 50)}

@@ -7,7 +7,8 @@ angle between query and center less the radius, so a cell whose best possible co
 strategy's k-th best score so far holds nothing for that strategy.
 
 Two passes read the corpus: the first the nearest cells of every strategy, until they hold k
-points, which gives a score to beat; the second the cells that may still beat it.  A cell is read
+points, which gives a score to beat; the second the other cells that may still beat it, and of those
+it hands on only what reaches that score.  A cell is read
 only for the strategies that ask for it, and not at all if none does.  Centers come from a bounded
 sample, which decides how much is skipped, never what is found.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import scoring
-from tidewatch.operators.ranking import best_scores, top_points
+from tidewatch.operators.ranking import top_points
 from tidewatch.schemas import SEARCH_LIMIT
 from tidewatch.session import materialise, scratch_path, share
 
@@ -54,10 +55,11 @@ def build_cells(points: DataFrame, cells: int = 64, seed: int = 11, sample: int
     Vectors of another length than most take no part, as in every search.
     """
     spark = points.sparkSession
-    usual = points.where("vector is not null").groupBy(F.size("vector").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
+    there = materialise(points.where("vector is not null").select("point_id", "source", "tickers", "vector"), "points")
+    usual = there.groupBy(F.size("vector").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
     if usual is None:
         return Cells(points.limit(0).withColumn("cell", F.lit(0)), np.zeros((0, 0)), np.zeros(0), np.zeros(0, int))
-    usable = materialise(points.where(F.size("vector") == usual.dim).select("point_id", "source", "tickers", "vector"), "points")
+    usable = there.where(F.size("vector") == usual.dim)
     chosen = usable.orderBy(F.xxhash64("point_id")).limit(sample).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     norm = F.aggregate(F.col("vector"), F.lit(0.0), lambda total, x: total + x * x)
     nonzero = chosen if usable.where(norm == 0).isEmpty() else usable.where(norm > 0).orderBy(F.xxhash64("point_id")).limit(sample).select(
@@ -104,14 +106,14 @@ def search_cells(cells: Cells, interests: DataFrame, k: int = SEARCH_LIMIT) -> F
     best[np.ix_(silent, cells.sizes > 0)] = SLACK
     best[~_passes(cells, block)] = -np.inf
     near = _nearest(best, cells.sizes, k)
-    first = materialise(best_scores(_scored(cells, block, near, k), k, "strategy_id"), "near-cells")
+    first = materialise(top_points(_scored(cells, block, near, k), k).drop("rank"), "near-cells")
     floor = np.full(len(block.thresholds), -np.inf)
     place = {name: number for number, name in enumerate(block.ids.to_pylist())}
     full = first.groupBy("strategy_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
     for row in full.toLocalIterator():  # at most one row per strategy of the block
         floor[place[row.strategy_id]] = row.least
     rest = (best >= floor[:, None]) & ~near & np.isfinite(best)
-    scored = _scored(cells, block, near | rest, k)
+    scored = first.unionByName(_scored(cells, block, rest, k, floor))
     asked = near | rest
     return Found(top_points(scored, k), int(asked.sum()), len(block.thresholds) * int((cells.sizes > 0).sum()), int(asked.any(axis=0).sum()))
 
@@ -143,11 +145,12 @@ def _nearest(best: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     return asked & np.isfinite(best)
 
 
-def _scored(cells: Cells, block: scoring.InterestBlock, asked: np.ndarray, k: int) -> DataFrame:
-    """(strategy_id, point_id, score) of the asked (strategy, cell) pairs, at least the k best of each task."""
+def _scored(cells: Cells, block: scoring.InterestBlock, asked: np.ndarray, k: int, floor: np.ndarray | None = None) -> DataFrame:
+    """(strategy_id, point_id, score) of the asked (strategy, cell) pairs: at least the k best of each task
+    that reach the strategy's ``floor``."""
     spark = cells.points.sparkSession
     wanted = [int(cell) for cell in np.flatnonzero(asked.any(axis=0))]
-    shared = share(spark, (block, asked))
+    shared = share(spark, (block, asked, floor))
 
     def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,9 +159,9 @@ def _scored(cells: Cells, block: scoring.InterestBlock, asked: np.ndarray, k: in
             yield from (batch.slice(start, end - start) for start, end in zip(edges, edges[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, asked = shared.value
+        block, asked, floor = shared.value
         return scoring._corpus_scores(block, scoring._parts(by_cell(batches)), k,
-                                      lambda part: (asked[:, part.rows["cell"][0].as_py()], None))
+                                      lambda part: (asked[:, part.rows["cell"][0].as_py()], None), floor)
 
     opened = cells.points.where(F.col("cell").isin(wanted)) if wanted else cells.points.limit(0)
     return opened.select("point_id", "source", "tickers", "vector", "cell").mapInArrow(run, scoring.FOUND)
