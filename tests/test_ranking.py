@@ -181,3 +181,11 @@ def test_lsh_search_recall(spark):
     key = lambda df: {(r.strategy_id, r.point_id, r.score) for r in df.collect()}
     exact, near = key(ranking.vector_search(points, i)), key(ranking.vector_search(points, i, method="lsh"))
     assert len(near) == len(exact) and len(near & exact) / len(exact) > 0.8
+
+
+def test_candidates_are_not_shuffled_again_to_meet_earlier_scores(spark):
+    rows = [(f"s{i % 3}", f"e{i:04d}", T0 + dt.timedelta(seconds=i), (i * 37 % 100) / 100) for i in range(600)]
+    found = ranking.rank_at_arrival(spark.createDataFrame(rows, SCORED), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Window" not in plan
+    assert ranked(found) == brute_rank(rows, 5)
