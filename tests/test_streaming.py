@@ -212,6 +212,15 @@ def test_the_job_folds_its_points_and_finds_the_same(spark, tmp_path):
     assert logs == [60, 60]
 
 
+def test_the_job_sorts_out_the_best_before_it_names_points(spark, tmp_path, monkeypatch):
+    asked, real = [], ranking.best_scores
+    monkeypatch.setattr(ranking, "best_scores", lambda scored, k, *keys: asked.append(keys) or real(scored, k, *keys))
+    events, vectors = make(60)
+    run_job(spark, str(tmp_path), events, vectors, [registry()] * 2)
+    assert asked == [("strategy_id",), ("strategy_id", "definition")] * 2
+    assert job_alerts(spark, str(tmp_path)) == batch_alerts(spark, events, vectors, registry())
+
+
 def test_registry_changes_take_effect_on_the_next_batch(spark, tmp_path):
     """New, edited and re-activated strategies rank against the whole corpus so far."""
     events, vectors = make(60)
