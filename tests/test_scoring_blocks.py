@@ -114,3 +114,26 @@ def test_a_floor_and_vectors_that_are_not_numbers():
     found = pa.Table.from_batches(scoring._corpus_scores(block, scoring._parts(batches), 10, floor=floor)).to_pylist()
     assert {s: sorted((r["score"] for r in found if r["strategy_id"] == s), reverse=True) for s in scores} == {s: x[:5] for s, x in scores.items()}
     assert not {r["point_id"] for r in found} & {f"p{n:03}" for n in range(0, 300, 50)}
+
+
+def test_vectors_are_packed_before_they_are_copied(spark, monkeypatch):
+    """Packs keep all rows and the order of arrival; vectors that need no order are not copied to every task."""
+    rows, wanted = made(400, 40)
+    e, i = spark.createDataFrame(rows, EVENTS), spark.createDataFrame(wanted, INTERESTS)
+    packs = scoring._packed(e, ("ingested_at", "event_id")).orderBy("_range", "_pack").toArrow()
+    back = pa.Table.from_batches(scoring._unpacked(packs.to_batches()))
+    assert back["event_id"].to_pylist() == [r[0] for r in sorted(rows, key=lambda r: (r[3], r[0]))]
+    assert len(packs) <= 4  # a task's rows fit in one
+    monkeypatch.setattr(scoring, "PACK_BYTES", 2000)
+    cut = list(scoring._sized(back.to_batches()))
+    assert 5 < len(cut) < 60 and pa.Table.from_batches(cut).equals(back)
+    assert [scoring._parts_for(*x) for x in [(1, 1), (8, 1), (12, 1), (12, 3), (12, 5), (12, 12)]] == [1, 2, 3, 3, 2, 1]
+    monkeypatch.setattr(scoring, "SHIPPED_BYTES", 0)
+    copies = []
+    plain = scoring._copies
+    monkeypatch.setattr(scoring, "_copies", lambda into: copies.append(into) or plain(into))
+    points = e.withColumnRenamed("event_id", "point_id")
+    found = sorted(map(tuple, ranking.vector_search(points, i).collect()))
+    assert copies == [2, 2] and spark.sparkContext.defaultParallelism == 4
+    monkeypatch.undo()
+    assert found == sorted(map(tuple, ranking.vector_search(points, i).collect())) and len(found) > 100
