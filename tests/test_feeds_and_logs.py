@@ -57,6 +57,23 @@ def test_polls_follow_the_last_seen_id(spark, tmp_path):
     assert drain(spark, root, other, str(tmp_path / "p2"), source="news") == sorted([r for r in first + more if r[0] == "news"], key=repr)
 
 
+def test_a_poll_is_walked_over_once_per_offset(tmp_path, monkeypatch):
+    """By a restarted reader too; walks are forgotten when their offset is committed."""
+    root = str(tmp_path / "polls")
+    land(root, "news", 0, ["3", "2", "1"])
+    land(root, "news", 1, ["5", "4", "3"])
+    opened, lines = [], polls._lines
+    monkeypatch.setattr(polls, "_lines", lambda system, path: opened.append(path) or lines(system, path))
+    reader = polls._PollReader({"path": root})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    once = reader.partitions(start, end)
+    assert len(opened) == 4 and [s.rows for s in once] == [2, 1, 2]
+    reader.commit(end)
+    assert not reader.walked
+    again = polls._PollReader({"path": root})
+    assert again.partitions(start, end) == once and again.partitions(start, end) == once and len(opened) == 8
+
+
 def test_pollers_hand_events_to_the_landing(spark, tmp_path):
     root, landing, progress = (str(tmp_path / name) for name in ("polls", "events", "progress"))
     item = {"id": "n1", "tickers": ["X"], "title": "T", "article_url": "http://a", "published_utc": "2024-01-02T03:04:05Z"}

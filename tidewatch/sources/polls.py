@@ -89,6 +89,7 @@ class _PollReader(DataSourceStreamReader):
         self.cursor, self.only = options.get("cursor"), options.get("source")
         self.polls_per_batch = int(options.get("pollsperbatch", 0))
         self.at: dict | None = None
+        self.walked: dict[tuple[str, int, str], _Walk] = {}  # until their offset is committed
 
     def initialOffset(self) -> dict:
         return {"cursors": {}}
@@ -133,6 +134,8 @@ class _PollReader(DataSourceStreamReader):
             yield partition.source, partition.poll, partition.first + place, _item_id(line, self.key), line, None
 
     def commit(self, end: dict) -> None:
+        upto = {source: at["poll"] for source, at in end["cursors"].items()}
+        self.walked = {key: walk for key, walk in self.walked.items() if key[1] > upto.get(key[0], -1)}
         if self.cursor:
             system, path = _file_system(self.cursor)
             system.create_dir(posixpath.dirname(path), recursive=True)
@@ -161,7 +164,13 @@ class _PollReader(DataSourceStreamReader):
         return found
 
     def _walk(self, system, root: str, source: str, poll: int, last_id: str) -> _Walk:
-        """What is new of one poll."""
+        """What is new of one poll; the walk that found an offset also serves its partitions."""
+        key = source, poll, last_id
+        if key not in self.walked:
+            self.walked[key] = self._walk_over(system, root, source, poll, last_id)
+        return self.walked[key]
+
+    def _walk_over(self, system, root: str, source: str, poll: int, last_id: str) -> _Walk:
         folder, slices, newest, count = f"{root}/{source}/{poll}", [], None, 0
         for name in _children(system, folder):
             rows, met = 0, False
