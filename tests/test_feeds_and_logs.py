@@ -121,6 +121,31 @@ def test_retries_come_due_without_further_events(spark, tmp_path):
     assert found["ok"].waited_ms == 0 and found["twice"].waited_ms >= 300 and found["never"].waited_ms >= 600
 
 
+def test_waiting_events_of_a_shard_are_one_state(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(f"e{n}", str(n % 5)) for n in range(200)]
+    spark.createDataFrame(rows + rows[:50], "id string, body string").write.parquet(path)
+
+    def attempt(key, body, tries):
+        if tries < int(body):
+            raise OSError("not yet")
+        return f"{key} {tries}"
+
+    quick = {"max_retries": 3, "base_ms": 200, "max_ms": 1_000, "multiplier": 2.0}
+    arriving = ingest.read_events(spark, path, spark.read.parquet(path).schema)
+    run = (retry.with_retries(arriving, attempt, quick, shards=4).writeStream.format("parquet")
+           .option("checkpointLocation", str(tmp_path / "p")).trigger(processingTime="200 milliseconds").start(out))
+    deadline, found = time.time() + 90, []
+    while time.time() < deadline and len(found) < 200:
+        time.sleep(0.5)
+        found = spark.read.schema(retry.OUTCOME).parquet(out).collect() if os.path.exists(out) else []
+    states = [state["numRowsTotal"] for progress in run.recentProgress for state in progress["stateOperators"]]
+    run.stop()
+    assert sorted((r.id, r.outcome, r.tries, r.value) for r in found) == sorted(
+        (name, "exhausted", 4, None) if body == "4" else (name, "done", int(body) + 1, f"{name} {body}") for name, body in rows)
+    assert 0 < max(states) <= 40  # 4 shards with their timers, not 160 events
+
+
 def test_delays_grow_to_a_limit():
     config = {"max_retries": 3, "base_ms": 100, "max_ms": 150, "multiplier": 10.0}
     assert [retry.delay_ms(n, config, 1.0) for n in (1, 2, 3)] == [100, 150, 150]
