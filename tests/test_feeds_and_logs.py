@@ -2,17 +2,20 @@
 
 import json
 import os
+import random
 import time
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators import cells, changes, embedding, matching, partlog, predicate_index, ranking
 from tidewatch.sources import feeds as producers
 from tidewatch.sources import polls
-from tidewatch.streaming import counters, ingest, retry
+from tidewatch.streaming import counters, ingest, ordered, retry
 from tidewatch.streaming import feeds as live
 
 
@@ -172,6 +175,51 @@ def test_live_feed_keeps_a_bounded_buffer_between_batches(spark, tmp_path):
                    ("u", "dropped", 1, "d"), ("u", "dropped", 2, "e"), ("u", "dropped", 3, "h")]
 
 
+class Held:
+    """A state variable outside of Spark."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_users_rows_are_sorted_and_handed_on_in_pieces(monkeypatch):
+    monkeypatch.setattr(live, "HELD_BYTES", 20_000)
+    monkeypatch.setattr(live, "_FRAME_BYTES", 30_000)
+    rng = random.Random(4)
+    rows = [(rng.randrange(50), "alert", f"a{i}", f"p{i}" * 10, 0) for i in range(3000)] + [(60, "take", None, None, 2), (70, "alert", "last", None, 0)]
+    rng.shuffle(rows)
+    buffer = live._Buffer(3)
+    buffer.pending, buffer.counts = Held(), Held()
+    frames = (pd.DataFrame(rows[i:i + 500], columns=["at", "kind", "id", "payload", "n"]) for i in range(0, len(rows), 500))
+    found = buffer.handleInputRows(("u",), frames, None)
+    pieces = [len(frame) for frame in found]
+    assert sum(pieces) == 2999 and max(pieces) < 100
+    order = [r[2:4] for r in sorted(rows, key=lambda r: (r[0], r[1], r[2] or "")) if r[1] == "alert"]
+    assert buffer.pending.value == [order[2], order[-1]] and buffer.counts.value == (2, 2997)
+
+
+@pytest.mark.parametrize("held_bytes", [1, 40, 10 ** 6])
+def test_rows_are_merged_from_sorted_runs(held_bytes, monkeypatch):
+    monkeypatch.setattr(ordered, "PIECE_BYTES", 15)
+    rng = random.Random(held_bytes)
+    rows = [(rng.randrange(6), i) for i in range(200)]
+    assert list(ordered.in_order(iter(rows), lambda r: r[0], lambda r: 4, held_bytes)) == sorted(rows)
+
+
 # -- logs of parts ----------------------------------------------------------------------
 
 ROW = T.StructType([T.StructField("owner", T.StringType()), T.StructField("value", T.LongType())])
