@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,62 @@ def test_only_what_may_rank_is_ranked_and_repeats_replace_themselves(monkeypatch
     got = {tuple(row) for row in shard._match(mine, events, set())}
     assert got == expected and {n: s.best for n, s in mine.items()} == {n: s.best for n, s in walked.items()}
     assert len(calls) < pairs / 3 and len(got) > 200
+
+
+class Kept:
+    """State variables outside of Spark."""
+
+    def __init__(self):
+        self.values = {}
+
+    def exists(self):
+        return bool(self.values)
+
+    def update(self, value):
+        self.values["value"] = value
+
+    def iterator(self):
+        return iter(list(self.values.items()))
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+
+    def containsKey(self, key):
+        return key in self.values
+
+    def removeKey(self, key):
+        del self.values[key]
+
+
+def test_a_shard_holds_a_run_of_events_and_hands_on_pieces(monkeypatch):
+    """Rows of a micro-batch in any order, far more than are held; the registry counts when a shard begins."""
+    monkeypatch.setattr(registry_stream, "RUN", 16)
+    monkeypatch.setattr(registry_stream, "HELD_BYTES", 20_000)
+    longest, whole = [], registry_stream._Shard._match
+    monkeypatch.setattr(registry_stream._Shard, "_match", lambda self, strategies, events, *a: longest.append(len(events)) or whole(self, strategies, events, *a))
+    g = random.Random(5)
+    vector = lambda: np.array([g.uniform(-1, 1) for _ in range(6)], np.float32)
+    columns = ["at", "kind", "id", "sources", "tickers", "vector", "threshold", "active"]
+    seeds = [(registry_stream._BEGINNING, "seed", f"s{i}", [[], ["a"], None][i % 3], [], vector(), 0.2, True) for i in range(6)]
+    events = [(i, "event", f"e{i % 350}", [g.choice(["a", None])], None, vector(), 0.0, False) for i in range(400)]
+    shard = registry_stream._Shard(10)
+    shard.kept, shard.seeded = Kept(), Kept()
+
+    def handled(rows):
+        g.shuffle(rows)
+        return list(shard.handleInputRows((0,), (pd.DataFrame(rows[i:i + 90], columns=columns) for i in range(0, len(rows), 90)), None))
+
+    frames = handled([*seeds, *events])
+    assert max(longest) <= 16 and max(map(len, frames)) <= 16 < sum(map(len, frames))
+    walked = {s[2]: registry_stream._Strategy(s[3], s[4], s[5], s[6], s[7]) for s in seeds}
+    run = [registry_stream._Event(at, "event", name, sources[0], (), v) for at, _, name, sources, _, v, _, _ in sorted(events, key=lambda e: e[0])]
+    expected = {tuple(row) for row in whole(shard, walked, run, set())}
+    assert {tuple(row) for frame in frames for row in frame.itertuples(index=False)} == expected and len(expected) > 100
+    again = handled([(*seeds[0][:5], vector(), 0.2, True), (500, "event", "f", ["a"], None, walked["s1"].vector, 0.0, False)])
+    assert ("s1", "f", 1.0) in {(r.strategy_id, r.event_id, r.score) for frame in again for r in frame.itertuples()}
+    kept = {key[0]: value for key, value in shard.kept.values.items()}
+    assert kept["s0"][2] == seeds_vector(seeds, "s0") and set(kept) == set(walked)
+
+
+def seeds_vector(seeds, name):
+    return next(s[5].tobytes() for s in seeds if s[2] == name)
