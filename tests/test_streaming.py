@@ -188,6 +188,25 @@ def test_stateful_stream_equals_batch(spark, tmp_path, files):
     assert got == batch_alerts(spark, events, vectors, registry()) and len(got) == len(rows) > 60
 
 
+def test_a_registry_of_several_blocks_is_the_state_of_shards(spark, tmp_path):
+    events, vectors = make(60)
+    frame = spark.createDataFrame(events, EVENT).join(
+        spark.createDataFrame(vectors, "id string, vector array<float>"), "id").select(
+        F.col("id").alias("event_id"), "source", "tickers", "ingested_at", "vector")
+    frame = materialise(frame, "arrivals")
+    landing = str(tmp_path / "in")
+    for half in (F.col("event_id").substr(2, 9).cast("int") < 30, F.col("event_id").substr(2, 9).cast("int") >= 30):
+        frame.where(half).coalesce(1).write.mode("append").parquet(landing)
+    from tidewatch.operators import matching
+    interests = matching.interests(spark.createDataFrame(registry(), REGISTRY), "query_vector")
+    found = matcher.stream_matches(ingest.read_events(spark, landing, frame.schema, files_per_trigger=1), interests, max_block_bytes=1, shards=2)
+    found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(
+        availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = {(r.strategy_id, r.event_id, r.score) for r in rows}
+    assert got == batch_alerts(spark, events, vectors, registry()) and len(got) == len(rows) > 60
+
+
 @pytest.mark.parametrize("batches, replay", [(1, False), (3, True)])
 def test_job_equals_batch_and_replays_are_idempotent(spark, tmp_path, batches, replay):
     events, vectors = make(60)

@@ -93,7 +93,7 @@ class Found:
 
 def search_cells(cells: Cells, interests: DataFrame, k: int = SEARCH_LIMIT) -> Found:
     """The same hits as ``vector_search`` for a registry of one block, and how much of the corpus it read."""
-    registry, dim, size, _ = scoring._measured(interests)
+    registry, dim, size, _ = scoring.measured(interests)
     if size > scoring.BLOCK_BYTES:
         raise ValueError("a registry of several blocks is searched with vector_search")
     spark = cells.points.sparkSession

@@ -8,12 +8,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidewatch.operators.scoring import SCORED, score_arrivals
+from tidewatch.operators.scoring import BLOCK_BYTES, SCORED, measured, score_arrivals
 from tidewatch.schemas import SEARCH_LIMIT
+from tidewatch.streaming.registry_stream import shard_matches
 
+SHARDS = 12  # of a registry that is no single block
 _STATE = T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("events", T.ArrayType(T.StringType()))])
 _MATCH = Row("strategy_id", "event_id", "ingested_at", "score", "rank")
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,7 +54,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([runs.values, *lists], ["strategy_id", "events", "times", "scores"])
 
 
-def stream_matches(arrivals: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT) -> DataFrame:
+def stream_matches(arrivals: DataFrame, interests: DataFrame, k: int = SEARCH_LIMIT,
+                   max_block_bytes: int = BLOCK_BYTES, shards: int = SHARDS) -> DataFrame:
     """(strategy_id, event_id, ingested_at, score, rank) of a stream of arrivals.
 
     Scoring and pruning run before the shuffle, so a busy strategy receives only the
@@ -61,10 +65,21 @@ def stream_matches(arrivals: DataFrame, interests: DataFrame, k: int = SEARCH_LI
     ``EventJob`` to follow registry changes per batch.  An event delivered again takes the
     place of its earlier score; what had been outranked by that score is not searched for,
     since the stream keeps no corpus (``EventJob`` does).
+
+    A registry beyond ``max_block_bytes`` (one row per strategy) is not shipped: its strategies are the state of
+    shards, as in ``registry_stream``, read when the stream first starts.
     """
     spark = arrivals.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    scored = score_arrivals(arrivals, interests, k).mapInArrow(
+    registry = measured(interests)
+    if registry.bytes > max(max_block_bytes, registry.row):
+        kinds = {frame.schema[name].dataType.elementType for frame, name in ((arrivals, "vector"), (registry.rows, "query_vector"))}
+        seeds = registry.rows.select(
+            F.col("strategy_id").alias("id"), F.col("wanted_sources").alias("sources"), F.col("wanted_tickers").alias("tickers"),
+            F.col("query_vector").alias("vector"), "threshold", F.lit(True).alias("active"))
+        usable = arrivals.where(F.size("vector") == registry.dim)
+        return shard_matches(usable, None, seeds, shards, k, "float" if kinds == {T.FloatType()} else "double")
+    scored = score_arrivals(arrivals, registry, k, max_block_bytes).mapInArrow(
         _packed, "strategy_id string, events array<string>, times array<timestamp>, scores array<double>")
     return scored.groupBy("strategy_id").transformWithState(
         statefulProcessor=_RankAtArrival(k),
