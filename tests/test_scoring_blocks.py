@@ -47,6 +47,23 @@ def test_many_small_blocks_do_not_copy_the_vectors(spark):
     assert scored.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_blocks_are_cut_by_bytes_in_order_of_filters(spark, monkeypatch):
+    """A block that many strategies of equal filters share picks its vectors once."""
+    rows, wanted = made(300, 60)
+    batches = [pa.record_batch({"strategy_id": [w[0] for w in wanted[i:i + 25]], "wanted_sources": pa.array([w[1] or [] for w in wanted[i:i + 25]], pa.list_(pa.string())),
+                                "wanted_tickers": pa.array([w[2] or [] for w in wanted[i:i + 25]], pa.list_(pa.string()))}) for i in (0, 25, 50)]
+    size = [6 * 8 + 64 * (len(w[1] or []) + len(w[2] or [])) + 128 for w in wanted]
+    for largest in (1, 500, 900, 10 ** 6):
+        blocks = [[int(name[1:]) for name in block["strategy_id"].to_pylist()] for block in scoring._cut(iter(batches), 6, largest)]
+        assert sum(blocks, []) == list(range(60))
+        assert all(len(b) == 1 or sum(size[i] for i in b) <= largest for b in blocks)
+        assert all(sum(size[i] for i in [*b, c[0]]) > largest for b, c in zip(blocks, blocks[1:]))
+    i = spark.createDataFrame(wanted, INTERESTS)
+    kinds = scoring._held_parts(spark.createDataFrame(rows, EVENTS).select("event_id", "source", "tickers", "vector"), scoring.measured(i).rows, 6, 900, "n long",
+                                lambda block, parts: iter([pa.record_batch({"n": pa.array([len(block.bounds) - 1], pa.int64())})]), ()).collect()
+    assert sum(r.n for r in kinds) < 2 * len(kinds)
+
+
 def test_buckets_are_compared_where_blocks_meet(spark):
     rows, wanted = made(200, 12)
     g = random.Random(4)
