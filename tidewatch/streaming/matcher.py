@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +18,7 @@ from tidewatch.schemas import SEARCH_LIMIT
 from tidewatch.streaming.registry_stream import shard_matches
 
 SHARDS = 12  # of a registry that is no single block
+_AGAIN = "\u0001"  # between the id of a repeated strategy and its number
 _STATE = T.StructType([T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("events", T.ArrayType(T.StringType()))])
 _MATCH = Row("strategy_id", "event_id", "ingested_at", "score", "rank")
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -66,19 +68,22 @@ def stream_matches(arrivals: DataFrame, interests: DataFrame, k: int = SEARCH_LI
     place of its earlier score; what had been outranked by that score is not searched for,
     since the stream keeps no corpus (``EventJob`` does).
 
-    A registry beyond ``max_block_bytes`` (one row per strategy) is not shipped: its strategies are the state of
-    shards, as in ``registry_stream``, read when the stream first starts.
+    A registry beyond ``max_block_bytes`` is not shipped: its strategies are the state of shards, as in
+    ``registry_stream``, read when the stream first starts.  A strategy that comes twice ranks twice.
     """
     spark = arrivals.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     registry = measured(interests)
     if registry.bytes > max(max_block_bytes, registry.row):
         kinds = {frame.schema[name].dataType.elementType for frame, name in ((arrivals, "vector"), (registry.rows, "query_vector"))}
+        number = F.row_number().over(W.partitionBy("strategy_id").orderBy("threshold"))
+        name = F.when(number == 1, F.col("strategy_id")).otherwise(F.concat("strategy_id", F.lit(_AGAIN), number))
         seeds = registry.rows.select(
-            F.col("strategy_id").alias("id"), F.col("wanted_sources").alias("sources"), F.col("wanted_tickers").alias("tickers"),
+            name.alias("id"), F.col("wanted_sources").alias("sources"), F.col("wanted_tickers").alias("tickers"),
             F.col("query_vector").alias("vector"), "threshold", F.lit(True).alias("active"))
         usable = arrivals.where(F.size("vector") == registry.dim)
-        return shard_matches(usable, None, seeds, shards, k, "float" if kinds == {T.FloatType()} else "double")
+        found = shard_matches(usable, None, seeds, shards, k, "float" if kinds == {T.FloatType()} else "double")
+        return found.withColumn("strategy_id", F.substring_index("strategy_id", _AGAIN, 1))
     scored = score_arrivals(arrivals, registry, k, max_block_bytes).mapInArrow(
         _packed, "strategy_id string, events array<string>, times array<timestamp>, scores array<double>")
     return scored.groupBy("strategy_id").transformWithState(
